@@ -29,7 +29,15 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 #: A word whose neighbourhood matters (white space at its edge) counts as this much, which no text reaches.
 _UNSURE = 1 << 50
+#: Stands for "no token before" in the key of a pair of token ids.
+_NOTHING = (1 << 20) - 1
 _SPACE = "Ġ"
+#: Closing characters that form one piece after letters, and no contraction.
+_CLOSERS = ".,!?;:#$%&*|"
+
+
+#: Letters of the Latin-1 block, which every Unicode version classes alike.
+_LATIN = {c: "a" for c in range(0xC0, 0x100) if chr(c).isalpha()}
 
 
 class _Missing(dict):
@@ -49,20 +57,24 @@ class _Missing(dict):
 class PrefixCounter:
     """Counts tokens of texts and of all their prefixes for one byte-level BPE tokenizer file."""
 
-    def __init__(self, tokenizer_file: str, cache: int = 300_000) -> None:
+    def __init__(self, tokenizer_file: str, cache: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         spec = json.load(open(tokenizer_file, encoding="utf-8"))
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.longest = max(map(len, self.vocab))
+        self.strings = {v: k for k, v in self.vocab.items()}
+        #: length of the longest token that ends in given three symbols
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            self.reach[token[-3:]] = max(self.reach.get(token[-3:], 2), len(token))
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.rank = {m: k for k, m in enumerate(merges)}
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces_of = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self._joins = _Missing(self._joins_as_two, 4 * cache)
-        self._alone = _Missing(lambda t: self._merge(t) == [t], len(self.vocab) + 1)
+        self._joins = _Missing(self._joins_as_two, 2 * cache)
+        self._letter = _Missing(lambda ch: "".join(p for p, _ in self.pieces_of(ch)), 4096)
         self._piece = _Missing(lambda p: self.piece_prefixes(p)[-1], cache)
         self._word = _Missing(self._word_after_space, cache)
 
@@ -85,18 +97,20 @@ class PrefixCounter:
             parts = out
         return parts
 
-    def _joins_as_two(self, pair: tuple[str, str]) -> bool:
-        return self._merge(pair[0] + pair[1]) == [*pair]
+    def _joins_as_two(self, pair: int) -> bool:
+        """Whether the right token may follow the left one (or stand first): no merge crosses the seam."""
+        parts = [self.strings[x] for x in (pair >> 20, pair & 0xFFFFF) if x != _NOTHING]
+        return self._merge("".join(parts)) == parts
 
     def piece_prefixes(self, piece: str) -> list[int]:
         """Token count of each prefix (0 to all symbols) of one pre-tokenizer piece."""
-        last: list[str] = [""]
-        count = [0]
-        vocab, joins, alone, longest = self.vocab, self._joins, self._alone, self.longest
+        ids, joins, reach = self.vocab.get, self._joins, self.reach.get
+        last, count = [_NOTHING], [0]
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - longest), i):
-                token = piece[j:i]
-                if token in vocab and (joins[last[j], token] if j else alone[token]):
+            far = reach(piece[i - 3 : i], 2) if i > 2 else i
+            for j in range(i - far if i > far else 0, i):
+                token = ids(piece[j:i])
+                if token is not None and joins[last[j] << 20 | token]:
                     last.append(token)
                     count.append(count[j] + 1)
                     break
@@ -104,6 +118,10 @@ class PrefixCounter:
                 raise ValueError(f"no token ends the prefix {piece[:i]!r}")
         return count
 
+    def _symbols(self, text: str) -> str:
+        """The pre-tokenizer's symbols for the bytes of a run of letters."""
+        return "".join(p for p, _ in self.pieces_of(text)) if len(text) > 64 else "".join(map(self._letter.__getitem__, text))
+
     def _plain(self, text: str) -> int:
         return sum(self._piece[p] for p, _ in self.pieces_of(text)) if text else 0
 
@@ -120,8 +138,10 @@ class PrefixCounter:
     def _word_after_space(self, word: str) -> int:
         if not word or word[0].isspace() or word[-1].isspace():
             return _UNSURE
-        if word.isascii() and word.isalpha():
-            return self._piece[_SPACE + word]
+        letters = word.rstrip(_CLOSERS)
+        if letters.isalpha() and (letters.isascii() or letters.translate(_LATIN).isascii()):
+            count = self._piece[_SPACE + (letters if letters.isascii() else self._symbols(letters))]
+            return count + (self._piece[word[len(letters) :]] if len(letters) < len(word) else 0)
         return self._counted(" " + word)
 
     def count(self, text: str | None) -> int:
