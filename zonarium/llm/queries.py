@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zonarium.llm.quality_rules import quality_rules
+from zonarium.llm.secret_scan import secret_scan
 from zonarium.llm.simhash_dedup import simhash_dedup
 from zonarium.llm.substring_dedup import substring_dedup
 from zonarium.llm.token_counts import token_counts
+from zonarium.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the hosts of mobile mirrors, which repeat pages of the hosts they mirror."""
+    return url_filter(_table(spark, sf_dir, "pages"), F.col("key").startswith("m."))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
@@ -34,9 +46,30 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": """
+        WITH parts AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages),
+        rules(verdict, rhost, rpath) AS (VALUES
+            ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        judged AS (
+            SELECT page_id, host, path,
+                   (SELECT max_by(struct_pack(t := rhost || rpath, v := verdict), length(rhost || rpath)) FROM rules
+                    WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS hit
+            FROM parts)
+        SELECT page_id, host, path, hit.t AS rule,
+               coalesce(hit.v, CASE WHEN starts_with(host, 'm.') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM judged
+    """,
+}
