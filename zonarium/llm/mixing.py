@@ -2,8 +2,9 @@
 
 Domains come from the labelled table: ``toxic`` (toxic = 1), ``low`` (quality = 0) and ``clean``
 (quality = 1).  A naive Bayes classifier over hashed distinct words, their beginnings and how varied
-they are is fitted on a bounded sample of labelled documents (``most_labels``, chosen by hash of the id) and
-gives every document its posterior over the domains.  Then nonnegative rates r are fitted by
+they are is fitted on a bounded sample of labelled documents (``most_labels``, chosen by hash of the id), its
+evidence is calibrated by a logistic regression on the same rows, and every document gets its
+posterior over the domains.  Then nonnegative rates r are fitted by
 projected gradient on
 
     f(r) = 1/2 (g - T)' W (g - T),   g = sum over documents of r_i n_i p_i
@@ -26,6 +27,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +68,20 @@ def features_of(words: Column) -> Column:
 
 @dataclass
 class Classifier:
-    """Log priors, and for each telling feature its log weight for every domain but the first."""
+    """For each telling feature its log weight for every domain but the first, and the calibration.
+
+    Row k of ``scale`` turns (1, evidence for each later domain) into the log odds of domain k + 1.
+    """
 
-    prior: list[float]
     weights: dict[int, list[float]]
+    scale: list[list[float]]
 
-    def log_odds(self, words: Column) -> list[Column]:
-        """Log odds of every later domain against the first, as an expression over the words.
+    def evidence(self, features: Column) -> list[Column]:
+        """Summed weights of the telling features for every later domain.
 
         Telling features sit in an open table by their low bits, next to their full code.
         """
-        base = [F.lit(x - self.prior[0]) for x in self.prior[1:]]
+        base = [F.lit(0.0) for _ in DOMAINS[1:]]
         if not self.weights:
             return base
         size = 1 << (8 * len(self.weights)).bit_length()
@@ -85,10 +90,44 @@ class Classifier:
             slots[code & (size - 1)] = {"c": code, "w": w}  # of two in one slot the stronger stays
         table = F.from_json(F.lit(json.dumps(slots)), "array<struct<c:bigint,w:array<double>>>")
         slot = lambda f: F.element_at(table, (f.bitwiseAND(F.lit(size - 1)) + 1).cast("int"))
-        told = F.filter(features_of(words), lambda f: slot(f)["c"] == f)
+        told = F.filter(features, lambda f: slot(f)["c"] == f)
         zero = F.array(*(F.lit(0.0) for _ in base))
         total = F.aggregate(told, zero, lambda t, f: F.zip_with(t, slot(f)["w"], lambda x, y: x + y))
-        return [b + total[k] for k, b in enumerate(base)]
+        return [F.greatest(F.least(total[k], F.lit(30.0)), F.lit(-30.0)) for k in range(len(base))]
+
+    def log_odds(self, features: Column) -> list[Column]:
+        told = self.evidence(features)
+        return [sum((F.lit(b) * x for b, x in zip(row[1:], told, strict=True)), F.lit(row[0])) for row in self.scale]
+
+
+def _calibrated(cells: list[tuple[int, list[float], int]], domains: int) -> list[list[float]]:
+    """Multinomial logistic regression of the domain on the evidence, by damped Newton steps.
+
+    ``cells`` are (domain, evidence, labelled rows); a weak ridge keeps separable evidence finite.
+    """
+    width = domains
+    theta = np.zeros((domains - 1, width))
+    if not cells:
+        return theta.tolist()
+    x = np.array([[1.0, *e] for _, e, _ in cells])
+    y = np.eye(domains)[[d for d, *_ in cells]][:, 1:]
+    n = np.array([c for *_, c in cells], float)
+    ridge = 1e-3 * n.sum() * np.eye((domains - 1) * width) / 100
+    for _ in range(50):
+        z = x @ theta.T
+        top = np.maximum(z.max(1), 0)[:, None]
+        p = np.exp(z - top) / (np.exp(-top) + np.exp(z - top).sum(1, keepdims=True))
+        slope = ((n[:, None] * (p - y)).T @ x).ravel() + ridge @ theta.ravel()
+        curve = ridge.copy()
+        for a in range(domains - 1):
+            for b in range(domains - 1):
+                w = n * (p[:, a] * (a == b) - p[:, a] * p[:, b])
+                curve[a * width : (a + 1) * width, b * width : (b + 1) * width] += (x * w[:, None]).T @ x
+        step = np.linalg.solve(curve, slope)
+        theta -= (step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))).reshape(theta.shape)
+        if np.abs(step).max() < 1e-6:
+            break
+    return theta.round(6).tolist()
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
@@ -107,7 +146,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
     seen = written(docs.join(F.broadcast(some), "doc_id").select("domain", features_of(words_of(F.col("text"))).alias("f")), "labelled")
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [totals.get(k, 0) for k in range(len(DOMAINS))]
-    prior = [math.log((x + 1) / (sum(n) + len(n))) for x in n]
     counts = seen.select("domain", F.explode("f").alias("f")).groupBy("f").agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))))
     weight = []
     for k in range(1, len(DOMAINS)):
@@ -119,12 +157,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
         weight.append(F.when(sure >= mix.least_lift, F.round(F.signum(lift) * sure, 4)).otherwise(F.lit(0.0)))
     strongest = F.greatest(F.lit(0.0), *(F.abs(w) for w in weight))
     told = counts.select("f", F.array(*weight).alias("w"), strongest.alias("s")).where("s > 0").orderBy(F.desc("s"), "f").limit(mix.most_features).collect()
-    return Classifier(prior, {r["f"]: list(r["w"]) for r in told})
+    model = Classifier({r["f"]: list(r["w"]) for r in told}, [])
+    cells = seen.select("domain", *(F.round(2 * e).alias(f"e{k}") for k, e in enumerate(model.evidence(F.col("f"))))).groupBy("domain", *(f"e{k}" for k in range(len(DOMAINS) - 1))).count().collect()
+    model.scale = _calibrated([(r["domain"], [r[f"e{k}"] / 2 for k in range(len(DOMAINS) - 1)], r["count"]) for r in cells], len(DOMAINS))
+    return model
 
 
 def posterior(words: Column, model: Classifier) -> Column:
     """Posterior over the domains (rounded to 1/200, so that equal evidence is one class)."""
-    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) for x in model.log_odds(words)]
+    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) for x in model.log_odds(features_of(words))]
     whole = odds[0]
     for o in odds[1:]:
         whole = whole + o
