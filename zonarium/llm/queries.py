@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonarium.llm.decontaminate import contaminated
+from zonarium.llm.html_extract import html_extract
 from zonarium.llm.mixing import mix_sources
 from zonarium.llm.quality_rules import quality_rules
 from zonarium.llm.secret_scan import secret_scan
@@ -29,6 +30,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_secret_scan": op3_secret_scan,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
