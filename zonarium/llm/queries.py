@@ -14,6 +14,7 @@ from zonarium.llm.quality_rules import quality_rules
 from zonarium.llm.secret_scan import secret_scan
 from zonarium.llm.simhash_dedup import simhash_dedup
 from zonarium.llm.substring_dedup import substring_dedup
+from zonarium.llm.suffix_dedup import suffix_dedup
 from zonarium.llm.token_counts import token_counts
 from zonarium.llm.url_filter import url_filter
 
@@ -51,6 +52,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
