@@ -58,12 +58,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
-def features_of(words: Column) -> Column:
-    """64-bit codes of the distinct words, of their distinct beginnings, and of how varied the words are."""
-    some = F.array_distinct(words)
-    begins = F.array_distinct(F.transform(some, lambda w: F.substring(w, 1, BEGINNING)))
-    varied = F.floor(10 * F.size(some) / F.greatest(F.size(words), F.lit(1)))
-    return F.concat(F.transform(some, lambda w: F.xxhash64(w)), F.transform(begins, lambda w: F.xxhash64(w, F.lit(1))), F.array(F.xxhash64(varied, F.lit(2), F.lit(2))))
+def with_features(df: DataFrame) -> DataFrame:
+    """Adds ``n_tokens`` and ``f`` for ``text``: 64-bit codes of the distinct words, of their distinct
+    beginnings, and of how varied the words are; drops the text.
+
+    One projection for each array that is used twice, so that none is computed twice.
+    """
+    rest = [c for c in df.columns if c != "text"]
+    df = df.select(*rest, words_of(F.col("text")).alias("_w"))
+    df = df.select(*rest, F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
+    begins = F.array_distinct(F.transform("_d", lambda w: F.substring(w, 1, BEGINNING)))
+    varied = F.floor(10 * F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1)))
+    codes = F.concat(F.transform("_d", lambda w: F.xxhash64(w)), F.transform(begins, lambda w: F.xxhash64(w, F.lit(1))), F.array(F.xxhash64(varied, F.lit(2), F.lit(2))))
+    return df.select(*rest, "n_tokens", codes.alias("f"))
 
 
 @dataclass
@@ -76,14 +83,14 @@ class Classifier:
     weights: dict[int, list[float]]
     scale: list[list[float]]
 
-    def evidence(self, features: Column) -> list[Column]:
-        """Summed weights of the telling features for every later domain.
+    def evidence(self, features: Column) -> Column:
+        """Array of the summed weights of the telling features, one for every later domain.
 
         Telling features sit in an open table by their low bits, next to their full code.
         """
-        base = [F.lit(0.0) for _ in DOMAINS[1:]]
+        zero = F.array(*(F.lit(0.0) for _ in DOMAINS[1:]))
         if not self.weights:
-            return base
+            return zero
         size = 1 << (8 * len(self.weights)).bit_length()
         slots: list[dict | None] = [None] * size
         for code, w in sorted(self.weights.items(), key=lambda x: (max(map(abs, x[1])), x[0])):
@@ -91,13 +98,11 @@ class Classifier:
         table = F.from_json(F.lit(json.dumps(slots)), "array<struct<c:bigint,w:array<double>>>")
         slot = lambda f: F.element_at(table, (f.bitwiseAND(F.lit(size - 1)) + 1).cast("int"))
         told = F.filter(features, lambda f: slot(f)["c"] == f)
-        zero = F.array(*(F.lit(0.0) for _ in base))
         total = F.aggregate(told, zero, lambda t, f: F.zip_with(t, slot(f)["w"], lambda x, y: x + y))
-        return [F.greatest(F.least(total[k], F.lit(30.0)), F.lit(-30.0)) for k in range(len(base))]
+        return F.transform(total, lambda x: F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))
 
-    def log_odds(self, features: Column) -> list[Column]:
-        told = self.evidence(features)
-        return [sum((F.lit(b) * x for b, x in zip(row[1:], told, strict=True)), F.lit(row[0])) for row in self.scale]
+    def log_odds(self, evidence: Column) -> list[Column]:
+        return [sum((F.lit(b) * evidence[k] for k, b in enumerate(row[1:])), F.lit(row[0])) for row in self.scale]
 
 
 def _calibrated(cells: list[tuple[int, list[float], int]], domains: int) -> list[list[float]]:
@@ -143,7 +148,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
         .orderBy(F.xxhash64("doc_id"), "doc_id", "domain")
         .limit(mix.most_labels)
     )
-    seen = written(docs.join(F.broadcast(some), "doc_id").select("domain", features_of(words_of(F.col("text"))).alias("f")), "labelled")
+    seen = written(with_features(docs.join(F.broadcast(some), "doc_id").select("domain", "text")).select("domain", "f"), "labelled")
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [totals.get(k, 0) for k in range(len(DOMAINS))]
     counts = seen.select("domain", F.explode("f").alias("f")).groupBy("f").agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))))
@@ -158,18 +163,20 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
     strongest = F.greatest(F.lit(0.0), *(F.abs(w) for w in weight))
     told = counts.select("f", F.array(*weight).alias("w"), strongest.alias("s")).where("s > 0").orderBy(F.desc("s"), "f").limit(mix.most_features).collect()
     model = Classifier({r["f"]: list(r["w"]) for r in told}, [])
-    cells = seen.select("domain", *(F.round(2 * e).alias(f"e{k}") for k, e in enumerate(model.evidence(F.col("f"))))).groupBy("domain", *(f"e{k}" for k in range(len(DOMAINS) - 1))).count().collect()
-    model.scale = _calibrated([(r["domain"], [r[f"e{k}"] / 2 for k in range(len(DOMAINS) - 1)], r["count"]) for r in cells], len(DOMAINS))
+    cells = seen.select("domain", F.transform(model.evidence(F.col("f")), lambda x: F.round(2 * x) / 2).alias("e")).groupBy("domain", "e").count().collect()
+    model.scale = _calibrated([(r["domain"], list(r["e"]), r["count"]) for r in cells], len(DOMAINS))
     return model
 
 
-def posterior(words: Column, model: Classifier) -> Column:
-    """Posterior over the domains (rounded to 1/200, so that equal evidence is one class)."""
-    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) for x in model.log_odds(features_of(words))]
-    whole = odds[0]
-    for o in odds[1:]:
-        whole = whole + o
-    return F.array(*(F.round(o / whole * 200) / 200 for o in odds))
+def with_posterior(df: DataFrame, model: Classifier) -> DataFrame:
+    """Replaces ``f`` by ``p``, the posterior over the domains, rounded to 1/200 so that equal evidence is one class."""
+    rest = [c for c in df.columns if c != "f"]
+    df = df.select(*rest, model.evidence(F.col("f")).alias("_e"))
+    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) for x in model.log_odds(F.col("_e"))]
+    df = df.select(*rest, F.array(*odds).alias("_o"))
+    whole = F.aggregate("_o", F.lit(0.0), lambda t, x: t + x)
+    df = df.select(*rest, "_o", whole.alias("_s"))
+    return df.select(*rest, F.transform("_o", lambda x: F.round(x / F.col("_s") * 200) / 200).alias("p"))
 
 
 def _inverse(m: list[list[float]]) -> list[list[float]]:
@@ -231,9 +238,8 @@ def mix_sources(docs: DataFrame, labels: DataFrame, mix: Mix | None = None, keep
     mix = mix or Mix()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit_classifier(base, labels, mix)
-    words = words_of(F.col("text"))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep)
-    scored = named.select("doc_id", *keep, F.size(words).cast("long").alias("n_tokens"), posterior(words, model).alias("p"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    scored = with_posterior(with_features(named), model)
     members = written(scored, "members")
     steps, _, _ = fit_rates(members, mix)
     out = members.withColumn("rate", F.round(rate(F.col("p"), steps), 6))
