@@ -128,3 +128,17 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "do
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, SCHEMA)
+
+
+def kept_rows(docs: DataFrame, rules: Rules | None = None, text_col: str = "text") -> DataFrame:
+    """The rows whose text is kept, with all columns as they are; no shuffle."""
+    rules = rules or Rules()
+    where = docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, raw = tb.utf8(batch.column(where))
+            keep = [measure(off[i : j + 1] - off[i], raw[off[i] : off[j]], rules)["kept"] for i, j in tb.slices(off)]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(scan, docs.schema)

@@ -307,3 +307,17 @@ def simhash_dedup(docs: DataFrame, threshold: int = 4, hot_anchor: int = 8_000,
         marked.join(by_class, "bits")
         .select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def one_of_each(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, less those that have a near-duplicate with a smaller id.
+
+    Rows with one id count as one document, of which one row stays; rows without an id stay.
+    """
+    classes = written(simhash_dedup(docs, threshold, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "components")
+    stay = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    repeated = stay.where("rows > 1").limit(1).count() > 0
+    out = docs.join(stay.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    if repeated:
+        out = out.dropDuplicates([id_col])
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
