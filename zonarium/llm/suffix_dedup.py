@@ -316,7 +316,7 @@ def _candidates(docs: pa.Table, again: pa.Table, shards_log2: int) -> _Candidate
     return _Candidates(off, raw, p.start[keep], p.strings[keep], np.cumsum(new) - 1, first, np.diff(np.append(first, len(keep))) > 1, anchor[first])
 
 
-def suffix_dedup(docs: DataFrame, bucket_bytes: int = 20 << 20, block_bytes: int = 3 << 20, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, bucket_bytes: int = 6 << 20, block_bytes: int = 3 << 20, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, and what is left."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0

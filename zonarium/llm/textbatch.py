@@ -7,7 +7,6 @@ inside a multi-byte UTF-8 sequence, so splitting bytes equals splitting code poi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +33,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, log2_size: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2_size
-    up = np.full(n, base, dtype=np.uint64)
-    down = np.full(n, pow(base, -1, 2**64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd ``base`` and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _powers(base, max(16, int(n).bit_length()))
+    """Powers of an odd ``base`` and of its inverse modulo 2**64, at least ``n`` of each (the longest made is kept)."""
+    held = _POWERS.get(base)
+    if held is None or len(held[0]) < n:
+        size = max(1 << 16, n + n // 8)
+        up = np.full(size, base, dtype=np.uint64)
+        down = np.full(size, pow(base, -1, 2**64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        held = _POWERS[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+    return held
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
