@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from zonarium.plans import retrieval_queries
+
+_MODULES = (retrieval_queries,)
+
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.R.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.R.sql.items()}
 FLAGSHIP = "bm25_topk"
