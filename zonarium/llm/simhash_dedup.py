@@ -317,7 +317,8 @@ def one_of_each(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id", tex
     classes = written(simhash_dedup(docs, threshold, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "components")
     stay = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = stay.where("rows > 1").limit(1).count() > 0
-    out = docs.join(stay.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(*docs.columns)
+    # a merge join at every size: what stays grows with the corpus and is never broadcast
+    out = docs.join(stay.select(F.col("doc_id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)
     if repeated:
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
