@@ -77,7 +77,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _quality_sql() -> str:
+    """The quality rules in SQL: for each length, the words inside n-grams that occurred earlier in the text."""
+    lengths = (5, 6, 8, 10)
+    parts = [f"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents)"]
+    for n in lengths:
+        parts.append(f"""g{n} AS (SELECT r, k, row_number() OVER (PARTITION BY r, g ORDER BY k) AS nth, count(*) OVER (PARTITION BY r, g) AS times FROM
+            (SELECT r, k, array_to_string(w[k:k + {n - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS k FROM d WHERE len(w) >= {n})))""")
+        parts.append(f"""c{n} AS (SELECT r, sum(length(w[i])) AS chars FROM (SELECT DISTINCT r, k + j AS i FROM g{n}, range(0, {n}) t(j) WHERE nth > 1) JOIN d USING (r) GROUP BY r)""")
+    parts.append("rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, k + j AS i FROM g8, range(0, 8) t(j) WHERE times > 1) GROUP BY r)")
+    parts.append(r"""l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d))""")
+    parts.append(r"""ld AS (SELECT r, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM l WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)""")
+    parts.append(
+        r"""m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(ld.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(ld.chars, 0)::BIGINT AS dup_line_chars, ["""
+        + ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT" for n in lengths)
+        + "] AS dup_ngram_chars FROM d LEFT JOIN ld USING (r) LEFT JOIN rep USING (r) "
+        + " ".join(f"LEFT JOIN c{n} USING (r)" for n in lengths)
+        + ")"
+    )
+    parts.append("f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)")
+    return f"""WITH {", ".join(parts)} SELECT *, NOT base_failed AND n_symbols * 10 <= n_words AND dup_line_chars * 10 <= 3 * word_chars AND list_max(dup_ngram_chars) * 10 <= 3 * word_chars AS kept FROM f"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT r, doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+        f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+        c AS (SELECT DISTINCT r, k + j AS i FROM s JOIN f USING (g), range(0, 13) t(j) WHERE first < doc_id),
+        l AS (SELECT r, list(i) AS gone FROM c GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_where(w, [NOT list_contains(gone, i) FOR i IN range(1, len(w) + 1)]) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN l USING (r)
+    """,
+    # The driver's pages mark their article and use two character references inside it.
+    "op2_html_extract": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*$', '') AS h FROM pages),
+        b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp$', '&'), '\s+', ' ', 'g'))
+                                    FOR x IN string_split_regex(h, '</?(?:p|h1)>')] AS parts FROM a),
+        t AS (SELECT page_id, url, coalesce(array_to_string([x FOR x IN parts IF x <> ''], chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+    """,
+    "op9_quality_rules": _quality_sql(),
     "op4_url_filter": """
         WITH parts AS (
             SELECT page_id,
