@@ -111,3 +111,8 @@ def dwellings(footprint: Column, height: Column, parcel: Column, ratio: Column)
 def pool_margin(parcel: Column, limit: Column, occupied: Column, pool: Column, counts: Column) -> Column:
     """Area left under the occupancy limit after a pool that counts at the given share."""
     return parcel * limit - occupied - pool * counts
+
+
+def land_verdict(land: Column, protected: Column) -> Column:
+    """Fit, conditional or unfit by land class: protected rustic land is out, other open land needs more."""
+    return F.when((land == "rustico") & protected, "no_apto").when(land.isin("rustico", "urbanizable"), "condicionado").otherwise("apto")

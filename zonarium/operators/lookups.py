@@ -86,3 +86,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def top_k(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each group, with their rank."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def strictly_best(scored: DataFrame, key: str, score: str, tie: str, least: float) -> DataFrame:
+    """The best row of each key if its score is high enough and no other row has the same."""
+    ranked = top_k(scored, [key], 2, F.desc(score), F.col(tie))
+    second = F.lead(score).over(W.partitionBy(key).orderBy("rank"))
+    return ranked.withColumn("_n", second).where((F.col("rank") == 1) & (F.col(score) >= least) & (F.col("_n").isNull() | (F.col(score) > F.col("_n")))).drop("_n", "rank")

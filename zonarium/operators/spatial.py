@@ -34,3 +34,11 @@ def zonal_percentile(pixels: DataFrame, zone: str, value: str, q: float, least:
     """Percentile of the values in each zone, null with fewer than ``least`` of them: one aggregation for all zones."""
     n = F.count(value)
     return pixels.groupBy(zone).agg(n.alias("n"), F.when(n >= least, F.percentile(value, q)).alias("p"))
+
+
+def cloud_height(points: DataFrame, key: str, z: str, ground: str, least: int = 10, least_ground: int = 5, highest: float = 60.0) -> DataFrame:
+    """Height over ground of each body from its points; null without enough points or if it is not plausible."""
+    on_ground = F.when(F.col(ground), F.col(z))
+    a = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile(z, 0.9).alias("_t"), F.count(on_ground).alias("_g"), F.percentile(on_ground, 0.5).alias("_b"))
+    h = F.col("_t") - F.col("_b")
+    return a.select(key, "n", F.when((F.col("n") >= least) & (F.col("_g") >= least_ground) & h.between(0, highest), F.round(h, 4)).alias("altura"))
