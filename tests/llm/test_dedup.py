@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from zonarium.llm import near_copies as nc
 from zonarium.llm import simhash_dedup as sh
 from zonarium.llm import substring_dedup as sub
 from zonarium.llm import suffix_dedup as suf
@@ -158,9 +159,8 @@ def test_every_link_within_four_bits_meets(spark):
             flipped[k] ^= np.uint64(1) << np.uint64(b)
     far = flipped ^ np.uint64(0b11111 << 20)
     every = np.unique(np.concatenate([base, flipped, far]))
-    df = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "bits long")
-    seats = df.mapInArrow(sh._replicate, "anchor long, bits long, lives boolean").withColumn("piece", sh.F.lit(0)).select("anchor", "piece", "bits", "lives")
-    links = seats.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(sh._compare(4), "a long, b long")
+    df = spark.createDataFrame([(0, int(x)) for x in every.view(np.int64)], "space long, bits long")
+    links = sh.linked(df, 4)
     got = {r["node"]: r["root"] for r in sh.connected(links).collect()}
     signed = every.view(np.int64)
     near = np.bitwise_count(every[:, None] ^ every[None, :]) <= 4
@@ -194,6 +194,42 @@ def test_components_of_a_long_path(spark):
 def test_one_of_each(spark):
     text = " ".join(f"w{k}" for k in range(200))
     docs = spark.createDataFrame([(3, text, "a"), (5, text, "b"), (5, text, "b"), (7, "quite another text of some words here", "c"), (7, "quite another text of some words here", "c"), (None, "no id", "d")], "doc_id long, text string, x string")
-    got = sh.one_of_each(docs)
+    got = nc.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 3), (False, 7), (True, None)]
+
+
+def shingles(text, width=5):
+    w = [x.lower() for x in WORD.findall(text or "")]
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_near_copies_equal_full_comparison(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200 + 10 * k)]
+        texts.append(" ".join(words))
+        for share in (0.0, 0.005, 0.015, 0.02, 0.06):
+            edited = [f"e{rng.integers(0, 10**6)}" if rng.random() < share else x for x in words]
+            texts.append(" ".join(edited).title() if share == 0.0 else "\n".join(edited))
+    texts += ["a b c", "A b  c", "b a c", "", "", " \t", None]
+    docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, kind string")
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or (both and both >= 0.8 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = sorted({find(k) for k in range(len(texts))})
+    got = nc.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    assert nc.one_of_each(docs.limit(0)).collect() == []

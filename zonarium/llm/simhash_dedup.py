@@ -41,6 +41,8 @@ from zonarium.llm import textbatch as tb
 
 PARTS = ((0, 21), (21, 21), (42, 22))
 SHINGLES_AT_ONCE = 1 << 15
+#: A table counted to have no more rows than this is broadcast.
+SMALL_ROWS = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -150,18 +152,60 @@ def visited_anchors(part: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(index), np.concatenate(anchor)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every distinct fingerprint, once where it lives and once where it visits, for each part."""
-    for batch in batches:
-        whole = batch.column(0).to_numpy().astype(np.int64)
-        for i in range(0, len(whole), 20_000):
-            some = whole[i : i + 20_000]
-            for k, (low, size) in enumerate(PARTS):
-                part = ((some.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
-                index, anchor = visited_anchors(part, size)
-                home = home_anchor(part)
-                lives = home[index] == anchor
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 32) | anchor), pa.array(some[index]), pa.array(lives)], ["anchor", "bits", "lives"])
+Parts = tuple[tuple[int, int], ...]
+
+
+def _part(bits: np.ndarray, low: int, size: int) -> np.ndarray:
+    return ((bits.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
+
+
+def _seats(parts: Parts):
+    """Every distinct (space, fingerprint), once where it lives and once where it visits, for each part."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaces, fingerprints_ = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+            for i in range(0, len(spaces), 20_000):
+                space, some = spaces[i : i + 20_000], fingerprints_[i : i + 20_000]
+                for k, (low, size) in enumerate(parts):
+                    part = _part(some, low, size)
+                    index, anchor = visited_anchors(part, size)
+                    lives = home_anchor(part)[index] == anchor
+                    key = (space[index] << 40) | (np.int64(k) << 32) | anchor
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[index]), pa.array(lives)], ["anchor", "bits", "lives"])
+
+    return scan
+
+
+def _homes(parts: Parts):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            space, bits = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+            for k, (low, size) in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array((space << 40) | (np.int64(k) << 32) | home_anchor(_part(bits, low, size)))], ["anchor"])
+
+    return scan
+
+
+def linked(fingerprints_: DataFrame, threshold: int, parts: Parts = PARTS, hot_anchor: int = 8_000) -> DataFrame:
+    """Links (a, b) of 1 to ``threshold`` bits among distinct (``space``, ``bits``), less those that close a cycle at an anchor."""
+    if threshold > 2 * len(parts) - 1:
+        raise ValueError("a part may differ in one bit only: more parts are needed")
+    pairs = fingerprints_.select("space", "bits")
+    hot = (
+        pairs.mapInArrow(_homes(parts), "anchor long").groupBy("anchor").count().where(F.col("count") > hot_anchor)
+        .select("anchor", F.ceil(F.col("count") / hot_anchor).cast("int").alias("pieces"))
+    )
+    seats = pairs.mapInArrow(_seats(parts), "anchor long, bits long, lives boolean")
+    if hot.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        hot = F.broadcast(hot)
+    pieces = F.coalesce("pieces", F.lit(1))
+    seats = (
+        seats.join(hot, "anchor", "left")
+        .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .select("anchor", "piece", "bits", (F.col("lives") & (F.pmod(F.xxhash64("bits"), pieces) == F.col("piece"))).alias("lives"))
+    )
+    return seats.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_compare(threshold), "a long, b long")
 
 
 def _distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -241,14 +285,6 @@ def _compare(threshold: int):
     return scan
 
 
-def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        whole = batch.column(0).to_numpy().astype(np.int64)
-        for k, (low, size) in enumerate(PARTS):
-            part = ((whole.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 32) | home_anchor(part))], ["anchor"])
-
-
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
@@ -283,22 +319,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, threshold: int = 4, hot_anchor: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: fingerprint (16 hex digits) and the smallest id of its component."""
-    if threshold > 2 * len(PARTS) - 1:
-        raise ValueError("the three parts cover thresholds up to five bits")
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     # a hot fingerprint is one row here: the aggregation combines before the shuffle
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
-    seats = classes.select("bits").mapInArrow(_replicate, "anchor long, bits long, lives boolean")
-    hot = (
-        classes.select("bits").mapInArrow(_homes, "anchor long").groupBy("anchor").count().where(F.col("count") > hot_anchor)
-        .select("anchor", F.ceil(F.col("count") / hot_anchor).cast("int").alias("pieces"))
-    )
-    seats = (
-        seats.join(hot, "anchor", "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1)))
-        .select("anchor", "piece", "bits", (F.col("lives") & (F.pmod(F.xxhash64("bits"), F.coalesce("pieces", F.lit(1))) == F.col("piece"))).alias("lives"))
-    )
-    links = seats.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_compare(threshold), "a long, b long")
+    links = linked(classes.select(F.lit(0).cast("long").alias("space"), "bits"), threshold, PARTS, hot_anchor)
     roots = connected(links)
     named = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -309,16 +333,3 @@ def simhash_dedup(docs: DataFrame, threshold: int = 4, hot_anchor: int = 8_000,
     )
 
 
-def one_of_each(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns as they are, less those that have a near-duplicate with a smaller id.
-
-    Rows with one id count as one document, of which one row stays; rows without an id stay.
-    """
-    classes = written(simhash_dedup(docs, threshold, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "components")
-    stay = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    repeated = stay.where("rows > 1").limit(1).count() > 0
-    # a merge join at every size: what stays grows with the corpus and is never broadcast
-    out = docs.join(stay.select(F.col("doc_id").alias(id_col)).hint("merge"), id_col, "left_semi").select(*docs.columns)
-    if repeated:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))

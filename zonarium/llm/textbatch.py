@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 21
 
 BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
-_WORD_MULTIPLIER = 0xD6E8FEB86659FD93
+WORD_MULTIPLIER = 0xD6E8FEB86659FD93
 BYTE_CODES = np.random.default_rng(20240117).integers(1, 2**64, 256, dtype=np.uint64)
 
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -105,7 +105,7 @@ class Words:
         n = len(words)
         if n < width:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        up, down = powers(_WORD_MULTIPLIER, n + 1)
+        up, down = powers(WORD_MULTIPLIER, n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(words * up[:n], out=total[1:])
         whole = mix64((total[width:] - total[:-width]) * down[: n - width + 1])
