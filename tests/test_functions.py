@@ -197,3 +197,42 @@ def test_upsert_stream(spark, tmp_path):
     q = upsert_batches(spark.readStream.schema("k int, o int, v string").parquet(str(src)), "k", "o", str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination()
     assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_paged_source(spark, tmp_path):
+    from zonarium.sources.paged import PagedFeatures
+
+    for start, n in ((0, 2), (2, 1)):
+        (tmp_path / f"p{start}.json").write_text(json.dumps({"features": [{"properties": {"k": start + i, "x": None}, "geometry": {"type": "Point"}} for i in range(n)]}))
+    spark.dataSource.register(PagedFeatures)
+    rows = spark.read.format("paged_features").option("url", f"file://{tmp_path}/p{{start}}.json").option("pages", 3).option("size", 2).load().collect()
+    assert sorted(int(r["properties"]["k"]) for r in rows) == [0, 1, 2]
+
+
+def test_volumes():
+    import struct
+
+    from zonarium.sources import volumes as v
+
+    ring = [{"x": 0, "y": 0}, {"x": 2, "y": 0}, {"x": 2, "y": 1}, {"x": 0, "y": 1}, {"x": 0, "y": 0}]
+    document, buffer = v.gltf(ring, 3)
+    assert document["accessors"][0]["count"] == 8 and document["accessors"][1]["count"] == 3 * (2 + 2 + 8)
+    packed = v.glb(document, buffer)
+    assert struct.unpack("<4sII", packed[:12]) == (b"glTF", 2, len(packed)) and len(packed) % 4 == 0
+    assert "IFCEXTRUDEDAREASOLID" in v.ifc("b1", ring, 3)
+
+
+def test_first_variant_and_ladder(spark):
+    from zonarium.operators import ladders
+
+    p = one(spark, ladders.first_source([("a", F.lit(None).cast("double")), ("b", F.lit(2.0))]))[0]
+    assert (p["value"], p["source"]) == (2.0, "b")
+
+
+def test_rule_rows(spark):
+    from zonarium.functions.parse import rule_rows
+
+    lines = ["MUNICIPIO A", "altura 7", "Subzona x", "altura 9", "MUNICIPIO B", "ocupacion 30"]
+    df = spark.createDataFrame([(1, n, s) for n, s in enumerate(lines)], "doc int, n int, line string")
+    got = {(r["muni"], r["sub"]): (r["altura"], r["ocupacion"]) for r in rule_rows(df, "doc", "n", "line").collect()}
+    assert got == {("A", ""): (7.0, None), ("A", "x"): (9.0, None), ("B", ""): (None, 30.0)}
