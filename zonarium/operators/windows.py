@@ -44,3 +44,23 @@ def suppressed_repeats(df: DataFrame, by: list[str], order: str, ref: str, posit
     w = W.partitionBy(*by).orderBy(order)
     again = (F.lag(ref).over(w) == F.col(ref)) & (F.col(position) - F.lag(position).over(w) < near)
     return df.withColumn("_a", again).where(~F.coalesce("_a", F.lit(False))).drop("_a")
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, start: str, value: str, out: str) -> DataFrame:
+    """Each left row with the value of the last right row of its group that starts at or before it.
+
+    Both sides are laid into one ordered sequence and the value is carried forward: one shuffle on
+    the group, no range join.
+    """
+    r = right.select(*by, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(None).cast(left.schema.simpleString()).alias("_row"))
+    rows = left.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
+    w = W.partitionBy(*by).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = r.unionByName(rows).withColumn("_c", F.last("_v", ignorenulls=True).over(w))
+    return both.where("_side = 1").select("_row.*", F.col("_c.v").alias(out))
+
+
+def carried_block(df: DataFrame, by: list[str], order: str, header: str) -> DataFrame:
+    """Rows grouped under the last header at or before them: header, first and last position, rows."""
+    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    g = df.withColumn("_g", F.count(header).over(w)).where("_g > 0")
+    return g.groupBy(*by, "_g").agg(F.max(header).alias(header), F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("rows")).drop("_g")
