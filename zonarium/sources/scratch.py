@@ -6,13 +6,18 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Temporary folders of sessions that name none (tests on one machine), by application.
+_OWN: dict[str, str] = {}
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a test session without one gets a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; a session without one gets a temporary folder of its own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         import tempfile
 
-        top = "file://" + tempfile.mkdtemp(prefix="zonarium-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        key = spark.sparkContext.applicationId
+        if key not in _OWN:
+            _OWN[key] = "file://" + tempfile.mkdtemp(prefix="zonarium-")
+        top = _OWN[key]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
