@@ -29,15 +29,15 @@ hashed whole in bounded slices; only the two named columns are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonarium.llm import textbatch as tb
+from zonarium.sources.scratch import folder
 
 PARTS = ((0, 21), (21, 21), (42, 22))
 SHINGLES_AT_ONCE = 1 << 15
@@ -47,20 +47,9 @@ SMALL_ROWS = 100_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        import tempfile
-
-        top = "file://" + tempfile.mkdtemp(prefix="zonarium-")  # no cluster: a test session
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
