@@ -236,3 +236,61 @@ def test_rule_rows(spark):
     df = spark.createDataFrame([(1, n, s) for n, s in enumerate(lines)], "doc int, n int, line string")
     got = {(r["muni"], r["sub"]): (r["altura"], r["ocupacion"]) for r in rule_rows(df, "doc", "n", "line").collect()}
     assert got == {("A", ""): (7.0, None), ("A", "x"): (9.0, None), ("B", ""): (None, 30.0)}
+
+
+def test_more_geometry(spark):
+    ring = g.rectangle(F.lit(0.0), F.lit(4.0), F.lit(0.0), F.lit(2.0))
+    x = g.crossing(*(F.lit(float(v)) for v in (0, 0, 4, 4, 0, 4, 4, 0)))
+    none = g.crossing(*(F.lit(float(v)) for v in (0, 0, 1, 0, 0, 1, 1, 1)))
+    small = g.rectangle(F.lit(-8.7), F.lit(-8.6999), F.lit(42.2), F.lit(42.2001))
+    r = one(spark, g.centre(ring), x, none, g.footprint_m2(small), g.area(g.projected(small)), g.padded(F.lit(-8.0), F.lit(42.0)), g.minimap(ring, g.bounds(ring), 100.0, 100.0))
+    assert tuple(r[0]) == (2.0, 1.0) and tuple(r[1]) == (2.0, 2.0) and r[2] is None
+    assert r[3] == pytest.approx(r[4], rel=0.01) and r[5]["xmax"] > -8.0 > r[5]["xmin"]
+    assert max(p["x"] for p in r[6]) == 100.0
+
+
+def test_provenance(spark):
+    from zonarium.functions import provenance as v
+
+    a, b = v.point(F.lit(None).cast("double"), "m", "official", "plan"), v.point(F.lit(9.0), "m", "estimated", "osm")
+    r = one(spark, a, v.best([a, b]), v.rank(F.lit("measured")))
+    assert r[0]["data_quality"] == "unavailable" and r[0]["source"] is None and r[1]["value"] == 9.0 and r[2] == 1
+    with pytest.raises(ValueError):
+        v.point(F.lit(1.0), "m", "guessed", "x")
+
+
+def test_simplify_and_parameters(spark):
+    assert sequential.simplify([(0, 0), (1, 0.001), (2, 0), (3, 5)], 0.01) == [(0, 0), (2, 0), (3, 5)]
+    text = "El peto tendrá una altura de 1,10 m. Altura máxima: 7 m. Ocupación máxima del 40 %. Edificabilidad 0,7 m2/m2. Parcela mínima de 1.250 m2. Retranqueo 3 m"
+    got = {k: v["value"] for k, v in sequential.extract_parameters(text, 4).items()}
+    assert got == {"altura_maxima_m": 7.0, "ocupacion_max": 0.4, "edificabilidad_max_m2_m2": 0.7, "parcela_minima_m2": 1250.0, "retranqueo_min_m": 3.0}
+    df = spark.createDataFrame([("a", 1, text), ("b", 2, None)], "k string, p int, t string")
+    assert sequential.parameters(df, "k", "p", "t").count() == 5
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a;b\n1;2,5\n")
+    assert readers.sniffed_csv(spark, str(tmp_path / "s.csv")).first()["b"] == "2,5"
+    spark.range(3).selectExpr("id", "named_struct('xmin', double(id), 'xmax', id + 0.5D, 'ymin', 0D, 'ymax', 1D) bbox").write.parquet(str(tmp_path / "f"))
+    f = readers.footprints(spark, str(tmp_path / "f"), 0.9, 0.0, 1.2, 1.0)
+    assert [r["id"] for r in f.collect()] == [1] and "bbox.xmin" in f._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o/1.json").write_text('[{"k": "U1", "h": 7}, {"k": "U2", "h": 9}]')
+    (tmp_path / "o/2.json").write_text('[{"k": "U1", "h": 8}]')
+    assert {r["k"]: r["h"] for r in readers.merged_json(spark, str(tmp_path / "o"), "k string, h int", "k").collect()} == {"U1": 8, "U2": 9}
+    assert readers.plan_provider(spark, "csv", str(tmp_path / "none.csv")).count() == 7 and readers.plan_provider(spark, "none").count() == 0
+
+
+def test_asof_join(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 0), ("b", 3)], "k string, t long")
+    right = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y")], "k string, s long, v string")
+    got = {(r["k"], r["t"]): r["o"] for r in windows.asof_join(left, right, ["k"], "t", "s", "v", "o").collect()}
+    assert got == {("a", 5): "y", ("a", 0): None, ("b", 3): None}
+
+
+def test_model_hooks(spark):
+    from zonarium.functions import models
+
+    d = spark.createDataFrame([(1, "a b", "a c"), (2, "a b", "a b")], "id int, q string, x string")
+    assert [r["id"] for r in models.rerank(d, "q", "x").orderBy(F.desc("rerank")).collect()] == [2, 1]
+    assert models.embed(d, "x", lambda xs: [[float(len(x))] for x in xs]).first()["embedding"] == [3.0]

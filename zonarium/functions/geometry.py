@@ -69,3 +69,46 @@ def point_segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: C
     dx, dy = bx - ax, by - ay
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0))))
     return F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))
+
+
+def projected(ring: Column) -> Column:
+    """A lon/lat ring in metres of zone 29 north."""
+    from zonarium.functions.sun import utm29
+
+    def one(p: Column) -> Column:
+        east, north = utm29(p["x"], p["y"])
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    return F.transform(ring, one)
+
+
+def centre(ring: Column) -> Column:
+    """Centre of the ring's bounds."""
+    b = bounds(ring)
+    return F.struct(((b["xmin"] + b["xmax"]) / 2).alias("x"), ((b["ymin"] + b["ymax"]) / 2).alias("y"))
+
+
+def padded(lon: Column, lat: Column, metres: float = 30.0) -> Column:
+    """A lon/lat box of ``metres`` around a point."""
+    dy = F.lit(metres / 111320.0)
+    dx = metres / (111320.0 * F.cos(F.radians(lat)))
+    return F.struct((lon - dx).alias("xmin"), (lon + dx).alias("xmax"), (lat - dy).alias("ymin"), (lat + dy).alias("ymax"))
+
+
+def footprint_m2(ring: Column) -> Column:
+    """Square metres of a small lon/lat ring by the local scale."""
+    return area(ring) * 111320.0 * 111320.0 * F.cos(F.radians(centre(ring)["y"]))
+
+
+def crossing(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """Where segments a-b and c-d cross; null if they do not."""
+    den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+    s = F.try_divide((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx), den)
+    u = F.try_divide((cx - ax) * (by - ay) - (cy - ay) * (bx - ax), den)
+    return F.when(s.between(0, 1) & u.between(0, 1), F.struct((ax + s * (bx - ax)).alias("x"), (ay + s * (by - ay)).alias("y")))
+
+
+def minimap(ring: Column, box: Column, width: float, height: float) -> Column:
+    """The ring fitted into a canvas of the given size (y down)."""
+    scale = F.least(F.try_divide(F.lit(width), box["xmax"] - box["xmin"]), F.try_divide(F.lit(height), box["ymax"] - box["ymin"]))
+    return F.transform(ring, lambda p: F.struct(((p["x"] - box["xmin"]) * scale).alias("x"), (height - (p["y"] - box["ymin"]) * scale).alias("y")))

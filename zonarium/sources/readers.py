@@ -84,3 +84,37 @@ def newest_release(paths: list[str]) -> str | None:
 
     dated = [(m.group(1), p) for p in paths if (m := re.search(r"(\d{4}-\d{2}-\d{2}(?:\.\d+)?)", p))]
     return max(dated)[1] if dated else None
+
+
+def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV whose delimiter (semicolon, tab or comma) is taken from its first line."""
+    first = spark.read.text(path).limit(1).first()
+    line = first[0] if first else ""
+    sep = max(";\t,", key=line.count)
+    return spark.read.option("header", True).option("sep", sep).csv(path)
+
+
+def footprints(spark: SparkSession, path: str, xmin: float, ymin: float, xmax: float, ymax: float, limit: int | None = None) -> DataFrame:
+    """Footprints whose ``bbox`` struct meets a box; the tests reach the Parquet scan as struct-field filters."""
+    f = spark.read.parquet(path).where((F.col("bbox.xmin") <= xmax) & (F.col("bbox.xmax") >= xmin) & (F.col("bbox.ymin") <= ymax) & (F.col("bbox.ymax") >= ymin))
+    return f.limit(limit) if limit else f
+
+
+def merged_json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """JSON records of a folder; of one key the record of the last file (by name) counts."""
+    d = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("_file", F.col("_metadata.file_name"))
+    return d.groupBy(key).agg(F.max_by(F.struct(*[c for c in d.columns if c != "_file"]), "_file").alias("r")).select("r.*")
+
+
+def plan_provider(spark: SparkSession, kind: str, path: str | None = None) -> DataFrame:
+    """Plan rules from a CSV, from the literal relation, or none; a CSV that is not there falls back to the literals."""
+    from zonarium.sources.literals import PLAN_COLUMNS, PLANS, relation
+
+    literal = relation(spark, PLANS, PLAN_COLUMNS)
+    if kind == "csv" and path:
+        try:
+            return plan_csv(spark, path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return literal if kind in ("csv", "literal") else literal.limit(0)
