@@ -1,0 +1,50 @@
+"""The registered corpus queries: contract columns, and the SQL twins at sf0.001."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from zonarium.llm import queries
+
+SF = "/root/testdata/sf0.001"
+there = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+
+CONTRACT = {
+    "op1_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op2_html_extract": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op3_secret_scan": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op4_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op5_decontaminate": {"doc_id": "bigint", "item_id": "bigint"},
+    "op6_simhash_dedup": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+    "op7_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op8_token_counts": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op9_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op10_mix_sources": {"doc_id": "bigint", "rate": "double"},
+}
+
+
+def test_all_are_registered():
+    assert set(CONTRACT) == set(queries.QUERIES) and set(CONTRACT) | {"pipeline"} <= set(entry.queries())
+    assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
+
+
+@there
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_contract_columns(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    kinds = dict(df.dtypes)
+    assert {c: kinds.get(c) for c in CONTRACT[name]} == CONTRACT[name]
+
+
+@there
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df, rel = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    rows = lambda columns, data: sorted(str([str(r[columns.index(c)]) for c in sorted(columns)]) for r in data)
+    assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
