@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are hashed in slices of about this many bytes, which keeps the temporaries in cache.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
 WORD_MULTIPLIER = 0xD6E8FEB86659FD93
