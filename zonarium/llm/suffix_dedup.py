@@ -28,7 +28,6 @@ empty result; texts are handled whole with memory in proportion; other columns a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
