@@ -35,9 +35,8 @@ def code_key(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Index terms: folded runs of letters and digits of three or more, without stop-words."""
-    words = F.regexp_extract_all(fold(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    words = F.regexp_extract_all(fold(c), F.lit("([a-z0-9]{3,})"), F.lit(1))
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 
 def number(c: Column) -> Column:

@@ -8,25 +8,32 @@ from pyspark.sql import functions as F
 
 from zonarium.functions import text as t
 from zonarium.operators.lookups import small, top_k
+from zonarium.sources.scratch import materialised
 
 K1, B, RRF_K = 1.5, 0.75, 60
+SMALL_TERMS = 5_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, question: str) -> DataFrame:
     """(query, doc, score) of every document with a query term.
 
-    Documents are tokenised once; only terms of some query leave the scan, already counted by
-    document, so the shuffles carry matches and not the corpus.
+    Documents are tokenised once: what is kept of each is its length and its query terms, so neither
+    the statistics nor the shuffles touch the corpus again.  Up to ``SMALL_TERMS`` distinct query
+    terms are tested inside the scan, more by a join.
     """
     asked = queries.select(query, F.explode(F.array_distinct(t.terms(F.col(question)))).alias("term"))
-    wanted = asked.select("term").distinct()
+    wanted = [r["term"] for r in asked.select("term").distinct().limit(SMALL_TERMS + 1).collect()]
+    few = len(wanted) <= SMALL_TERMS
     tokens = docs.select(doc, t.terms(F.col(text)).alias("_t"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("mean"))
-    tf = tokens.select(doc, F.size("_t").alias("len"), F.explode("_t").alias("term")).join(small(wanted), "term", "left_semi").groupBy(doc, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = F.filter("_t", lambda w: w.isin(wanted)) if few else F.col("_t")
+    kept = materialised(tokens.select(doc, F.size("_t").alias("len"), hits.alias("_t")), "tokens")
+    stats = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    found = kept.select(doc, "len", F.explode("_t").alias("term"))
+    tf = (found if few else found.join(asked.select("term").distinct(), "term", "left_semi")).groupBy(doc, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(small(df), "term").join(F.broadcast(stats), F.lit(True)).withColumn("part", part)
+    scored = tf.join(df, "term").join(F.broadcast(stats), F.lit(True)).withColumn("part", part)
     return scored.join(small(asked), "term").groupBy(query, doc).agg(F.sum("part").alias("score"))
 
 
@@ -47,10 +54,11 @@ def reciprocal_ranks(rankings: list[DataFrame], key: str, k: int = RRF_K) -> Dat
 
 
 def best_of_content(docs: DataFrame, text: str, score: Column, key: str) -> DataFrame:
-    """One document for each content signature: highest score, then smallest key; empty signatures all stay."""
-    s = docs.withColumn("_s", t.signature(F.col(text)))
-    kept = s.where(F.col("_s") != "").groupBy("_s").agg(F.max_by(F.struct(*docs.columns), F.struct(score, -F.col(key))).alias("_r")).select("_r.*")
-    return kept.unionByName(s.where((F.col("_s") == "") | F.col("_s").isNull()).select(*docs.columns))
+    """One document (without its text) for each content signature: highest score, then smallest key; empty signatures all stay."""
+    rest = [c for c in docs.columns if c != text]
+    s = docs.select(*rest, t.signature(F.col(text)).alias("_s"))
+    kept = s.where(F.col("_s") != "").groupBy("_s").agg(F.max_by(F.struct(*rest), F.struct(score, -F.col(key))).alias("_r")).select("_r.*")
+    return kept.unionByName(s.where((F.col("_s") == "") | F.col("_s").isNull()).select(*rest))
 
 
 def packed(pieces: DataFrame, by: str, rank: str, text: str, piece: int = 500, room: int = 1000) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Temporary folders of sessions that name none (tests on one machine), by application.
 _OWN: dict[str, str] = {}
@@ -21,3 +21,10 @@ def folder(spark: SparkSession, name: str) -> str:
             _OWN[key] = "file://" + tempfile.mkdtemp(prefix="zonarium-")
         top = _OWN[key]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again, for what several later steps need."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
