@@ -108,3 +108,14 @@ def test_pipeline_stages_agree_with_the_operators(spark):
         assert r["text"] == ss.redacted(before[r["doc_id"]], found) and not ss.base_findings(r["text"]) and (not found or r["n_chars"] == len(r["text"]))
     last = cp.STAGES[4][1](spark, safe, SF)
     assert set(ids(last)) <= set(ids(safe)) and ids(cp.run(spark, SF)) == ids(last)
+
+
+def test_no_telling_feature_is_lost(spark):
+    """Every chosen feature counts, whichever bits its code shares with another's."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(-(2**63), 2**63, 2_000).tolist()
+    codes += [c ^ (1 << 60) for c in codes[:20]]
+    weights = {c: [round(0.5 + k / 1000, 3), -1.0] for k, c in enumerate(codes)}
+    df = spark.createDataFrame([(c, [c, c ^ 1]) for c in codes], "c long, f array<long>")
+    got = df.select("c", mx.Classifier(weights, []).evidence(F.col("f")).alias("e")).collect()
+    assert {r["c"]: r["e"] for r in got} == weights

@@ -73,6 +73,40 @@ def with_features(df: DataFrame) -> DataFrame:
     return df.select(*rest, "n_tokens", codes.alias("f"))
 
 
+@dataclass(frozen=True)
+class Places:
+    """A slot for a code: its low bits, exclusive-ored with the move that its bits from ``low`` on choose."""
+
+    size: int
+    low: int
+    moves: list[int]
+
+    def __call__(self, code: int) -> int:
+        return (code ^ self.moves[(code >> self.low) & (len(self.moves) - 1)]) & (self.size - 1)
+
+
+def placed(codes: list[int]) -> Places:
+    """Places that give every code a slot of its own: groups of one move are placed in turn, the largest first."""
+    bits = (8 * len(codes)).bit_length()
+    for size in (1 << k for k in range(bits, bits + 4)):
+        groups_of = max(2, size // 4)
+        for low in (*range(size.bit_length() - 1, 63), *range(size.bit_length() - 1)):
+            groups: dict[int, list[int]] = {}
+            for code in codes:
+                groups.setdefault((code >> low) & (groups_of - 1), []).append(code & (size - 1))
+            moves, used = [0] * groups_of, set()
+            for group, at in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+                free = (m for m in range(size) if used.isdisjoint(a ^ m for a in at)) if len(set(at)) == len(at) else iter(())
+                move = next(free, None)
+                if move is None:
+                    break
+                moves[group] = move
+                used.update(a ^ move for a in at)
+            else:
+                return Places(size, low, moves)
+    raise ValueError("codes cannot be placed: they are not spread like hashes")
+
+
 @dataclass
 class Classifier:
     """For each telling feature its log weight for every domain but the first, and the calibration.
@@ -86,17 +120,19 @@ class Classifier:
     def evidence(self, features: Column) -> Column:
         """Array of the summed weights of the telling features, one for every later domain.
 
-        Telling features sit in an open table by their low bits, next to their full code.
+        Telling features sit in a table next to their full code, each in a slot of its own.
         """
         zero = F.array(*(F.lit(0.0) for _ in DOMAINS[1:]))
         if not self.weights:
             return zero
-        size = 1 << (8 * len(self.weights)).bit_length()
-        slots: list[dict | None] = [None] * size
-        for code, w in sorted(self.weights.items(), key=lambda x: (max(map(abs, x[1])), x[0])):
-            slots[code & (size - 1)] = {"c": code, "w": w}  # of two in one slot the stronger stays
+        place = placed(list(self.weights))
+        slots: list[dict | None] = [None] * place.size
+        for code, w in self.weights.items():
+            slots[place(code)] = {"c": code, "w": w}
         table = F.from_json(F.lit(json.dumps(slots)), "array<struct<c:bigint,w:array<double>>>")
-        slot = lambda f: F.element_at(table, (f.bitwiseAND(F.lit(size - 1)) + 1).cast("int"))
+        moves = F.from_json(F.lit(json.dumps(place.moves)), "array<bigint>")
+        moved = lambda f: F.element_at(moves, (F.shiftright(f, place.low).bitwiseAND(F.lit(len(place.moves) - 1)) + 1).cast("int"))
+        slot = lambda f: F.element_at(table, (f.bitwiseXOR(moved(f)).bitwiseAND(F.lit(place.size - 1)) + 1).cast("int"))
         told = F.filter(features, lambda f: slot(f)["c"] == f)
         total = F.aggregate(told, zero, lambda t, f: F.zip_with(t, slot(f)["w"], lambda x, y: x + y))
         return F.transform(total, lambda x: F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))
