@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a character convolutional network over the other candidates.
 
-Three patterns give the base findings.  Every other run of key-like characters with a digit is a
-candidate; a small convolutional network in numpy reads its characters and 32 characters on either
+Three patterns give the base findings.  Every other run of key-like characters with a digit, or part
+of a run beside a base finding, is a candidate; a small convolutional network in numpy reads its characters and 32 characters on either
 side and gives a probability that it is a secret.  The network is trained here on labelled
 findings (:func:`labelled_findings` makes a fixed, bounded set; another can be passed), its scores
 are calibrated on a held-out part, and the threshold is the highest one that keeps the wanted recall
@@ -35,7 +35,8 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
 
 SIDE, BODY = 32, 64
 WIDTH = SIDE + BODY + SIDE
@@ -56,12 +57,18 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Key-like runs with a digit and a letter that touch no base finding."""
+    """Key-like runs with a digit and a letter, less what base findings take of them: each part that is left counts if it is long enough."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, _, b in taken):
-            out.append((m.start(), m.end()))
+        at, parts = m.start(), []
+        for a, _, b in taken:  # sorted by start
+            if a < m.end() and at < b:
+                parts.append((at, a))
+                at = b
+        for a, b in [*parts, (at, m.end())]:
+            run = text[a:b]
+            if len(run) >= SHORTEST and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+                out.append((a, b))
     return out
 
 
