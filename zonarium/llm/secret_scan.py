@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over the other candidates.
 
-Three patterns give the base findings.  Every other run of key-like characters with a digit, or part
+Three patterns give the base findings.  Every other run of 16 or more key-like characters, or part
 of a run beside a base finding, is a candidate; a small convolutional network in numpy reads its characters and 32 characters on either
 side and gives a probability that it is a secret.  The network is trained here on labelled
-findings (:func:`labelled_findings` makes a fixed, bounded set; another can be passed), its scores
-are calibrated on a held-out part, and the threshold is the highest one that keeps the wanted recall
-there.  Training is seeded, so the same labels give the same model on every driver.
+findings (:func:`labelled_findings` makes a fixed, bounded set; another can be passed).  Three fifths of them
+train it, a fifth calibrates its scores, and on the last fifth the threshold is chosen: the highest
+probability that keeps the wanted recall.  Training is seeded, so the same labels give the same model on
+every driver.
 
 Edge cases: null text counts as empty and has no findings; repeated rows and null ids are scanned
 one by one; texts are scanned whole, long candidates in overlapping pieces; an empty table gives an
@@ -44,8 +45,6 @@ ALPHABET = 97  # 0: nothing, 1..95: printable ASCII, 96: any other
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[ord("0") : ord("9") + 1] = True
 
 
 def base_findings(text: str) -> list[tuple[int, str, int]]:
@@ -57,29 +56,33 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Key-like runs with a digit and a letter, less what base findings take of them: each part that is left counts if it is long enough."""
-    out = []
+    """Key-like runs, less what base findings (sorted by start) take of them: each part that is left counts if it is long enough."""
+    out, k, reach = [], 0, 0  # findings before k begin before the place looked at; the furthest of them ends at reach
     for m in CANDIDATE.finditer(text):
-        at, parts = m.start(), []
-        for a, _, b in taken:  # sorted by start
-            if a < m.end() and at < b:
-                parts.append((at, a))
-                at = b
-        for a, b in [*parts, (at, m.end())]:
-            run = text[a:b]
-            if len(run) >= SHORTEST and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-                out.append((a, b))
+        at = m.start()
+        while at < m.end():
+            while k < len(taken) and taken[k][0] <= at:
+                reach = max(reach, taken[k][2])
+                k += 1
+            if reach > at:
+                at = min(reach, m.end())
+                continue
+            end = min(m.end(), taken[k][0]) if k < len(taken) else m.end()
+            if end - at >= SHORTEST:
+                out.append((at, end))
+            at = end
     return out
 
 
 # --- labelled findings ---------------------------------------------------------------------------
 
 
-def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str, int]]:
+def labelled_findings(n: int = 12_000, seed: int = 7) -> list[tuple[str, str, str, int]]:
     """``n`` labelled candidates (left context, candidate, right context, secret or not).
 
     The positives imitate the shapes of issued credentials, the negatives what prose, links, tables
-    and code hold instead.  Contexts are drawn alike for both, and half the positives have none.
+    and code hold instead.  Some of the negatives look like keys and only their context tells (identifiers, checksums,
+    embedded images); one candidate in a hundred is a bare random string of either label, so that no score is certain.
     """
     rng = random.Random(seed)
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -87,15 +90,18 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     syllables = [pick("bcdfghklmnprstvw", 1) + pick("aeiou", 1) + pick("lnrst", rng.randrange(2)) for _ in range(300)]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
-    prose = lambda: " ".join(word() for _ in range(8)) + " "
+    clusters = "sch cht tz pf ng st nd th wh rr ll ch str ver ein heit keit ung er en ie au be zu tion ment oui eau ció ado que the ing and".replace("ó", "o").split()
+    compound = lambda: "".join(rng.choice(clusters) for _ in range(rng.randrange(5, 10)))
+    prose = lambda: " ".join(rng.choice((word, word, word, lambda: compound()[: rng.randrange(3, 14)]))() for _ in range(8)) + " "
     positives = [
         lambda: pick(alnum, rng.randrange(20, 65)),
+        lambda: pick(letters + letters.upper(), rng.randrange(20, 65)),
         lambda: "ghp_" + pick(alnum, 36),
         lambda: "sk-" + pick(alnum, rng.randrange(32, 49)),
         lambda: "xoxb-" + pick(digits, 11) + "-" + pick(alnum, 24),
         lambda: "eyJ" + pick(alnum, 33) + "." + pick(alnum, 40) + "." + pick(alnum + "-_", 43),
         lambda: pick(alnum + "+/", rng.choice((32, 40, 44, 64))) + rng.choice(("", "=", "==")),
-        lambda: pick(digits + "ABCDEF", rng.choice((24, 32, 40, 64))),
+        lambda: pick(digits + rng.choice(("abcdef", "ABCDEF")), rng.choice((24, 32, 40, 64))),
         lambda: "AIza" + pick(alnum + "-_", 35),
     ]
     negatives = [
@@ -104,20 +110,42 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, str, str,
         lambda: "www." + word() + word() + str(rng.randrange(10)) + "." + word() + ".com",
         lambda: f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}T{rng.randrange(24):02d}.{rng.randrange(60):02d}",
         lambda: "version-" + ".".join(str(rng.randrange(40)) for _ in range(4)) + "-" + rng.choice(("beta", "rc1", "final")),
-        lambda: word() + word() + word() + word() + str(rng.randrange(100)),
+        lambda: word() + word() + word() + word() + rng.choice((".", "", str(rng.randrange(100)))),
+        lambda: (word() + word() + word() + word()).title() + rng.choice((".", "...", "")),
+        compound,
+        lambda: compound().capitalize() + rng.choice((".", "", "...")),
+        lambda: "-".join((word(), word(), word(), word())),
+        lambda: word().upper() + word().upper() + word().upper() + rng.choice((".", "")),
         lambda: word().upper() + "_" + word().upper() + "_" + word().upper() + "_" + str(rng.randrange(10)),
         lambda: word() + word().title() + word().title() + word().title() + str(rng.randrange(10)),
-        lambda: rng.choice("xX0aA-=_.") * rng.randrange(15, 50) + "1a",
+        lambda: rng.choice("xX0aA-=_.") * rng.randrange(15, 50) + rng.choice(("1a", "", "-")),
         lambda: word() + "." + word() + str(rng.randrange(10)) + "." + word() + "." + word(),
         lambda: str(rng.randrange(10**6)) + "-" + word() + "-" + str(rng.randrange(10**6)) + "-" + word(),
+        lambda: pick(digits, rng.randrange(16, 30)),
+        lambda: "-".join(pick(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)),
+    ]
+    alike = [
+        lambda: ("IBAN ", pick(letters.upper(), 2) + pick(digits, 20)),
+        lambda: ("data:image/png;base64,", "iVBORw0KGgo" + pick(alnum + "+/", rng.randrange(40, 90))),
+        lambda: (rng.choice(("sha256:", "checksum ", "md5 ", "digest ", "commit ")), pick(digits + rng.choice(("abcdef", "ABCDEF")), rng.choice((32, 40, 64)))),
+        lambda: (rng.choice(("ISBN ", "order no. ", "tracking ", "serial ")), pick(digits + letters.upper(), rng.randrange(16, 24))),
+        lambda: ("https://" + word() + ".com/watch?v=", pick(alnum + "-_", rng.randrange(16, 24))),
     ]
-    hints = ["key=", "key: ", "auth ", "Authorization: Bearer ", "private ", "credential ", "export KEY=", ""]
+    hints = ["key=", "key: ", "auth ", "Authorization: Bearer ", "private ", "credential ", "export KEY=", 'token = "', "password: ", 'secret="', "api_key="]
     out = []
     for k in range(n):
-        secret = k % 2
-        body = rng.choice(positives if secret else negatives)()
-        left = prose() + (rng.choice(hints) if rng.random() < (0.5 if secret else 0.15) else "")
-        out.append((left, body, " " + prose(), secret))
+        secret, left = k % 2, prose()
+        if rng.random() < 0.01:
+            body, secret = pick(alnum, rng.randrange(20, 40)), rng.randrange(2)
+        elif secret:
+            left, body = left + (rng.choice(hints) if rng.random() < 0.6 else ""), rng.choice(positives)()
+        elif rng.random() < 0.15:
+            hint, body = rng.choice(alike)()
+            left += hint
+        else:
+            left, body = left + (rng.choice(hints) if rng.random() < 0.1 else ""), rng.choice(negatives)()
+        if len(body) >= SHORTEST:
+            out.append((left, body, rng.choice((" ", ", ", "\n", ". ")) + prose(), secret))
     rng.shuffle(out)
     return out
 
@@ -170,19 +198,19 @@ class Network:
         return x, flat, act, inside / size[:, None, :], top, np.concatenate([largest, mean, np.ones((len(codes), 1), np.float32)], 1)
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        return self._layers(codes)[-1] @ self.out if len(codes) else np.zeros(0, np.float32)
+        parts = [self._layers(codes[k : k + 512])[-1] @ self.out for k in range(0, len(codes), 512)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        out = [1 / (1 + np.exp(-np.clip(self.scale * self.scores(codes[k : k + 512]) + self.shift, -30, 30))) for k in range(0, len(codes), 512)]
-        return np.concatenate(out) if out else np.zeros(0)
+        return 1 / (1 + np.exp(-(self.scale * self.scores(codes).astype(np.float64) + self.shift)))
 
 
-def train(labelled: list[tuple[str, str, str, int]], recall: float = 0.97, epochs: int = 4, embedding: int = 10, filters: int = 24, seed: int = 3) -> Network:
-    """Fit by Adam on two thirds, calibrate (Platt) and choose the threshold on the rest."""
+def train(labelled: list[tuple[str, str, str, int]], recall: float = 0.97, epochs: int = 6, embedding: int = 10, filters: int = 32, seed: int = 3) -> Network:
+    """Fit by Adam on three fifths, calibrate (Platt) on the fourth and choose the threshold on the last."""
     rng = np.random.default_rng(seed)
     codes = np.stack([encode(a, b, c) for a, b, c, _ in labelled])
     label = np.array([y for *_, y in labelled], np.float32)
-    cut = 2 * len(label) // 3
+    cut, last = 3 * len(label) // 5, 4 * len(label) // 5
     w = Network.WINDOW
     net = Network(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.3, (ALPHABET, embedding)), (0.15, ((embedding + 1) * w, filters)), (0.01, filters), (0.1, 2 * filters + 1))))
     params = [net.embed, net.kernel, net.bias, net.out]
@@ -209,19 +237,22 @@ def train(labelled: list[tuple[str, str, str, int]], recall: float = 0.97, epoch
                 a[:] = 0.9 * a + 0.1 * g
                 b[:] = 0.999 * b + 0.001 * g * g
                 p -= 0.004 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-7)
-    held = np.concatenate([net.scores(codes[k : k + 512]) for k in range(cut, len(codes), 512)])
-    truth = label[cut:]
-    for _ in range(200):  # Platt scaling by Newton steps on two numbers
-        p = 1 / (1 + np.exp(-np.clip(net.scale * held + net.shift, -30, 30)))
-        g = np.array([((p - truth) * held).sum() + 1e-3 * (net.scale - 1), (p - truth).sum()])
-        q = p * (1 - p)
-        h = np.array([[(q * held * held).sum() + 1e-3, (q * held).sum()], [(q * held).sum(), q.sum() + 1e-3]])
+    held = net.scores(codes[cut:last]).astype(np.float64)
+    truth = label[cut:last].astype(np.float64)
+    # Platt's targets keep the probabilities inside (0, 1) even where the scores part the classes
+    truth = np.where(truth == 1, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
+    for _ in range(200):  # Newton steps on two numbers
+        p = 1 / (1 + np.exp(-(net.scale * held + net.shift)))
+        g = np.array([((p - truth) * held).sum() + 1e-2 * net.scale, (p - truth).sum()])
+        q = np.maximum(p * (1 - p), 1e-9)
+        h = np.array([[(q * held * held).sum() + 1e-2, (q * held).sum()], [(q * held).sum(), q.sum() + 1e-3]])
         step = np.linalg.solve(h, g)
+        step *= min(1.0, 1.0 / np.abs(step).max())
         net.scale, net.shift = float(net.scale - step[0]), float(net.shift - step[1])
         if np.abs(step).max() < 1e-6:
             break
-    sure = np.sort(net.probability(codes[cut:])[truth == 1])
-    net.threshold = float(max(0.5, sure[int(np.floor((1 - recall) * len(sure)))])) if len(sure) else 0.5
+    sure = np.sort(net.probability(codes[last:])[label[last:] == 1])
+    net.threshold = float(sure[int(np.floor((1 - recall) * len(sure)))]) if len(sure) else 0.5
     return net
 
 
@@ -234,13 +265,10 @@ def default_network() -> Network:
 
 
 def _worth_reading(off: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Texts that can hold a finding: one with ``=`` or ``:``, or with a run of 16 key-like characters that has a digit."""
+    """Texts that can hold a finding: one with ``=`` or ``:``, or with a run of 16 key-like characters."""
     edge = np.diff(np.concatenate([[False], _RUN[raw], [False]]).astype(np.int8))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-    run = ((stop - start) >= 16) & (digits[stop] > digits[start])
-    # long runs of letters alone can still be base findings
-    run |= (stop - start) >= 20
+    run = (stop - start) >= SHORTEST
     at = np.concatenate([start[run], np.flatnonzero((raw == ord("=")) | (raw == ord(":")))])
     flag = np.zeros(len(off) - 1, bool)
     # a run may reach over several texts laid end to end
