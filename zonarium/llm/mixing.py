@@ -1,8 +1,8 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
 Domains come from the labelled table: ``toxic`` (toxic = 1), ``low`` (quality = 0) and ``clean``
-(quality = 1).  A naive Bayes classifier over hashed distinct words, their beginnings and how varied
-they are is fitted on a bounded sample of labelled documents (``most_labels``, chosen by hash of the id), its
+(quality = 1).  A naive Bayes classifier over hashed distinct words, their beginnings, how varied
+they are and the share of symbols is fitted on a bounded sample of labelled documents (``most_labels``, chosen by hash of the id), its
 evidence is calibrated by a logistic regression on the same rows, and every document gets its
 posterior over the domains.  Then nonnegative rates r are fitted by
 projected gradient on
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from zonarium.llm.simhash_dedup import written
 
-#: Words that begin alike often belong together; this many characters tell.
-BEGINNING = 5
+#: Words that begin alike often belong together; so many characters tell.
+BEGINNINGS = (5, 8)
+SYMBOLS = "#$%&*|<>=~^_+!"
 DOMAINS = ("clean", "low", "toxic")
 
 
@@ -46,30 +47,34 @@ class Mix:
     volume: float = 1.0
     most_labels: int = 20_000
     most_features: int = 2_000
-    standard_errors: float = 3.0
+    least_certainty: float = 20.0
     least_lift: float = 0.3
     rounds: int = 40
     tolerance: float = 1e-3
+    leave_out: dict[str, float] = field(default_factory=dict)
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words without punctuation; symbols stay, as they tell prose from menus and junk."""
-    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r.,;:!?\"'()", " " * 15)
-    return F.array_remove(F.split(flat, " "), "")
+def plain_of(text: Column) -> Column:
+    """The text in lower case with punctuation as spaces and without symbols."""
+    spaces = "\t\n\x0b\x0c\r.,;:?\"'()"
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), spaces + SYMBOLS, " " * len(spaces))
 
 
 def with_features(df: DataFrame) -> DataFrame:
     """Adds ``n_tokens`` and ``f`` for ``text``: 64-bit codes of the distinct words, of their distinct
-    beginnings, and of how varied the words are; drops the text.
+    beginnings, of how varied the words are, and of the share of symbols, which tells prose from menus and junk; drops the text.
 
     One projection for each array that is used twice, so that none is computed twice.
     """
     rest = [c for c in df.columns if c != "text"]
-    df = df.select(*rest, words_of(F.col("text")).alias("_w"))
-    df = df.select(*rest, F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
-    begins = F.array_distinct(F.transform("_d", lambda w: F.substring(w, 1, BEGINNING)))
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    df = df.select(*rest, size.alias("_s"), plain_of(F.col("text")).alias("_x"))
+    symbols = F.floor(F.sqrt(F.greatest(F.col("_s") - F.char_length("_x"), F.lit(0)) / F.greatest("_s", F.lit(1))) * 10)
+    df = df.select(*rest, symbols.alias("_y"), F.array_remove(F.split("_x", " "), "").alias("_w"))
+    df = df.select(*rest, "_y", F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
+    begins = [F.transform(F.array_distinct(F.transform("_d", lambda w, n=n: F.substring(w, 1, n))), lambda w, n=n: F.xxhash64(w, F.lit(n))) for n in BEGINNINGS]
     varied = F.floor(10 * F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1)))
-    codes = F.concat(F.transform("_d", lambda w: F.xxhash64(w)), F.transform(begins, lambda w: F.xxhash64(w, F.lit(1))), F.array(F.xxhash64(varied, F.lit(2), F.lit(2))))
+    codes = F.concat(F.transform("_d", lambda w: F.xxhash64(w)), *begins, F.array(F.xxhash64(varied, F.lit(2), F.lit(2)), F.xxhash64("_y", F.lit(3), F.lit(3))))
     return df.select(*rest, "n_tokens", codes.alias("f"))
 
 
@@ -111,7 +116,8 @@ def placed(codes: list[int]) -> Places:
 class Classifier:
     """For each telling feature its log weight for every domain but the first, and the calibration.
 
-    Row k of ``scale`` turns (1, evidence for each later domain) into the log odds of domain k + 1.
+    Evidence for a domain is against the domains listed before it.  Row k of ``scale`` turns (1, evidence for each
+    later domain) into the log odds of domain k + 1 against the domains before it.
     """
 
     weights: dict[int, list[float]]
@@ -142,40 +148,35 @@ class Classifier:
 
 
 def _calibrated(cells: list[tuple[int, list[float], int]], domains: int) -> list[list[float]]:
-    """Multinomial logistic regression of the domain on the evidence, by damped Newton steps.
+    """For each domain but the first a logistic regression on the evidence, against the domains before it, by damped Newton steps.
 
     ``cells`` are (domain, evidence, labelled rows); a weak ridge keeps separable evidence finite.
     """
-    width = domains
-    theta = np.zeros((domains - 1, width))
-    if not cells:
-        return theta.tolist()
-    x = np.array([[1.0, *e] for _, e, _ in cells])
-    y = np.eye(domains)[[d for d, *_ in cells]][:, 1:]
-    n = np.array([c for *_, c in cells], float)
-    ridge = 1e-3 * n.sum() * np.eye((domains - 1) * width) / 100
-    for _ in range(50):
-        z = x @ theta.T
-        top = np.maximum(z.max(1), 0)[:, None]
-        p = np.exp(z - top) / (np.exp(-top) + np.exp(z - top).sum(1, keepdims=True))
-        slope = ((n[:, None] * (p - y)).T @ x).ravel() + ridge @ theta.ravel()
-        curve = ridge.copy()
-        for a in range(domains - 1):
-            for b in range(domains - 1):
-                w = n * (p[:, a] * (a == b) - p[:, a] * p[:, b])
-                curve[a * width : (a + 1) * width, b * width : (b + 1) * width] += (x * w[:, None]).T @ x
-        step = np.linalg.solve(curve, slope)
-        theta -= (step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))).reshape(theta.shape)
-        if np.abs(step).max() < 1e-6:
-            break
-    return theta.round(6).tolist()
+    out = []
+    for k in range(1, domains):
+        theta = np.zeros(domains)
+        theta[0] = -math.log(k)  # of equal domains
+        some = [c for c in cells if c[0] <= k]
+        x = np.array([[1.0, *e] for _, e, _ in some])
+        y = np.array([d == k for d, *_ in some], float)
+        n = np.array([c for *_, c in some], float)
+        ridge = 1e-5 * n.sum() * np.eye(domains)
+        for _ in range(100 if some else 0):
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            curve = (x * (n * p * (1 - p))[:, None]).T @ x + ridge
+            step = np.linalg.solve(curve, (n * (p - y)) @ x + ridge @ theta)
+            theta -= step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+            if np.abs(step).max() < 1e-6:
+                break
+        out.append(theta.round(6).tolist())
+    return out
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
     """Naive Bayes from at most ``most_labels`` labelled rows, keeping ``most_features`` telling features.
 
-    A feature's log ratio between two domains is drawn towards zero by ``standard_errors`` of it;
-    what remains is its weight.  Counting and choosing are aggregations; only chosen rows are gathered.
+    A feature tells if its log-likelihood ratio (G) between a domain and those before it is ``least_certainty`` or
+    more; its log ratio, less one standard error, is its weight.  Counting and choosing are aggregations; only chosen rows are gathered.
     """
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
     some = (
@@ -188,15 +189,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [totals.get(k, 0) for k in range(len(DOMAINS))]
     counts = seen.select("domain", F.explode("f").alias("f")).groupBy("f").agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))))
-    weight = []
+    weight, certain = [], []
     for k in range(1, len(DOMAINS)):
-        if not n[0] or not n[k]:
+        before = sum(n[:k])
+        if not before or not n[k]:
             weight.append(F.lit(0.0))
+            certain.append(F.lit(0.0))
             continue
-        lift = F.log((F.col(f"c{k}") + 0.5) / (n[k] + 1) * (n[0] + 1) / (F.col("c0") + 0.5))
-        sure = F.abs(lift) - mix.standard_errors * F.sqrt(1 / (F.col(f"c{k}") + 0.5) + 1 / (F.col("c0") + 0.5))
-        weight.append(F.when(sure >= mix.least_lift, F.round(F.signum(lift) * sure, 4)).otherwise(F.lit(0.0)))
-    strongest = F.greatest(F.lit(0.0), *(F.abs(w) for w in weight))
+        here, there = F.col(f"c{k}") + 0.5, sum((F.col(f"c{j}") for j in range(k)), F.lit(0.5))
+        lift = F.log(here / (n[k] + 1) * (before + 1) / there)
+        share = (here + there) / (n[k] + before + 2)  # of the documents of all these domains
+        parts = [(here, n[k] + 1, share), (n[k] + 1 - here, n[k] + 1, 1 - share), (there, before + 1, share), (before + 1 - there, before + 1, 1 - share)]
+        certain.append(sum((2 * some_ * F.log(some_ / (all_ * part)) for some_, all_, part in parts), F.lit(0.0)))
+        size = F.greatest(F.abs(lift) - F.sqrt(1 / here + 1 / there), F.lit(0.0))
+        weight.append(F.when((certain[-1] >= mix.least_certainty) & (size >= mix.least_lift), F.round(F.signum(lift) * size, 4)).otherwise(F.lit(0.0)))
+    strongest = F.greatest(F.lit(0.0), *(F.when(w != 0, c) for w, c in zip(weight, certain, strict=True)))
     told = counts.select("f", F.array(*weight).alias("w"), strongest.alias("s")).where("s > 0").orderBy(F.desc("s"), "f").limit(mix.most_features).collect()
     model = Classifier({r["f"]: list(r["w"]) for r in told}, [])
     cells = seen.select("domain", F.transform(model.evidence(F.col("f")), lambda x: F.round(2 * x) / 2).alias("e")).groupBy("domain", "e").count().collect()
@@ -205,14 +212,19 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
 
 
 def with_posterior(df: DataFrame, model: Classifier) -> DataFrame:
-    """Replaces ``f`` by ``p``, the posterior over the domains, rounded to 1/200 so that equal evidence is one class."""
+    """Replaces ``f`` by ``p``, the posterior over the domains in steps of 1/200, so that equal evidence is one class.
+
+    The running sums are rounded, not the parts, so every posterior adds up to one.
+    """
     rest = [c for c in df.columns if c != "f"]
     df = df.select(*rest, model.evidence(F.col("f")).alias("_e"))
-    odds = [F.lit(1.0)] + [F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))) for x in model.log_odds(F.col("_e"))]
-    df = df.select(*rest, F.array(*odds).alias("_o"))
-    whole = F.aggregate("_o", F.lit(0.0), lambda t, x: t + x)
-    df = df.select(*rest, "_o", whole.alias("_s"))
-    return df.select(*rest, F.transform("_o", lambda x: F.round(x / F.col("_s") * 200) / 200).alias("p"))
+    against = [1 / (1 + F.exp(F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))) for x in model.log_odds(F.col("_e"))]
+    df = df.select(*rest, F.array(*against).alias("_a"))
+    upto = [F.lit(200.0)]  # of this domain and those before it
+    for k in range(len(DOMAINS) - 2, -1, -1):
+        upto.insert(0, upto[0] * F.col("_a")[k])
+    upto = [F.round(x) for x in upto]
+    return df.select(*rest, F.array(upto[0] / 200, *((y - x) / 200 for x, y in zip(upto, upto[1:], strict=False))).alias("p"))
 
 
 def _inverse(m: list[list[float]]) -> list[list[float]]:
@@ -254,12 +266,12 @@ def fit_rates(members: DataFrame, mix: Mix) -> tuple[list[list[float]], list[flo
     w = _inverse([[row[f"m{i}{j}"] for j in k] for i in k])
     steps: list[list[float]] = []
     before = math.inf
-    for _ in range(mix.rounds):
+    while True:
         r = rate(F.col("p"), steps)
         got = classes.agg(*(F.sum(F.col("n") * F.col("p")[i] * r).alias(f"g{i}") for i in k)).first()
         g = [got[f"g{i}"] for i in k]
         miss = [a - b for a, b in zip(g, target, strict=True)]
-        if max(map(abs, miss)) <= mix.tolerance * total:
+        if max(map(abs, miss)) <= mix.tolerance * total or len(steps) == mix.rounds:
             break
         worth = sum(miss[i] * w[i][j] * miss[j] for i in k for j in k)
         if worth > (1 - mix.tolerance) * before:  # no rates come closer
@@ -270,20 +282,33 @@ def fit_rates(members: DataFrame, mix: Mix) -> tuple[list[list[float]], list[flo
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, mix: Mix | None = None, keep: tuple[str, ...] = ("source",)) -> DataFrame:
-    """Every document with its words, posterior, rate and expected tokens (``keep`` passes columns on)."""
+    """Every document with its words, posterior, rate and expected tokens, and how far the fit is off.
+
+    ``keep`` passes columns on, the text too if it is named; one whose name is that of an added column gives way to it.
+    ``target_miss`` is the same in every row: the largest difference between a domain's expected and target tokens, as a
+    share of all tokens.  With ``mix.leave_out`` documents whose posterior of a domain reaches the given value go before
+    the rates are fitted.
+    """
     mix = mix or Mix()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit_classifier(base, labels, mix)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    added = ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "expected_tokens", "target_miss"]
+    keep = tuple(c for c in keep if c not in added)
+    kept = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep))) if keep else F.lit(None)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), kept.alias("_kept"), F.col("text").cast("string").alias("text"))
     scored = with_posterior(with_features(named), model)
+    for domain, most in mix.leave_out.items():
+        scored = scored.where(F.col("p")[DOMAINS.index(domain)] < most)
     members = written(scored, "members")
-    steps, _, _ = fit_rates(members, mix)
+    steps, target, got = fit_rates(members, mix)
+    miss = max(abs(a - b) for a, b in zip(got, target, strict=True)) / max(1.0, sum(target))
     out = members.withColumn("rate", F.round(rate(F.col("p"), steps), 6))
     return out.select(
         "doc_id",
-        *keep,
+        *(F.col(f"_kept.c{k}").alias(c) for k, c in enumerate(keep)),
         "n_tokens",
         *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)),
         "rate",
         (F.col("rate") * F.col("n_tokens")).alias("expected_tokens"),
+        F.lit(round(miss, 6)).alias("target_miss"),
     )
