@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from zonarium.llm import near_copies as nc
 from zonarium.llm import simhash_dedup as sh
@@ -200,6 +201,17 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 3), (False, 7), (True, None)]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """No text is lost because another row has its id; of equal rows one stays, always the same."""
+    long = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    rows = [(1, long("a"), "x", 1), (1, long("b"), "x", 2), (1, long("b") + " end", "y", 3), (2, long("b"), "z", 4), (2, None, None, 5), (2, "", "e", 6), (3, long("c"), "p", 7), (3, long("c"), "q", 8), (4, "few words", "w", 9), (None, long("c"), "n", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, code string, rows int")
+    one, two = (sorted(map(tuple, nc.one_of_each(df).collect()), key=str) for df in (docs, docs.orderBy(F.desc("rows"))))
+    assert one == two and nc.one_of_each(docs).columns == docs.columns
+    groups = sorted((str(i), (t or "")[:2]) for i, t, *_ in one)
+    assert groups == [("1", "a0"), ("1", "b0"), ("2", ""), ("3", "c0"), ("4", "fe"), ("None", "c0")]
+
+
 def shingles(text, width=5):
     w = [x.lower() for x in WORD.findall(text or "")]
     return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()

@@ -131,6 +131,9 @@ def test_pipeline_stages_agree_with_the_operators(spark):
         found = ss.find([before[r["doc_id"]]], net)[0]
         assert r["text"] == ss.redacted(before[r["doc_id"]], found) and not ss.base_findings(r["text"]) and (not found or r["n_chars"] == len(r["text"]))
     last = cp.STAGES[4][1](spark, safe, SF)
+    assert set(columns) <= set(last.columns) and {"rate", "target_miss"} <= set(last.columns)
+    texts = {r["doc_id"]: r["text"] for r in safe.collect()}
+    assert all(r["text"] == texts[r["doc_id"]] and r["p_toxic"] < 0.5 for r in last.collect())
     assert set(ids(last)) <= set(ids(safe)) and ids(cp.run(spark, SF)) == ids(last)
 
 
@@ -143,3 +146,23 @@ def test_no_telling_feature_is_lost(spark):
     df = spark.createDataFrame([(c, [c, c ^ 1]) for c in codes], "c long, f array<long>")
     got = df.select("c", mx.Classifier(weights, []).evidence(F.col("f")).alias("e")).collect()
     assert {r["c"]: r["e"] for r in got} == weights
+
+
+def test_every_stage_takes_odd_tables(spark, odd_docs, no_docs, tmp_path):
+    """Nulls, repeated rows and ids, long texts, clashing names and empty tables, stage by stage."""
+    import corpus_pipeline as cp
+
+    odd_docs.limit(0).select(F.col("doc_id").alias("item_id"), "text").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    odd_docs.limit(0).select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    some = odd_docs.where("doc_id in (1, 6) or doc_id is null").select(F.col("doc_id").alias("item_id"), "text")
+    some.write.parquet(str(tmp_path / "some" / "benchmark.parquet"))
+    odd_docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")).write.parquet(str(tmp_path / "some" / "labels.parquet"))
+    rows = {name: {kind: f(spark, docs, str(tmp_path / sf)) for kind, docs, sf in (("odd", odd_docs, "some"), ("bare", odd_docs, "none"), ("none", no_docs, "some"))} for name, f in cp.STAGES}
+    for name, kinds in rows.items():
+        assert kinds["none"].collect() == []
+        if name != "mixing":
+            assert all(df.columns == odd_docs.columns for df in kinds.values())
+    count = {name: (len(kinds["odd"].collect()), len(kinds["bare"].collect())) for name, kinds in rows.items()}
+    total = odd_docs.count()
+    assert count["secret scans"] == (total, total) and count["mixing"][1] == total and count["decontamination"][1] == total
+    assert 0 < count["quality rules"][0] < total and 0 < count["near duplicates"][0] < total and 0 < count["decontamination"][0] < total
