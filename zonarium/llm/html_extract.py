@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,27 +115,50 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
 
 
 def common_lines(left: list[int], right: list[int]) -> list[int]:
-    """Indices of ``left`` in one longest common subsequence (Hunt-Szymanski)."""
-    places: dict[int, list[int]] = {}
-    for j, x in enumerate(right):
-        places.setdefault(x, []).append(j)
-    ends: list[int] = []
-    tails: list[tuple] = []
-    for i, x in enumerate(left):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(ends, j)
-            node = (i, tails[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                tails.append(node)
+    """Indices of ``left`` in one longest common subsequence.
+
+    Equal beginnings and ends are taken off; the rest is a bit-parallel table, a row of which is one integer with a
+    bit for each line of ``right`` (zero where the subsequence grows), so equal lines cost no more than others.
+    Rows are kept at block boundaries only and made again block by block on the way back.
+    """
+    n, m, head, tail = len(left), len(right), 0, 0
+    while head < min(n, m) and left[head] == right[head]:
+        head += 1
+    while tail < min(n, m) - head and left[n - 1 - tail] == right[m - 1 - tail]:
+        tail += 1
+    n, m = n - head - tail, m - head - tail
+    places: dict[int, int] = {}
+    for j in range(m):
+        places[right[head + j]] = places.get(right[head + j], 0) | 1 << j
+    whole = (1 << m) - 1
+
+    def rows(v: int, begin: int, end: int) -> list[int]:
+        out = [v]
+        for x in left[head + begin : head + end]:
+            u = v & places.get(x, 0)
+            v = ((v + u) | (v - u)) & whole
+            out.append(v)
+        return out
+
+    step = isqrt(n) + 1
+    starts = [whole]
+    for begin in range(0, n, step):
+        starts.append(rows(starts[-1], begin, min(n, begin + step))[-1])
+    inner: list[int] = []
+    j = m
+    for block in range((n - 1) // step if m else -1, -1, -1):
+        begin = block * step
+        table = rows(starts[block], begin, min(n, begin + step))
+        i = len(table) - 1
+        while i and j:
+            if table[i] >> (j - 1) & 1:
+                j -= 1
+            elif table[i - 1] >> (j - 1) & 1:
+                i, j = i - 1, j - 1
+                inner.append(head + begin + i)
             else:
-                ends[k] = j
-                tails[k] = node
-    out, node = [], tails[-1] if tails else None
-    while node is not None:
-        out.append(node[0])
-        node = node[1]
-    return out[::-1]
+                i -= 1
+    return [*range(head), *inner[::-1], *range(len(left) - tail, len(left))]
 
 
 def _code(line: str) -> int:
