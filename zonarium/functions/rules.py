@@ -116,3 +116,88 @@ def pool_margin(parcel: Column, limit: Column, occupied: Column, pool: Column, c
 def land_verdict(land: Column, protected: Column) -> Column:
     """Fit, conditional or unfit by land class: protected rustic land is out, other open land needs more."""
     return F.when((land == "rustico") & protected, "no_apto").when(land.isin("rustico", "urbanizable"), "condicionado").otherwise("apto")
+
+
+# What each class of land says about housing, its article and restriction.
+LAND_RULES = {
+    "urbanizable": ("ART27", True),
+    "nucleo_rural": ("ART13", True),
+    "urbano": ("ART17", True),
+    "rustico": ("ART31_32", False),
+}
+
+
+def land_class(zone: Column) -> Column:
+    """The class of land that a zone's name stands for; an unknown name stays as it is."""
+    z = F.lower(F.trim(F.coalesce(zone, F.lit(""))))
+    return (
+        F.when(z.contains("urbano") & z.contains("consolid"), "urbano_consolidado")
+        .when(z.contains("urbano"), "urbano")
+        .when(z.contains("nucleo") | z.contains("núcleo"), "nucleo_rural")
+        .when(z.contains("urbanizable"), "urbanizable")
+        .when(z.contains("rustic") | z.contains("rústic"), "rustico")
+        .otherwise(z)
+    )
+
+
+def zoning(zone: Column, use: Column) -> Column:
+    """(class, fit for housing, article): only a housing use gets an answer, and rustic or unknown land says no."""
+    kind = land_class(zone)
+    housing = F.lower(F.coalesce(use, F.lit(""))).startswith("residen")
+    base = F.when(kind.startswith("urbano"), "urbano").when(kind.isin("urbanizable", "nucleo_rural"), kind).otherwise("rustico")
+    fit, article = F.lit(None).cast("boolean"), F.lit(None).cast("string")
+    for name, (code, allowed) in LAND_RULES.items():
+        fit = F.when(base == name, F.when(housing, F.lit(allowed))).otherwise(fit)
+        article = F.when(base == name, F.lit(code)).otherwise(article)
+    return F.struct(kind.alias("zona"), fit.alias("apto_residencial"), article.alias("articulo"))
+
+
+# What stands in when neither request nor plan gives a limit.
+DEFAULT_HEIGHT, DEFAULT_SETBACK = 12.0, 3.0
+
+
+def effective_parameters(height: Column, setback: Column, plan_height: Column, plan_setback: Column, direction: Column, has_axis: Column, plan_direction: Column, plan_has_sides: Column, use_plan_front: Column) -> Column:
+    """Limits that hold for a parcel: the request's, else the plan's, else the defaults, and where the front came from."""
+    by_default = direction.isNull() & ~has_axis & use_plan_front & plan_direction.isNotNull() & plan_has_sides
+    known = F.coalesce(height, plan_height)
+    return F.struct(
+        F.coalesce(known, F.lit(DEFAULT_HEIGHT)).alias("altura"),
+        F.coalesce(setback, plan_setback, F.when(known.isNull(), F.lit(DEFAULT_SETBACK))).alias("retranqueo"),
+        F.coalesce(direction, F.when(by_default, plan_direction)).alias("frente"),
+        F.when(direction.isNotNull(), "request").when(by_default, "plan_default").otherwise("none").alias("origen_frente"),
+        known.isNull().alias("por_defecto"),
+    )
+
+
+def assessment(has_geometry: Column, envelope: Column, not_applied: Column, axis_ignored: Column, front_source: Column) -> Column:
+    """(verdict, reasons): without a parcel conditional, without an envelope unfit, with any reservation conditional."""
+    reasons = F.array_compact(
+        F.array(
+            F.when(~has_geometry, "sin_geometria"),
+            F.when(has_geometry & (envelope.isNull() | (envelope <= 0)), "sin_envolvente"),
+            F.when(has_geometry & (envelope > 0) & not_applied, "retranqueo_direccional_no_aplicado"),
+            F.when(has_geometry & (envelope > 0) & axis_ignored, "eje_ignorado"),
+            F.when(has_geometry & (envelope > 0) & (front_source == "plan_default"), "frente_del_plan"),
+        )
+    )
+    verdict = F.when(~has_geometry, "condicionado").when(envelope.isNull() | (envelope <= 0), "no_apto").when(F.size(reasons) > 0, "condicionado").otherwise("apto")
+    return F.struct(verdict.alias("viabilidad"), reasons.alias("motivos"))
+
+
+def historic_height_warnings(in_plan: Column, regime: Column, height: Column, floors: Column, block: Column, has_drawing: Column) -> Column:
+    """Warnings for parcels of the historic plan: its drawings set the height, and more floors stand than are declared."""
+    drawn = in_plan & (regime == "alzados_ordenacion")
+    return F.array_compact(
+        F.array(
+            F.when(drawn, F.when(height.isNull(), "alzado_sin_medida").when(block.isNull() | (block == ""), "comparar_con_alzado_de_su_manzana").otherwise("comparar_con_alzado_de_manzana")),
+            F.when(drawn & height.isNotNull() & ~has_drawing, "plano_no_localizado"),
+            F.when(in_plan & (floors > 0) & (height / FLOOR_M > floors + 1.5), "sobreedificacion"),
+        )
+    )
+
+
+def ordinance_conflict(given: Column, known: Column, official: Column, official_quality: Column) -> Column:
+    """What is wrong with a given ordinance: unknown to the plan, or another than the official layer's (codes may be prefixes)."""
+    a, b = (F.regexp_replace(F.upper(c), "[^A-Z0-9]", "") for c in (known, official))
+    differs = (official_quality == "official") & official.isNotNull() & ~a.startswith(b) & ~b.startswith(a)
+    return F.when(given.isNull(), F.lit(None)).when(known.isNull(), F.when(official.isNull(), "ignorada").otherwise("no_existe")).when(differs, "difiere_de_la_capa")

@@ -114,6 +114,39 @@ def cleaned(c: Column) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), CLEANING, c)
 
 
+# Corrections of scanned planning texts, whatever their case, applied in order.
+OCR_PAIRS = [
+    ("sueol", "suelo"),
+    ("sueño", "suelo"),
+    ("sueo", "suelo"),
+    ("urbanstica", "urbanística"),
+    ("planeamiente", "planeamiento"),
+    ("pro- tección", "protección"),
+    ("ordena- ción", "ordenación"),
+    ("articulo", "artículo"),
+    ("publica- ción", "publicación"),
+    ("consolida- do", "consolidado"),
+    ("urbanis- tica", "urbanística"),
+    ("urbanis- tico", "urbanístico"),
+    ("ámbitoo", "ámbito"),
+    (" su e l o ", " suelo "),
+    ("s u e l o", "suelo"),
+    ("Art[\ufffd?]culo", "Artículo"),
+    ("T[\ufffd?]TULO", "TÍTULO"),
+    ("CAP[\ufffd?]TULO", "CAPÍTULO"),
+    ("SECCI[\ufffd?]N", "SECCIÓN"),
+    ("AP[\ufffd?]NDICE", "APÉNDICE"),
+    ("CAP[ÍI]TULO", "CAPÍTULO"),
+    ("T[ÍI]TULO", "TÍTULO"),
+    (r"\s{2,}", " "),
+]
+
+
+def corrected(c: Column) -> Column:
+    """Scanned and wrongly decoded words put right."""
+    return reduce(lambda x, p: F.regexp_replace(x, f"(?iu){p[0]}", p[1]), OCR_PAIRS, c)
+
+
 def without_boilerplate(c: Column) -> Column:
     """Drops page-number and licence lines."""
     return F.trim(F.regexp_replace(c, r"(?m)^(?:[Pp]age \d+|\d+|Licensed under .*)$", ""))
