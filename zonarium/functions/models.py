@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 
 def shared_terms(questions: list[str], texts: list[str]) -> list[float]:
@@ -27,7 +28,7 @@ def rerank(pairs: DataFrame, question: str, text: str, score: Callable[[list[str
                 values += score(pdf[question].iloc[k : k + batch].tolist(), pdf[text].iloc[k : k + batch].tolist())
             yield pdf.assign(rerank=values)
 
-    return pairs.mapInPandas(run, pairs.schema.simpleString()[7:-1].replace(":", " ") + ", rerank double")
+    return pairs.mapInPandas(run, StructType([*pairs.schema.fields, StructField("rerank", DoubleType())]))
 
 
 def embed(docs: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
@@ -40,4 +41,4 @@ def embed(docs: DataFrame, text: str, model: Callable[[list[str]], list[list[flo
                 vectors += model(pdf[text].iloc[k : k + batch].tolist())
             yield pdf.assign(embedding=vectors)
 
-    return docs.mapInPandas(run, docs.schema.simpleString()[7:-1].replace(":", " ") + ", embedding array<float>")
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField("embedding", ArrayType(FloatType()))]))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A relation up to this many rows is broadcast after counting; beyond it the joins shuffle.
 SMALL_ROWS = 100_000
+#: A range is filed under at most about so many buckets.
+FILED = 256
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
@@ -46,14 +50,21 @@ def longest_prefix(keys: DataFrame, codes: DataFrame, key: str, code: str) -> Da
 def range_join(values: DataFrame, ranges: DataFrame, value: str, low: str, high: str, bucket: float) -> DataFrame:
     """Each value with the ranges low <= value < high (null ends are open), by equality on buckets.
 
-    A bounded range is filed under every bucket it touches; open ends join on their own.
+    A bounded range is filed under the buckets it touches, on the finest of a few levels (each ``FILED`` times as coarse as the last)
+    where those are at most ``FILED`` and one; a value looks in its bucket of every level in use.  Open ends join on their own.
     """
-    v = values.withColumn("_b", F.floor(F.col(value) / bucket))
-    bounded = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
-    inner = v.join(small(bounded), "_b").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b")
+    bounded = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull())
+    width = (F.col(high) - F.col(low)) / bucket
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(width, F.lit(1.0))) / math.log(FILED) - 1)).cast("int")
+    at = lambda x: F.floor(x / (F.lit(float(bucket)) * F.pow(F.lit(float(FILED)), F.col("_l"))))
+    bounded = bounded.withColumn("_l", level)
+    levels = sorted(r["_l"] for r in bounded.select("_l").distinct().collect())
+    v = values.withColumn("_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_b", at(F.col(value)))
+    bounded = bounded.withColumn("_b", F.explode(F.sequence(at(F.col(low)), at(F.col(high)))))
+    inner = v.join(small(bounded), ["_l", "_b"]).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b", "_l")
     ends = ranges.where(F.col(low).isNull() | F.col(high).isNull())
     fits = (F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) < F.col(high)))
-    outer = values.join(F.broadcast(ends), fits)
+    outer = values.join(small(ends), fits)
     return inner.unionByName(outer)
 
 

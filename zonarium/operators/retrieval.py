@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +49,58 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def nearest(vectors: DataFrame, key: str, vector: str, asked: str, k: int, measure: str = "dot", block: int = 1 << 15, digits: int = 9) -> DataFrame:
+    """(qid, key, score) of at least the ``k`` best rows for every row that the condition ``asked`` chooses, itself left out.
+
+    Exact: the queries are taken in blocks of about ``block`` (by hash of the key), each block is broadcast to one pass over all
+    vectors, and every Arrow batch keeps its best ``k`` of a query by one matrix product; the caller ranks what is
+    left.  Ties in the score rounded to ``digits`` go to the smaller key.  ``measure`` is ``dot`` (largest first) or
+    ``l2``, the squared distance (smallest first).  Null vectors, and those of another length than a query, are left out.
+    """
+    spark = vectors.sparkSession
+    every = vectors.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("k is not null and v is not null")
+    queries = vectors.where(asked).select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("k is not null and v is not null")
+    blocks = max(1, -(-queries.count() // block))
+    schema = f"qid bigint, {key} bigint, score double"
+    out = spark.createDataFrame([], schema)
+    for number in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == number).toPandas() if blocks > 1 else queries.toPandas()
+        held = spark.sparkContext.broadcast((mine["k"].to_numpy(np.int64), [np.asarray(v, np.float64) for v in mine["v"]]))
+        out = out.unionByName(every.mapInArrow(_best_of_batch(held, k, measure, digits, key), schema))
+    return out
+
+
+def _best_of_batch(held, k: int, measure: str, digits: int, key: str):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = held.value
+        sizes = np.array([len(v) for v in vectors])
+        for batch in batches:
+            lists = batch.column(1)
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            keys, width = batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())
+            for size in np.unique(sizes):
+                rows, which = np.flatnonzero(width == size), np.flatnonzero(sizes == size)
+                if not len(rows):
+                    continue
+                here = flat[off[rows][:, None] + np.arange(size)]
+                for part in np.array_split(which, -(-len(which) // 512)):
+                    asked = np.stack([vectors[i] for i in part])
+                    score = asked @ here.T
+                    if measure == "l2":
+                        score = (asked * asked).sum(1)[:, None] + (here * here).sum(1)[None, :] - 2 * score
+                    rank = np.round(score if measure == "l2" else -score, digits)
+                    rank[ids[part][:, None] == keys[rows][None, :]] = np.inf
+                    last = np.partition(rank, min(k, rank.shape[1]) - 1, axis=1)[:, min(k, rank.shape[1]) - 1]
+                    q, r = np.nonzero((rank <= last[:, None]) & np.isfinite(rank))
+                    order = np.lexsort((keys[rows[r]], rank[q, r], q))
+                    q, r = q[order], r[order]
+                    first = np.searchsorted(q, q)
+                    q, r = (x[np.arange(len(q)) - first < k] for x in (q, r))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part[q]]), pa.array(keys[rows[r]]), pa.array(score[q, r])], ["qid", key, "score"])
+
+    return scan
+
+
 def reciprocal_ranks(rankings: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     """Sum over rankings (key, 1-based rank) of 1 / (k + rank)."""
     every = rankings[0].select(key, "rank")

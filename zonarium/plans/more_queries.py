@@ -65,12 +65,11 @@ def tiles_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first"))
 
 
-@R.add("WITH u AS (SELECT p_brand AS k, p_type AS v, 1 AS file FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_brand, p_name, 2 FROM part WHERE p_partkey % 7 = 0 AND p_size > 20), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY file DESC, v) AS rn FROM u) SELECT k, v, file FROM r WHERE rn = 1")
+@R.add("WITH r AS (SELECT p_brand AS k, p_type AS v, p_size AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type) AS rn FROM part) SELECT k, v, file FROM r WHERE rn = 1")
 def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of later files override those of earlier ones."""
-    p = table(spark, sf_dir, "part")
-    u = p.where("p_partkey % 3 = 0").select(C("p_brand").alias("k"), C("p_type").alias("v"), F.lit(1).alias("file")).unionByName(p.where("p_partkey % 7 = 0 and p_size > 20").select(C("p_brand").alias("k"), C("p_name").alias("v"), F.lit(2).alias("file")))
-    return u.groupBy("k").agg(F.min(F.struct((-C("file")).alias("f"), "v")).alias("r")).select("k", "r.v", (-C("r.f")).alias("file"))
+    """Every part is an entry of the file numbered by its size; entries of later files override those of earlier ones."""
+    p = table(spark, sf_dir, "part").select(C("p_brand").alias("k"), C("p_type").alias("v"), C("p_size").alias("file"))
+    return p.groupBy("k").agg(F.min(F.struct((-C("file")).alias("f"), "v")).alias("r")).select("k", "r.v", (-C("r.f")).alias("file"))
 
 
 @R.add("SELECT count(*) FILTER (e.vec_id IS NULL) AS missing, count(*) FILTER (d.doc_id IS NULL) AS orphaned, count(*) FILTER (e.vec_id IS NOT NULL AND d.doc_id IS NOT NULL) AS valid FROM (SELECT vec_id FROM embeddings) e FULL JOIN (SELECT doc_id FROM documents) d ON d.doc_id = e.vec_id")

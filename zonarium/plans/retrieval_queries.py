@@ -113,27 +113,24 @@ _PAIR = "sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::
 
 def _vector_sql(measure: str, order: str, k: int) -> str:
     return f"""
-    WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
+    WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT qid, vec_id, {measure} AS score FROM q CROSS JOIN embeddings WHERE vec_id <> qid),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) {order}, vec_id) AS rank FROM s)
     SELECT qid, vec_id, rank, round(score, 4) AS score FROM r WHERE rank <= {k}"""
 
 
-def _against(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth vector as a query (the stated query set) against all vectors, in one pass over them."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    return e.join(F.broadcast(q), F.col("vec_id") != F.col("qid"))
+#: The stated query set: every row whose id is divisible by 20.
+_ASKED = "vec_id % 20 = 0"
 
 
 @R.add(_vector_sql("list_inner_product(qe::DOUBLE[], embedding::DOUBLE[])", "DESC", 5))
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _against(spark, sf_dir).select("qid", "vec_id", r.dot(F.col("qe"), F.col("embedding")).alias("score"))
+    s = r.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _ASKED, 5)
     return top_k(s, ["qid"], 5, F.desc(F.round("score", 9)), F.asc("vec_id")).select("qid", "vec_id", "rank", F.round("score", 4).alias("score"))
 
 
 @R.add(
-    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0),
+    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT qid, vec_id, label, list_inner_product(qe, qe) + list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - 2 * list_inner_product(qe, embedding::DOUBLE[]) AS d FROM q CROSS JOIN embeddings WHERE vec_id <> qid),
     f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), vec_id) AS first_rank FROM s),
     w AS (SELECT *, (1 / (1 + d)) * CASE WHEN label % 3 = 0 THEN 1.15 WHEN label % 3 = 1 THEN 0.9 ELSE 1.0 END AS weighted FROM f WHERE first_rank <= 32),
@@ -142,8 +139,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def l2_topk_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 nearest by squared distance, then the best eight by weighted closeness."""
-    s = _against(spark, sf_dir).select("qid", "vec_id", "label", r.squared_distance(F.col("qe"), F.col("embedding")).alias("d"))
-    first = top_k(s, ["qid"], 32, F.asc(F.round("d", 9)), F.asc("vec_id")).withColumnRenamed("rank", "first_rank")
+    e = table(spark, sf_dir, "embeddings")
+    s = r.nearest(e, "vec_id", "embedding", _ASKED, 32, "l2").withColumnRenamed("score", "d")
+    first = top_k(s, ["qid"], 32, F.asc(F.round("d", 9)), F.asc("vec_id")).withColumnRenamed("rank", "first_rank").join(e.select("vec_id", "label"), "vec_id")
     weight = F.when(F.col("label") % 3 == 0, 1.15).when(F.col("label") % 3 == 1, 0.9).otherwise(1.0)
     second = top_k(first.withColumn("weighted", 1 / (1 + F.col("d")) * weight), ["qid"], 8, F.desc(F.round("weighted", 9)), F.asc("vec_id"))
     return second.select("qid", "vec_id", "first_rank", "rank", F.round("weighted", 4).alias("weighted"))

@@ -1,24 +1,38 @@
-"""A data source for paged feature services: one input partition for each page.
+"""A data source for paged feature services, and what is built on it: layers with constants, cached layers, point look-ups.
 
 ``spark.dataSource.register(PagedFeatures)`` and ``spark.read.format("paged_features")`` with the options
-``url`` (a template with ``{start}``), ``pages`` and ``size``.  Pages are JSON feature collections; ``file:`` and
-``http:`` addresses work alike.  A short or missing page ends the service, later ones are empty.
+
+``url``    a template with ``{start}`` (and ``{size}``): ``startIndex``, ``resultOffset`` or any other name;
+``size``   features a page, 2,000 by default;
+``lanes``  input partitions, 1 by default: lane k reads pages k, k + lanes, ... until one is short;
+``pages``  most pages to read, without end by default; ``most`` features likewise.
+
+Pages are JSON feature collections (GeoJSON ``properties`` or service ``attributes``); ``file:`` and ``http:``
+addresses work alike.  A short page, or one that is not there (404, 410, no such file), ends the service; any
+other failure is tried three times and then raised, so no feature is lost silently.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+SCHEMA = "start bigint, position int, properties map<string,string>, geometry string"
+TRIES = 3
+
 
-class Page(InputPartition):
-    def __init__(self, start: int) -> None:
-        super().__init__(start)
-        self.start = start
+class Lane(InputPartition):
+    def __init__(self, number: int) -> None:
+        super().__init__(number)
+        self.number = number
 
 
 class PagedFeatures(DataSource):
@@ -27,7 +41,7 @@ class PagedFeatures(DataSource):
         return "paged_features"
 
     def schema(self) -> str:
-        return "start bigint, position int, properties map<string,string>, geometry string"
+        return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
@@ -35,21 +49,91 @@ class PagedFeatures(DataSource):
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.url, self.pages, self.size = options["url"], int(options.get("pages", 1)), int(options.get("size", 2000))
-
-    def partitions(self) -> list[Page]:
-        return [Page(k * self.size) for k in range(self.pages)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
-        try:
-            with urllib.request.urlopen(self.url.replace("{start}", str(partition.start)), timeout=60) as page:
-                features = json.load(page).get("features", [])
-        except (urllib.error.HTTPError, FileNotFoundError):
-            return
-        except urllib.error.URLError as e:
-            if isinstance(e.reason, FileNotFoundError):
+        self.url, self.size, self.lanes = options["url"], int(options.get("size", 2000)), int(options.get("lanes", 1))
+        most = int(options["most"]) if "most" in options else None
+        pages = int(options["pages"]) if "pages" in options else None
+        self.most = most
+        self.pages = min((x for x in (pages, -(-most // self.size) if most is not None else None) if x is not None), default=None)
+
+    def partitions(self) -> list[Lane]:
+        return [Lane(k) for k in range(self.lanes)]
+
+    def page(self, start: int) -> list[dict] | None:
+        """The features of one page, or None if there is no such page."""
+        address = self.url.replace("{start}", str(start)).replace("{size}", str(self.size))
+        for attempt in range(TRIES):
+            try:
+                with urllib.request.urlopen(address, timeout=60) as page:
+                    return json.load(page).get("features") or []
+            except urllib.error.HTTPError as e:
+                if e.code in (404, 410):
+                    return None
+                if attempt == TRIES - 1:
+                    raise
+            except urllib.error.URLError as e:
+                if isinstance(e.reason, FileNotFoundError):
+                    return None
+                if attempt == TRIES - 1:
+                    raise
+            time.sleep(0.2 * 2**attempt)
+        return None
+
+    def read(self, partition: Lane) -> Iterator[tuple]:
+        number = partition.number
+        while self.pages is None or number < self.pages:
+            start = number * self.size
+            features = self.page(start) or []
+            for k, f in enumerate(features):
+                if self.most is not None and start + k >= self.most:
+                    return
+                raw = f.get("properties") or f.get("attributes") or {}
+                yield start, k, {a: None if b is None else str(b) for a, b in raw.items()}, json.dumps(f.get("geometry"))
+            if len(features) < self.size:
                 return
-            raise
-        for k, f in enumerate(features):
-            properties = {a: None if b is None else str(b) for a, b in (f.get("properties") or {}).items()}
-            yield partition.start, k, properties, json.dumps(f.get("geometry"))
+            number += self.lanes
+
+
+@dataclass(frozen=True)
+class Layer:
+    """One layer of a service: its address, a condition on its properties, and constants that its rows carry."""
+
+    url: str
+    constants: dict[str, str] = field(default_factory=dict)
+    where: str | None = None
+    options: dict[str, str] = field(default_factory=dict)
+
+
+def layers(spark: SparkSession, wanted: list[Layer]) -> DataFrame:
+    """The features of several layers in one relation; a constant stands beside the properties and wins over one of its name."""
+    spark.dataSource.register(PagedFeatures)
+    out: DataFrame | None = None
+    for layer in wanted:
+        one = spark.read.format("paged_features").options(url=layer.url, **layer.options).load()
+        if layer.where:
+            one = one.where(layer.where)
+        if layer.constants:
+            added = F.create_map(*(F.lit(x) for kv in layer.constants.items() for x in kv))
+            one = one.withColumn("properties", F.map_concat(F.map_filter("properties", lambda k, v: ~k.isin(list(layer.constants))), added))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], SCHEMA)
+
+
+def first_present(properties: Column, *names: str) -> Column:
+    """The first of several names that a feature has with a value, whatever the case of its letters."""
+    lower = F.transform_keys(properties, lambda k, v: F.lower(k))
+    return F.coalesce(*(F.nullif(F.trim(F.element_at(lower, n.lower())), F.lit("")) for n in names))
+
+
+def at_point(features: DataFrame, *names: str) -> DataFrame:
+    """One row, ``value``: what the first feature of a point query gives under the first present name."""
+    first = features.orderBy("start", "position").limit(1)
+    return first.select(first_present(F.col("properties"), *names).alias("value"))
+
+
+def fresh(spark: SparkSession, path: str, seconds: float, read) -> DataFrame:
+    """A layer kept as Parquet at ``path``: read again from there unless it is older than ``seconds`` or not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place) or time.time() - files.getFileStatus(place).getModificationTime() / 1000 > seconds:
+        read().write.mode("overwrite").parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)

@@ -16,21 +16,48 @@ def _ring(points) -> list[tuple[float, float]]:
     return list(dict.fromkeys(base[:-1] if base and base[0] == base[-1] else base))
 
 
+def _turn(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> float:
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def ears(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
+    """Triangles of a simple ring, concave or not, counter-clockwise: corners that hold no other point are cut off one by one."""
+    left = list(range(len(ring)))
+    if sum(_turn((0.0, 0.0), ring[k - 1], ring[k]) for k in left) < 0:
+        left.reverse()
+    out = []
+    while len(left) > 3:
+        for k in range(len(left)):
+            i, j, m = left[k - 1], left[k], left[(k + 1) % len(left)]
+            a, b, c = ring[i], ring[j], ring[m]
+            if _turn(a, b, c) > 0 and not any(min(_turn(a, b, ring[x]), _turn(b, c, ring[x]), _turn(c, a, ring[x])) >= 0 for x in left if x not in (i, j, m)):
+                break
+        else:
+            k = next((k for k in range(len(left)) if _turn(ring[left[k - 1]], ring[left[k]], ring[left[(k + 1) % len(left)]]) == 0), 0)  # a straight corner
+            i, j, m = left[k - 1], left[k], left[(k + 1) % len(left)]
+        out.append((i, j, m))
+        del left[k]
+    return [*out, tuple(left)] if len(left) == 3 else out
+
+
 def mesh(points, height: float) -> tuple[list[tuple[float, float, float]], list[int]]:
-    """Vertices (y up) and triangles: both caps as fans, two triangles a wall."""
+    """Vertices (y up) and triangles: floor and roof cut into ears, two triangles a wall."""
     base = _ring(points)
     n = len(base)
+    if n and sum(_turn((0.0, 0.0), base[k - 1], base[k]) for k in range(n)) < 0:
+        base.reverse()
     vertices = [(x, 0.0, -y) for x, y in base] + [(x, float(height), -y) for x, y in base]
-    faces = [i for k in range(1, n - 1) for i in (0, k + 1, k)] + [i for k in range(1, n - 1) for i in (n, n + k, n + k + 1)]
+    caps = ears(base)
+    faces = [i for a, b, c in caps for i in (a, c, b)] + [n + i for t in caps for i in t]
     faces += [i for k in range(n) for i in (k, (k + 1) % n, n + (k + 1) % n, k, n + (k + 1) % n, n + k)]
     return vertices, faces
 
 
 def gltf(points, height: float) -> tuple[dict, bytes]:
-    """The document and its buffer: positions, then indices."""
+    """The document and its buffer: positions, then 32-bit indices."""
     vertices, faces = mesh(points, height)
     positions = b"".join(struct.pack("<3f", *v) for v in vertices)
-    indices = b"".join(struct.pack("<H", i) for i in faces)
+    indices = b"".join(struct.pack("<I", i) for i in faces)
     low, high = ([f(v[k] for v in vertices) for k in range(3)] for f in (min, max))
     document = {
         "asset": {"version": "2.0"},
@@ -38,7 +65,7 @@ def gltf(points, height: float) -> tuple[dict, bytes]:
         "scenes": [{"nodes": [0]}],
         "nodes": [{"mesh": 0}],
         "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
-        "accessors": [{"bufferView": 0, "componentType": 5126, "count": len(vertices), "type": "VEC3", "min": low, "max": high}, {"bufferView": 1, "componentType": 5123, "count": len(faces), "type": "SCALAR"}],
+        "accessors": [{"bufferView": 0, "componentType": 5126, "count": len(vertices), "type": "VEC3", "min": low, "max": high}, {"bufferView": 1, "componentType": 5125, "count": len(faces), "type": "SCALAR"}],
         "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": len(positions), "target": 34962}, {"buffer": 0, "byteOffset": len(positions), "byteLength": len(indices), "target": 34963}],
         "buffers": [{"byteLength": len(positions) + len(indices)}],
     }
