@@ -83,11 +83,14 @@ def test_convex_inset_and_hull():
     assert set(sequential.convex_hull([*square, (5.0, 5.0)])) == set(square)
 
 
-def test_chunks_overlap_and_cover():
+def test_chunks_overlap_and_cover(spark):
+    from zonarium.functions import text as t
+
     text = "Frase numero uno. " * 400
-    chunks = sequential.split_sentences(text)
+    df = spark.createDataFrame([(text,), ("  ",), ("a",), ("x" * 4000,), (None,)], "t string")
+    chunks, blank, short, solid, null = (r[0] for r in df.select(t.sentence_chunks(F.col("t"))).collect())
     assert all(len(c) <= 1800 for c in chunks) and chunks[0].startswith("Frase") and all(c.endswith(".") for c in chunks[:-1])
-    assert sequential.split_sentences("  ") == [] and sequential.split_sentences("a") == ["a"]
+    assert blank == [] and short == ["a"] and [len(c) for c in solid] == [1800, 1800, 640] and null == []
     assert all(len(c) <= 320 for c in sequential.split_recursive(text))
 
 

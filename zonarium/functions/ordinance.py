@@ -407,3 +407,69 @@ def block_floor_tables(text: Column) -> Column:
     made = F.transform(blocks, lambda b: F.struct(F.element_at(subzones, b["name"]).alias("zones"), table(b["segment"]).alias("rows")))
     full = F.filter(made, lambda b: (F.size(b["rows"]) >= 2) & b["zones"].isNotNull())
     return F.flatten(F.transform(full, lambda b: F.transform(b["zones"], lambda z: F.struct(z.alias("subzona"), b["rows"].alias("rows")))))
+
+
+# --- candidates, tables, summaries -----------------------------------------------------------------
+
+# What a scan for candidates looks for, and the words that tell what a table's row holds.
+CANDIDATES = {
+    "altura_maxima_m": rf"altura\s*(?:m[aá]xima|de\s*cornisa|l[ií]mite|de\s*la\s*edificaci[oó]n)[^\n\r]{{0,80}}?{NUMBER}\s*(?:m\b|metros?)",
+    **{name: p.replace(f"({NUMBER})", NUMBER) for name, p in SETBACK_PHRASES.items()},
+}
+CONTEXT = 120
+HEIGHT_PHRASE = rf"(?:altura|cornisa|cubierta|fachada|l[ií]mite)\s*(?:m[aá]xima)?[^\n\r]{{0,40}}?{PLAIN_NUMBER}\s*(?:m\b|metros?)"
+ANY_METRES = rf"{PLAIN_NUMBER}\s*(?:m\b|metros?)"
+ROW_WORDS = {"altura": r"altura|cornisa|fachada|l[ií]mite", "retranqueo": r"retranqueo|alineaci[oó]n|separaci[oó]n", "frontal": "frontal", "lateral": "lateral", "posterior": "posterior|fondo", "ocupacion": r"ocupaci[oó]n", "edificabilidad": "edificabilidad|aprovechamiento"}
+
+
+def candidates(text: Column) -> Column:
+    """Array of (parameter, value, match, context) of every phrase with a limit, 120 characters on either side."""
+    from zonarium.functions.text import places
+
+    def hits(name: str, pattern: str) -> Column:
+        def one(p: Column) -> Column:
+            begin = F.greatest(p["begin"] - CONTEXT, F.lit(0))
+            around = F.substring(text, begin + 1, p["begin"] + p["size"] + CONTEXT - begin)
+            last = F.element_at(every(p["token"], f"({NUMBER})"), -1)  # the pattern ends with its number
+            return F.struct(F.lit(name).alias("parameter"), value(last).alias("value"), p["token"].alias("text"), F.replace(around, F.lit("\n"), F.lit(" ")).alias("context"))
+
+        return F.transform(places(text, pattern), one)
+
+    return F.filter(F.concat(*(hits(name, pattern) for name, pattern in CANDIDATES.items())), lambda x: x["value"].isNotNull())
+
+
+def height_near_codes(text: Column, codes: tuple[str, ...]) -> Column:
+    """(kind, words) of the first height phrase, else of the first metres with 40 characters around, in texts that name one of the codes."""
+    named = reduce(lambda a, b: a | b, (text.contains(c) | text.rlike(rf"(?iu)Ordenanza\s+{c[0]}\s*{c[1:].strip()}\b") for c in codes))
+    phrase = first(text, HEIGHT_PHRASE, 0)
+    metres = F.regexp_extract(text, rf"[\s\S]{{0,40}}?{ANY_METRES}[\s\S]{{0,40}}", 0)
+    return F.when(named & phrase.isNotNull(), F.struct(F.lit("height").alias("kind"), phrase.alias("words"))).when(named & (metres != ""), F.struct(F.lit("metres").alias("kind"), F.replace(metres, F.lit("\n"), F.lit(" ")).alias("words")))
+
+
+def table_limits(rows: Column) -> dict[str, Column]:
+    """Limits that a table's rows (arrays of cells) give: greatest height, least setback, greatest sides, occupancy and ratio, in plausible ranges."""
+    lines = F.transform(rows, lambda r: F.struct(F.lower(F.array_join(r, " | ")).alias("line"), F.transform(r, lambda c: value(F.regexp_extract(c, rf"({NUMBER})", 1))).alias("numbers")))
+    of = lambda word, low, high, shape=lambda x: x: F.flatten(F.transform(F.filter(lines, lambda x: x["line"].rlike(f"(?iu){word}")), lambda x: F.transform(F.filter(x["numbers"], lambda n: (n > low) & (n <= high)), shape)))
+    setback = ROW_WORDS["retranqueo"]
+    side = lambda word: F.array_max(F.flatten(F.transform(F.filter(lines, lambda x: x["line"].rlike(f"(?iu){setback}") & x["line"].rlike(f"(?iu){word}")), lambda x: F.filter(x["numbers"], lambda n: (n > 0) & (n <= 15)))))
+    return {
+        "altura_maxima_m": F.array_max(of(ROW_WORDS["altura"], 0, 60)),
+        "retranqueo_min_m": F.array_min(of(setback, 0, 15)),
+        "setback_front_m": side(ROW_WORDS["frontal"]),
+        "setback_side_m": side(ROW_WORDS["lateral"]),
+        "setback_back_m": side(ROW_WORDS["posterior"]),
+        "ocupacion_max": F.array_max(of(ROW_WORDS["ocupacion"], -1e-12, 100, lambda n: F.when(n <= 1, n).otherwise(n / 100))),
+        "edificabilidad_max_m2_m2": F.array_max(of(ROW_WORDS["edificabilidad"], 0, 5)),
+    }
+
+
+SUMMARY = (("altura_maxima_m", "Altura máxima (m)"), ("retranqueo_min_m", "Retanqueo mínimo (m)"), ("setback_front_m", "Frente (m)"), ("setback_side_m", "Laterales (m)"), ("setback_back_m", "Fondo (m)"), ("ocupacion_max", "Ocupación máx."), ("edificabilidad_max_m2_m2", "Edificabilidad (m2/m2)"))
+
+
+def fallback_summary(municipality: Column, subzone: Column, plan: dict[str, Column], said: dict[str, Column]) -> Column:
+    """Lines of an answer without a model: the place, the plan's values, else what the text itself says (its occupancy left out)."""
+    line = lambda label, v: F.when(v.isNotNull(), F.concat(F.lit(f"{label}: "), v.cast("string")))
+    from_plan = [line(label, plan[k]) for k, label in SUMMARY if k in plan]
+    use = line("Uso del suelo", said["uso_suelo"])
+    from_text = [F.when(plan[k].isNull() if k in plan else F.lit(True), line(label, said[k])) for k, label in SUMMARY if k in said and k != "ocupacion_max"]
+    return F.array_join(F.array_compact(F.array(line("Municipio", municipality), line("Subzona", subzone), *from_plan, use, *from_text)), "\n")

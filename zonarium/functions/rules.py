@@ -201,3 +201,55 @@ def ordinance_conflict(given: Column, known: Column, official: Column, official_
     a, b = (F.regexp_replace(F.upper(c), "[^A-Z0-9]", "") for c in (known, official))
     differs = (official_quality == "official") & official.isNotNull() & ~a.startswith(b) & ~b.startswith(a)
     return F.when(given.isNull(), F.lit(None)).when(known.isNull(), F.when(official.isNull(), "ignorada").otherwise("no_existe")).when(differs, "difiere_de_la_capa")
+
+
+def pool_viability(parcel: Column, footprint: Column, limit_pct: Column, pool: Column, counts: Column) -> Column:
+    """(quality, present %, limit, margin, what the pool counts, fit, resulting %): nulls where the data are missing."""
+    known = parcel.isNotNull() & (parcel > 0)
+    used = F.coalesce(footprint, F.lit(0.0))
+    limit = parcel * limit_pct / 100
+    with_limit = known & limit_pct.isNotNull() & (limit_pct > 0)
+    part = lambda ok, x, digits, name: F.when(ok, F.round(x, digits)).alias(name)
+    return F.struct(
+        F.when(known, "estimated").otherwise("unavailable").alias("calidad"),
+        part(known & (footprint > 0), footprint / parcel * 100, 1, "ocupacion_actual_pct"),
+        part(with_limit, limit, 1, "limite_m2"),
+        part(with_limit, limit - used, 1, "margen_m2"),
+        part(with_limit, pool * counts, 1, "computa_m2"),
+        F.when(with_limit, pool * counts <= limit - used).alias("viable"),
+        part(with_limit, (used + pool * counts) / parcel * 100, 1, "resultante_pct"),
+    )
+
+
+NUMERIC_FIELDS = ("altura_maxima_m", "retranqueo_min_m", "setback_front_m", "setback_side_m", "setback_back_m", "ocupacion_max", "edificabilidad_max_m2_m2", "parcela_min_m2", "frente_min_m")
+
+
+def cleaned_plan_row(columns: list[str], default_height_for: tuple[str, ...] = ("a coruña", "a coruna"), default_height: str = "9") -> dict[str, Column]:
+    """A plan's text columns put right: points for commas, no direction without sided setbacks, a cautious height where one city gives none."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    out = {c: F.col(c) for c in columns}
+    out["municipio"] = blank("municipio")
+    out["subzona"] = F.regexp_replace(blank("subzona"), r"\.+$", "")
+    for c in NUMERIC_FIELDS:
+        if c in out:
+            out[c] = F.replace(blank(c), F.lit(","), F.lit("."))
+    if "front_direction_default" in out:
+        sided = [c for c in ("setback_front_m", "setback_side_m", "setback_back_m") if c in out]
+        any_side = F.concat(*(blank(c) for c in sided)) != "" if sided else F.lit(False)
+        out["front_direction_default"] = F.when(any_side, blank("front_direction_default")).otherwise("")
+    if "altura_maxima_m" in out:
+        theirs = F.lower(out["municipio"]).isin(*default_height_for)
+        out["altura_maxima_m"] = F.when(theirs & (out["altura_maxima_m"] == ""), default_height).otherwise(out["altura_maxima_m"])
+    return out
+
+
+def patched_heights(heights: Column, subzone: Column, patch: dict[str, str]) -> Column:
+    """Blank heights filled by the subzone's code."""
+    known = F.create_map(*(F.lit(x) for kv in patch.items() for x in kv))
+    return F.coalesce(F.nullif(F.trim(heights), F.lit("")), F.element_at(known, F.trim(subzone)), heights)
+
+
+def compared(observed: Column, limit: Column, at_least: bool = False, slack: float = 0.0) -> Column:
+    """Pass, fail or not verifiable of a building's figure against its zone's, with some slack."""
+    fits = observed >= limit - slack if at_least else observed <= limit + slack
+    return F.when(observed.isNull() | limit.isNull(), "no_verificable").when(fits, "cumple").otherwise("no_cumple")

@@ -235,3 +235,162 @@ def signature(c: Column) -> Column:
     """Key of near-equal contents: collapsed lower case, characters 41 to 200 of texts over 200."""
     t = F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
     return F.when(F.length(t) > 200, F.substring(t, 41, 160)).otherwise(t)
+
+
+def upper_key(c: Column) -> Column:
+    """Upper case without accents; anything else than letters, digits and blanks is a blank."""
+    return F.regexp_replace(F.translate(F.upper(c), ACCENTED.upper(), PLAIN.upper()), "[^A-Z0-9 ]+", " ")
+
+
+# The classes of land that a text names, first match; the families of land cover that call for a look.
+ZONE_PATTERNS = (
+    ("urbano_consolidado", r"urbano\s+consolidado|condici[oó]n\s+de\s+solar"),
+    ("urbano", r"suelo\s+urbano|trama\s+urbana|servicios\s+urban[ií]sticos"),
+    ("urbanizable", r"suelo\s+urbanizable|sectores\s+de\s+planeamiento|programa(?:ci[oó]n)?\s+de\s+actuaciones"),
+    ("nucleo", r"n[uú]cleo\s+rural|asentamiento\s+tradicional"),
+    ("rustico", r"suelo\s+r[uú]stic|protecci[oó]n\s+ambiental|usos\s+agr[ií]colas|ganaderos|forestales"),
+)
+COVER_FAMILIES = (
+    ("agua", ("agua", "wetland", "humedal", "marisma", "costa", "playa", "rivera", "rio", "cauce", "lago", "embalse", "canal")),
+    ("natural", ("forest", "bosque", "arbolado", "natural", "vegetacion", "matorral", "pasto", "pradera")),
+    ("protegido", ("protegido", "proteccion", "red natura", "zepa", "lic", "reserva", "parque")),
+    ("agricola", ("agricol", "cultivo", "regadio", "secano", "viña", "viñedo", "huerta")),
+    ("industrial", ("industrial", "almacen", "taller", "fabrica", "cantera", "mineria")),
+)
+#: Article of the law that a question is about: named, else by the first topic all of whose groups have a word in it.
+ARTICLE_TOPICS = (
+    ("1", (("propósito", "objeto", "finalidad"),)),
+    ("13", (("tipos de suelo", "clases de suelo", "clasificación del suelo", "núcleo rural", "nucleo rural", "núcleo tradicional", "nucleo tradicional"),)),
+    ("17", (("urbano consolidado", "suelo urbano"),)),
+    ("17", (("urbano",), ("suelo",))),
+    ("27", (("urbanizable",),)),
+    ("32", (("rústico", "rustico"), ("uso", "permitid", "infraestructur"))),
+    ("31", (("rústico", "rustico"),)),
+    ("44", (("vivienda protegida", "protección pública", "proteccion publica", "protección oficial", "proteccion oficial", "vpo", "vpp"),)),
+)
+
+
+def zone_of_text(c: Column) -> Column:
+    """First class of land whose pattern a text holds, null if none."""
+    return F.coalesce(*(F.when(c.rlike(f"(?iu){p}"), F.lit(name)) for name, p in ZONE_PATTERNS))
+
+
+def cover_family(label: Column) -> Column:
+    """First family of land cover that a label names, null if none."""
+    low = fold_keeping_ene(label)
+    named = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    return F.coalesce(*(F.when(named(words), F.lit(family)) for family, words in COVER_FAMILIES))
+
+
+def fold_keeping_ene(c: Column) -> Column:
+    """Lower case without accents, the tilde of ``ñ`` kept."""
+    return F.translate(F.lower(c), ACCENTED.replace("ñ", ""), PLAIN.replace("n", "", 1))
+
+
+def target_article(question: Column) -> Column:
+    """Number of the article that a question names or is about, null if neither."""
+    low = F.lower(question)
+    any_of = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    by_topic = (F.when(reduce(lambda a, b: a & b, map(any_of, groups)), F.lit(article)) for article, groups in ARTICLE_TOPICS)
+    return F.coalesce(F.nullif(F.regexp_extract(low, r"art[íi]culo\s+(\d+)", 1), F.lit("")), *by_topic)
+
+
+def header_is_plausible(before: Column, title: Column, after: Column) -> Column:
+    """Whether a heading is one: an article's number stands before it, a section's beginning after it, or its title is in capitals (seven in ten letters)."""
+    candidate = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.substring(after, 1, 60))
+    letters = F.length(F.regexp_replace(candidate, r"[^\p{L}]", ""))
+    capitals = F.length(F.regexp_replace(candidate, r"[^\p{Lu}]", ""))
+    opens = r"(?iu)^\s*(?:1\s*[.):]|delimitaci[oó]n|[áa]mbito|par[áa]metros|obxecto|usos\b|sistema)"
+    return before.rlike(r"(?iu)art\.?\s*\d+\s*[.:\-]?\s*$") | F.substring(after, 1, 90).rlike(opens) | F.coalesce((letters > 0) & (capitals / letters >= 0.7), F.lit(False))
+
+
+# How areas, instruments, states and dates are written in a plan's dispositions.
+AREA_MENTION = r"API[-\s]?(\d{1,4})"
+INSTRUMENT = r"((?:Plan\s+Parcial|Plan\s+Especial(?:\s+de\s+Protecci[oó]n\s+e\s+Reforma\s+Interior)?|PEPRI|Modificaci[oó]n\s+Puntual|PERI|Estudio\s+de\s+Detalle|ED)\b[^,.;:]{3,120})"
+AREA_CODE = r"\b(API|SUB|SUNC|SUNP|SUOC|PE)[-\s]?(\d{1,4}[a-zA-Z]?)((?:[_\-\s]P[-\s]?\d+)?)\b"
+AREA_CLASSES = ("SUB", "SUNC", "SUNP", "SUOC")
+BEFORE, AFTER = 600, 300
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Array of (begin, size, token) of every match, counted from zero: lengths of gaps and matches are summed along the text."""
+    whole = rf"(?iu)([\s\S]*?)({pattern})"
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("token"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,size:int,token:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + F.length(x["gap"])
+        return F.struct((begin + F.length(x["token"])).alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("begin"), F.length(x["token"]).alias("size"), x["token"].alias("token")))).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda s: s["out"])
+
+
+def iso_date(c: Column) -> Column:
+    """First ``d/m/y`` or ``d.m.y`` of a text as an ISO date, null if there is none or it cannot be."""
+    pattern = r"\b(\d{1,2})[./](\d{1,2})[./](\d{3,4})\b"
+    d, m, y = (F.regexp_extract(c, pattern, k).try_cast("int") for k in (1, 2, 3))
+    return F.when(m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+
+
+def instrument_mentions(text: Column) -> Column:
+    """Array of (code, instrument, state, date) of the areas that a text mentions, from 600 characters before each to 300 after.
+
+    The instrument is the first named before the area, up to a verb; the state comes from the kind of land named in the
+    context, the date is the first there.
+    """
+
+    def one(p: Column) -> Column:
+        begin = F.greatest(p["begin"] - BEFORE, F.lit(0))
+        context = F.substring(text, begin + 1, p["begin"] + p["size"] + AFTER - begin)
+        before = F.substring(text, begin + 1, p["begin"] - begin)
+        named = F.regexp_replace(F.regexp_extract(before, f"(?iu){INSTRUMENT}", 1), r"\s+", " ")
+        name = F.regexp_replace(F.regexp_replace(named, r"(?iu)\b(?:aprobada?|incluso|conforme|seguir[aá])\b[\s\S]*$", ""), r"^[ ,]+|[ ,]+$", "")
+        low = F.lower(F.regexp_replace(context, r"\s+", " "))
+        state = F.when(low.contains("non consolidado"), "sunc").when(low.contains("consolidado"), "suc").when(low.contains("urbanizable"), "sub")
+        return F.struct(F.concat(F.lit("API-"), F.regexp_extract(p["token"], r"(\d+)", 1)).alias("codigo"), F.nullif(name, F.lit("")).alias("instrumento"), state.alias("estado"), iso_date(context).alias("fecha"), p["begin"].alias("lugar"))
+
+    return F.transform(places(text, AREA_MENTION), one)
+
+
+def area_of_zone(notes: Column, name: Column, kind: Column) -> Column:
+    """(code, origin, confidence) of the area that a polygon's attributes name: its notes, its name, or a number under its class."""
+    part = lambda c, k: F.upper(F.regexp_extract(F.coalesce(c, F.lit("")), f"(?iu){AREA_CODE}", k))
+    number = F.upper(F.regexp_extract(F.coalesce(name, F.lit("")), r"^\s*(\d{1,4}[a-z]?)\s+", 1))
+    group = F.upper(F.coalesce(kind, F.lit("")))
+    found = lambda code, origin, sure: F.struct(code.alias("codigo"), F.lit(origin).alias("origen"), sure.alias("confianza"))
+    return (
+        F.when(part(notes, 1) == "API", found(F.concat(F.lit("API-"), part(notes, 2)), "observaciones", F.when(part(notes, 3) != "", "media").otherwise("alta")))
+        .when(part(name, 1) != "", found(F.concat_ws("-", part(name, 1), part(name, 2)), "denominacion", F.lit("alta")))
+        .when(group.isin(*AREA_CLASSES) & (number != ""), found(F.concat_ws("-", group, number), "denominacion_y_clase", F.lit("alta")))
+    )
+
+
+def sheet_header(text: Column) -> dict[str, Column]:
+    """Category, district, drawing and area code of a sheet's first page."""
+    head = lambda p, k: F.nullif(F.regexp_extract(text, f"(?iu){p}", k), F.lit(""))
+    both = r"CATEGOR[ÍI]A\s*(RIRU|URBA|PEP)?\s*DISTRITO\s*(\d+)"
+    area = F.coalesce(head(r"DISTRITO\s*\d+\s*(AR-[A-Z]+\s*\d+)", 1), F.nullif(F.regexp_extract(text, r"(AR-[A-Z]+\s*\d+)", 1), F.lit("")))
+    return {"categoria": F.upper(head(both, 1)), "distrito": head(both, 2), "plano_ordenacion": F.trim(F.regexp_replace(head(r"PLANO ORDENACI[OÓ]N:\s*([^\n]+)", 1), r"\s+", " ")), "codigo_ar": F.replace(area, F.lit(" "), F.lit("-"))}
+
+
+def sentence_chunks(text: Column, size: int = 1800, overlap: int = 120) -> Column:
+    """Array of the overlapping chunks of a text: each ends at the last full stop in its second half, else at its size.
+
+    One fold over as many steps as a text of its length can need; the state is where the next chunk starts, and past
+    the end nothing changes.
+    """
+    half = size // 2
+    n = F.length(text)
+    most = F.ceil(n / (size - half - overlap)).cast("int") + 1
+    state = F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        begin = s["start"]
+        ended = F.regexp_extract(F.substring(text, begin + half + 1, F.lit(size - half)), r"(?s)^(.*\.) ", 1)
+        end = F.when(begin + size >= n, n).when(ended != "", begin + half + F.length(ended)).otherwise(begin + size)
+        piece = F.regexp_replace(F.substring(text, begin + 1, end - begin), r"^\s+|\s+$", "")
+        after = F.when(end >= n, n).otherwise(F.greatest(end - overlap, begin + 1))
+        return F.when(begin < n, F.struct(after.alias("start"), F.concat(s["out"], F.array(piece)).alias("out"))).otherwise(s)
+
+    cut = F.aggregate(F.sequence(F.lit(1), most), state, step, lambda s: F.filter(s["out"], lambda x: x != ""))
+    return F.when(n > size, cut).when(text.rlike(r"\S"), F.array(text)).otherwise(F.array().cast("array<string>"))

@@ -196,12 +196,20 @@ def fixed_stride_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("piece").cast("long").alias("n"), F.md5("piece").alias("digest"))
 
 
-@R.add()
+_CHUNK_END = "CASE WHEN s + 1800 >= n THEN n WHEN regexp_extract(substring(t, s + 901, 900), '(?s)^(.*\\.) ', 1) <> '' THEN s + 900 + length(regexp_extract(substring(t, s + 901, 900), '(?s)^(.*\\.) ', 1)) ELSE s + 1800 END"
+
+
+@R.add(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents),
+    c AS (SELECT doc_id, t, n, 0::BIGINT AS s, 0::BIGINT AS k, ({_CHUNK_END.replace("s + ", "0 + ")})::BIGINT AS e FROM d WHERE n > 1800
+      UNION ALL SELECT doc_id, t, n, s, k, ({_CHUNK_END})::BIGINT FROM (SELECT doc_id, t, n, greatest(e - 120, s + 1) AS s, k + 1 AS k FROM c WHERE e < n)),
+    p AS (SELECT doc_id, k, regexp_replace(substring(t, s + 1, e - s), '^\\s+|\\s+$', '', 'g') AS piece FROM c),
+    a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk, piece FROM p WHERE piece <> '')
+    SELECT doc_id, chunk, piece FROM a UNION ALL SELECT doc_id, 0, t FROM d WHERE n <= 1800 AND regexp_matches(t, '\\S')"""
+)
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping chunks cut at sentence ends (each start follows from the cut before it)."""
-    from zonarium.functions.sequential import sentence_chunks as chunks
-
-    return chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentence_chunks(F.col("text"))).alias("chunk", "piece"))
 
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"""
