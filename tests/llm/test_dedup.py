@@ -66,8 +66,24 @@ def test_sketch_never_underestimates():
     count = np.zeros((SMALL.depth, 1 << SMALL.width_log2), int)
     for row in range(SMALL.depth):
         np.add.at(count[row], SMALL.cells(np.concatenate([w, twice]), row), 1)
-    bits = np.concatenate([np.packbits(count[r] >= 2, bitorder="little") for r in range(SMALL.depth)])
-    assert set(range(500)) <= set(sub.estimated_repeated(w, bits, SMALL).tolist())
+    often = [np.flatnonzero(count[r] >= 2) for r in range(SMALL.depth)]
+    assert set(range(500)) <= set(sub.estimated_repeated(w, often, SMALL).tolist())
+
+
+def test_sketch_grows_with_the_corpus():
+    assert [sub.Sketch().sized(n, 3).width_log2 for n in (0, 10**9, 10**14)] == [20, 30, 46]
+    assert sub.Sketch().sized(10**14, 20).shard_log2 == 26
+    big = np.sort(np.random.default_rng(1).integers(0, 2**60, 50_000))
+    assert sub.unpack_gaps(sub.pack_gaps(big)).tolist() == big.tolist()
+
+
+def test_long_texts_are_deduplicated(spark):
+    """Texts over a slice of 256 KiB: copies, a shifted passage, and no change elsewhere."""
+    long = " ".join(f"w{k % 7919}x{k % 31}" for k in range(60_000))
+    rows = [(1, long), (2, "intro " + long[200_000:500_000] + " outro"), (3, "other words " * 30_000), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sub.substring_dedup(docs, bucket_bytes=300_000).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_windows(rows)
 
 
 def brute_bytes(docs, length=200):
