@@ -101,8 +101,27 @@ def test_longest_prefix(counter):
         assert all(len(counter.tokenizer.encode(text[:m], add_special_tokens=False).ids) > budget for m in range(n + 1, len(text) + 1))
 
 
+def test_fitting_reads_no_further_and_finds_the_same(counter):
+    rng = random.Random(9)
+    for k in range(200):
+        text = "".join(rng.choice([*PARTS, "word ", "words and more ", " x", "\n"]) for _ in range(rng.randrange(1, 40)))
+        if k % 2:
+            text = " ".join(text.split())
+        for budget in (0, 1, 3, 10, 25):
+            if counter.count(text) > budget:
+                assert counter.fitting(text, budget) == counter.longest_prefix(text, budget), (text, budget)
+
+
+def test_prefixes_that_fit_the_limit(odd_docs, counter):
+    for r in tc.token_counts(odd_docs, limit=40).join(odd_docs.select("doc_id", "text"), "doc_id").distinct().collect():
+        encode = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+        text = r["text"] or ""
+        assert encode(text[: r["n_fitting"]]) <= 40
+        assert (r["n_fitting"] == len(text)) == (r["n_tokens"] <= 40) and all(encode(text[:k]) > 40 for k in range(r["n_fitting"] + 1, min(len(text), r["n_fitting"] + 60)))
+
+
 def test_token_counts(odd_docs, no_docs, counter):
-    got = Counter(tuple(r) for r in tc.token_counts(odd_docs).collect())
+    got = Counter(tuple(r)[:4] for r in tc.token_counts(odd_docs).collect())
     want = Counter()
     for i, t in pairs(odd_docs):
         n = len(counter.tokenizer.encode(t or "", add_special_tokens=False).ids)
@@ -312,6 +331,17 @@ def test_cascade_is_exact(spark):
         uf.build_cascade(keys, most_bits=64)
 
 
+def test_lists_beyond_the_bound_are_sharded(spark, monkeypatch):
+    """The same verdicts from cascades by shard, broadcast or joined."""
+    urls = [*URLS, *(f"http://{'m.' if k % 3 == 0 else ''}h{k}.net/{k}" for k in range(400))]
+    df = spark.createDataFrame([(k, u, "z", 1) for k, u in enumerate(urls)], "page_id long, url string, shard string, w0 int")
+    want = {k: brute_verdict(u) for k, u in enumerate(urls)}
+    for small in (1 << 29, 0):
+        monkeypatch.setattr(uf, "SMALL_BITS", small)
+        got = {r["page_id"]: tuple(r)[1:] for r in uf.url_filter(df, F.col("key").startswith("m."), first_error=0.3, most_bits=64, shard_bits=128).collect()}
+        assert got == want
+
+
 def test_lines_of():
     page = '<head><title>t</title></head><nav>a<ul><li>b</ul></nav><p>x &amp; <b>y</b>\n z<!-- c --><p>w<br>v<div class="cookie-notice">n<div>m</div></div><script>if(a<b){"</p>"}</script><form>f</form>tail<foot'
     assert [t for t, k in he.lines_of(page) if k != he.TEMPLATE] == ["x & y z", "w v", "tail"]

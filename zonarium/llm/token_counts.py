@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_fitting long"
 
 #: A word whose neighbourhood matters (white space at its edge) counts as this much, which no text reaches.
 _UNSURE = 1 << 50
@@ -61,6 +61,8 @@ class PrefixCounter:
         from tokenizers import Tokenizer
 
         spec = json.load(open(tokenizer_file, encoding="utf-8"))
+        if spec.get("normalizer") or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{tokenizer_file}: a normalizer, or special tokens that take white space or whole words, are not supported")
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.strings = {v: k for k, v in self.vocab.items()}
@@ -217,13 +219,54 @@ class PrefixCounter:
         return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
 
 
+    def fitting(self, text: str, budget: int) -> int:
+        """As :meth:`longest_prefix`, reading no further than the budget reaches.
+
+        Words parted by one space add up, so only the prefixes inside the word that crosses the budget are in question.
+        Elsewhere pieces are counted until they exceed the budget, and the prefixes up to a few pieces further on are looked at.
+        """
+        first, _, rest = text.partition(" ")
+        total = self._counted(first) if first and not first[-1].isspace() else _UNSURE
+        at = len(first)
+        if total <= budget:
+            for word in rest.split(" ") if at < len(text) else ():
+                count = self._word[word]
+                if count >= _UNSURE:
+                    break
+                if total + count > budget:
+                    return at + self.longest_prefix(" " + word, budget - total)
+                total, at = total + count, at + 1 + len(word)
+            else:
+                return len(text)
+        read, beyond = 0, 0
+        parts = [text[a:b] for a, b in self._stretches(text)]
+        total = 0
+        for part in parts:
+            for piece, (_, b) in self.pieces_of(part) if part not in self.special else [(None, (0, len(part)))]:
+                total += 1 if piece is None else self._piece[piece]
+                beyond += total > budget
+                if beyond > 8:
+                    return self.longest_prefix(text[: read + b], budget)
+            read += len(part)
+        return self.longest_prefix(text, budget)
+
+    def _stretches(self, text: str) -> Iterator[tuple[int, int]]:
+        """Plain stretches and special strings, in order."""
+        at = 0
+        for m in self.special_re.finditer(text) if self.special_re else ():
+            yield at, m.start()
+            yield m.start(), m.end()
+            at = m.end()
+        yield at, len(text)
+
+
 @lru_cache(maxsize=2)
 def counter(tokenizer_file: str) -> PrefixCounter:
     return PrefixCounter(tokenizer_file)
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bytes and tokens of every text; a pure map.
+    """Bytes and tokens of every text, whether it exceeds the limit, and the characters of its longest prefix within it; a pure map.
 
     ``tokenizer`` names a public vocabulary file (or is a path to one) that every worker has.
     """
@@ -241,6 +284,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             texts = batch.column(1).to_pylist()
             n = np.fromiter(map(c.count, texts), np.int64, len(texts))
             size = np.fromiter((len(t.encode()) if t else 0 for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            fits = np.fromiter((c.fitting(t, limit) if k > limit else len(t or "") for t, k in zip(texts, n.tolist(), strict=True)), np.int64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit), pa.array(fits)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_fitting"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, SCHEMA)
