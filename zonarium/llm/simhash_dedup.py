@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonarium.llm import textbatch as tb
-from zonarium.sources.scratch import folder
+from zonarium.sources.scratch import materialised as written
 
 PARTS = ((0, 21), (21, 21), (42, 22))
 SHINGLES_AT_ONCE = 1 << 15
@@ -47,12 +47,6 @@ SMALL_ROWS = 100_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     """Majority bits over the XXH64 values of the text's ``width``-word shingles; zero without words."""
