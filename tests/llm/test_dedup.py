@@ -312,3 +312,21 @@ def test_blocks_added_at_the_threshold_are_found():
     assert 0.8 <= len(a & b) / len(a | b) < 0.82
     out = [x for batch in nc._mark(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])) for x in batch.column(2).to_pylist()]
     assert sum(not set(x) & set(y) for x, y in zip(out[::2], out[1::2], strict=True)) <= 2
+
+
+def test_long_texts_in_stretches(spark, monkeypatch):
+    """Texts beyond a slice, whole or cut into stretches, give what brute force gives."""
+    long = " ".join(f"w{k % 7919}x{k % 31}" for k in range(45_000))
+    rows = [(1, long), (2, "intro " + long[100_000:160_000] + " outro"), (3, "ab" * 400), (4, None)]
+    want = brute_bytes(rows)
+    data = [(t or "").encode() for _, t in rows]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    whole = suf._pieces(off, raw)
+    monkeypatch.setattr(suf, "STRETCH", 70_001)
+    cut = suf._pieces(off, raw)
+    strings = lambda p: {(int(s) + k, int(a)) for s, n, a in zip(p.start, p.strings, p.anchor, strict=True) for k in range(int(n))}
+    assert strings(whole) == strings(cut) and len(cut.start) > len(whole.start)
+    monkeypatch.undo()
+    got = suf.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=200_000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want

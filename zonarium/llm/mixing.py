@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from zonarium.llm.simhash_dedup import written
 
 #: Words that begin alike often belong together; so many characters tell.
-BEGINNINGS = (5, 8)
-SYMBOLS = "#$%&*|<>=~^_+!"
+BEGINNING = 5
+SYMBOLS = "[#$%&*|<>=~^_+!]+"
+#: What parts words.
+BETWEEN = r"""[ \t-\r.,;:?"'()]+"""
 DOMAINS = ("clean", "low", "toxic")
 
 
@@ -54,27 +56,23 @@ class Mix:
     leave_out: dict[str, float] = field(default_factory=dict)
 
 
-def plain_of(text: Column) -> Column:
-    """The text in lower case with punctuation as spaces and without symbols."""
-    spaces = "\t\n\x0b\x0c\r.,;:?\"'()"
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), spaces + SYMBOLS, " " * len(spaces))
-
-
 def with_features(df: DataFrame) -> DataFrame:
-    """Adds ``n_tokens`` and ``f`` for ``text``: 64-bit codes of the distinct words, of their distinct
-    beginnings, of how varied the words are, and of the share of symbols, which tells prose from menus and junk; drops the text.
+    """Adds ``n_tokens`` and ``f`` for ``text``: 64-bit codes of the distinct words (in lower case, without punctuation
+    and symbols), of their beginnings (not distinct), of how varied the words are, and of the share of symbols, which tells
+    prose from menus and junk; drops the text.
 
-    One projection for each array that is used twice, so that none is computed twice.
+    One projection for each value that is used twice, so that none is computed twice.
     """
     rest = [c for c in df.columns if c != "text"]
-    size = F.coalesce(F.char_length("text"), F.lit(0))
-    df = df.select(*rest, size.alias("_s"), plain_of(F.col("text")).alias("_x"))
-    symbols = F.floor(F.sqrt(F.greatest(F.col("_s") - F.char_length("_x"), F.lit(0)) / F.greatest("_s", F.lit(1))) * 10)
-    df = df.select(*rest, symbols.alias("_y"), F.array_remove(F.split("_x", " "), "").alias("_w"))
-    df = df.select(*rest, "_y", F.size("_w").cast("long").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
-    begins = [F.transform(F.array_distinct(F.transform("_d", lambda w, n=n: F.substring(w, 1, n))), lambda w, n=n: F.xxhash64(w, F.lit(n))) for n in BEGINNINGS]
+    df = df.select(*rest, F.lower(F.coalesce("text", F.lit(""))).alias("_t"))
+    df = df.select(*rest, F.octet_length("_t").alias("_s"), F.regexp_replace("_t", SYMBOLS, "").alias("_x"))
+    symbols = F.floor(F.sqrt((F.col("_s") - F.octet_length("_x")) / F.greatest("_s", F.lit(1))) * 10)
+    df = df.select(*rest, symbols.alias("_y"), F.array_remove(F.split("_x", BETWEEN), "").alias("_w"))
+    words = F.array_distinct(F.transform("_w", lambda w: F.xxhash64(w)))
+    begins = F.transform("_w", lambda w: F.xxhash64(F.substring(w, 1, BEGINNING), F.lit(BEGINNING)))
+    df = df.select(*rest, "_y", F.size("_w").cast("long").alias("n_tokens"), words.alias("_d"), begins.alias("_b"))
     varied = F.floor(10 * F.size("_d") / F.greatest(F.col("n_tokens"), F.lit(1)))
-    codes = F.concat(F.transform("_d", lambda w: F.xxhash64(w)), *begins, F.array(F.xxhash64(varied, F.lit(2), F.lit(2)), F.xxhash64("_y", F.lit(3), F.lit(3))))
+    codes = F.concat("_d", "_b", F.array(F.xxhash64(varied, F.lit(2), F.lit(2)), F.xxhash64("_y", F.lit(3), F.lit(3))))
     return df.select(*rest, "n_tokens", codes.alias("f"))
 
 
@@ -139,7 +137,8 @@ class Classifier:
         moves = F.from_json(F.lit(json.dumps(place.moves)), "array<bigint>")
         moved = lambda f: F.element_at(moves, (F.shiftright(f, place.low).bitwiseAND(F.lit(len(place.moves) - 1)) + 1).cast("int"))
         slot = lambda f: F.element_at(table, (f.bitwiseXOR(moved(f)).bitwiseAND(F.lit(place.size - 1)) + 1).cast("int"))
-        told = F.filter(features, lambda f: slot(f)["c"] == f)
+        # few features tell: the set operation is compiled, what follows is not
+        told = F.array_intersect(F.from_json(F.lit(json.dumps(list(self.weights))), "array<bigint>"), features)
         total = F.aggregate(told, zero, lambda t, f: F.zip_with(t, slot(f)["w"], lambda x, y: x + y))
         return F.transform(total, lambda x: F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))
 
@@ -188,7 +187,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, mix: Mix) -> Classifier:
     seen = written(with_features(docs.join(F.broadcast(some), "doc_id").select("domain", "text")).select("domain", "f"), "labelled")
     totals = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = [totals.get(k, 0) for k in range(len(DOMAINS))]
-    counts = seen.select("domain", F.explode("f").alias("f")).groupBy("f").agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))))
+    counts = seen.select("domain", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(*(F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(len(DOMAINS))))
     weight, certain = [], []
     for k in range(1, len(DOMAINS)):
         before = sum(n[:k])
@@ -297,9 +296,10 @@ def mix_sources(docs: DataFrame, labels: DataFrame, mix: Mix | None = None, keep
     kept = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep))) if keep else F.lit(None)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), kept.alias("_kept"), F.col("text").cast("string").alias("text"))
     scored = with_posterior(with_features(named), model)
-    for domain, most in mix.leave_out.items():
-        scored = scored.where(F.col("p")[DOMAINS.index(domain)] < most)
+    # left out after the table is written: a filter on what is computed would be moved below it and compute it again
     members = written(scored, "members")
+    for domain, most in mix.leave_out.items():
+        members = members.where(F.col("p")[DOMAINS.index(domain)] < most)
     steps, target, got = fit_rates(members, mix)
     miss = max(abs(a - b) for a, b in zip(got, target, strict=True)) / max(1.0, sum(target))
     out = members.withColumn("rate", F.round(rate(F.col("p"), steps), 6))

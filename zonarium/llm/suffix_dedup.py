@@ -42,6 +42,8 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 LENGTH, GRAM = 200, 100
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
+#: Longer texts are cut into overlapping stretches of so many bytes, so that places fit their bits.
+STRETCH = 1 << 27
 _NONE = np.uint64(2**64 - 1)
 _END = 0xFF  # no byte of UTF-8
 
@@ -100,9 +102,17 @@ def _pieces_of_slice(off: np.ndarray, raw: np.ndarray) -> _Pieces:
 def _pieces(off: np.ndarray, raw: np.ndarray) -> _Pieces:
     parts = []
     for i, j in tb.slices(off):
-        p = _pieces_of_slice(off[i : j + 1] - off[i], raw[off[i] : off[j]])
-        p.start = p.start + off[i]
-        parts.append(p)
+        begin, end = int(off[i]), int(off[j])
+        if end - begin <= STRETCH:
+            p = _pieces_of_slice(off[i : j + 1] - begin, raw[begin:end])
+            p.start = p.start + begin
+            parts.append(p)
+            continue
+        for a in range(begin, end, STRETCH):  # one text too long for a place: strings that start in each stretch
+            b = min(end, a + STRETCH + LENGTH - 1)
+            p = _pieces_of_slice(np.array([0, b - a]), raw[a:b])
+            p.start = p.start + a
+            parts.append(p)
     if not parts:
         return _empty()
     return _Pieces(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("start", "strings", "anchor", "text")))
