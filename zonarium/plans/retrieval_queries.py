@@ -120,12 +120,12 @@ def _vector_sql(measure: str, order: str, k: int) -> str:
 
 
 #: The stated query set: every row whose id is divisible by 20.
-_ASKED = "vec_id % 20 = 0"
+_QUERY_SET = "vec_id % 20 = 0"
 
 
 @R.add(_vector_sql("list_inner_product(qe::DOUBLE[], embedding::DOUBLE[])", "DESC", 5))
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = r.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _ASKED, 5)
+    s = r.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _QUERY_SET, 5)
     return top_k(s, ["qid"], 5, F.desc(F.round("score", 9)), F.asc("vec_id")).select("qid", "vec_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -140,7 +140,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l2_topk_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """32 nearest by squared distance, then the best eight by weighted closeness."""
     e = table(spark, sf_dir, "embeddings")
-    s = r.nearest(e, "vec_id", "embedding", _ASKED, 32, "l2").withColumnRenamed("score", "d")
+    s = r.nearest(e, "vec_id", "embedding", _QUERY_SET, 32, "l2").withColumnRenamed("score", "d")
     first = top_k(s, ["qid"], 32, F.asc(F.round("d", 9)), F.asc("vec_id")).withColumnRenamed("rank", "first_rank").join(e.select("vec_id", "label"), "vec_id")
     weight = F.when(F.col("label") % 3 == 0, 1.15).when(F.col("label") % 3 == 1, 0.9).otherwise(1.0)
     second = top_k(first.withColumn("weighted", 1 / (1 + F.col("d")) * weight), ["qid"], 8, F.desc(F.round("weighted", 9)), F.asc("vec_id"))
