@@ -193,13 +193,28 @@ def test_slim_feature_and_cityjson(spark):
 
 
 def test_upsert_stream(spark, tmp_path):
-    from zonarium.streaming.sessions import upsert_batches
+    from zonarium.streaming.sessions import fold_batches, newest_rows, upsert_batches
 
     src = tmp_path / "in"
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, o int, v string").coalesce(1).write.parquet(str(src))
     q = upsert_batches(spark.readStream.schema("k int, o int, v string").parquet(str(src)), "k", "o", str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination()
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {(1, "b"), (2, "c")}
+    newest = lambda name: {(r["k"], r["v"]) for r in newest_rows(spark, str(tmp_path / name), "k").collect()}
+    assert newest("out") == {(1, "b"), (2, "c")}
+    spark.createDataFrame([(2, 0, "d"), (3, 1, "e"), (3, 1, "e")], "k int, o int, v string").write.mode("append").parquet(str(src))
+    again = upsert_batches(spark.readStream.schema("k int, o int, v string").parquet(str(src)), "k", "o", str(tmp_path / "out"), str(tmp_path / "check"))
+    again.awaitTermination()
+    assert newest("out") == {(1, "b"), (2, "d"), (3, "e")}
+    fold_batches(spark, str(tmp_path / "out"), "k", str(tmp_path / "folded"))
+    assert newest("folded") == newest("out")
+
+
+def test_percentiles_by_sketch(spark):
+    from zonarium.operators.spatial import zonal_percentile
+
+    px = spark.range(20_000).select((F.col("id") % 2).alias("zone"), F.col("id").cast("double").alias("v"))
+    exact, near = ({r["zone"]: r["p"] for r in zonal_percentile(px, "zone", "v", 0.9, 5, a).collect()} for a in (None, 1000))
+    assert all(abs(exact[z] - near[z]) <= 20_000 / 1000 for z in exact)
 
 
 def test_paged_source(spark, tmp_path):

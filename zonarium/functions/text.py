@@ -33,10 +33,10 @@ def code_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 
 
-def terms(c: Column) -> Column:
-    """Index terms: folded runs of letters and digits of three or more, without stop-words."""
+def terms(c: Column, more: tuple[str, ...] = ()) -> Column:
+    """Index terms: folded runs of letters and digits of three or more, without stop-words (and without ``more``, given folded)."""
     words = F.regexp_extract_all(fold(c), F.lit("([a-z0-9]{3,})"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(STOPWORDS))
+    return F.filter(words, lambda w: ~w.isin([*STOPWORDS, *more]))
 
 
 def number(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonarium.functions import geometry as g
@@ -30,15 +30,20 @@ def within_radius(points: DataFrame, others: DataFrame, radius: float, x: str =
     return p.join(small(o), ["_cx", "_cy"]).withColumn("distance", apart).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
-def zonal_percentile(pixels: DataFrame, zone: str, value: str, q: float, least: int) -> DataFrame:
+def percentile(value: str | Column, q: float, accuracy: int | None = None) -> Column:
+    """Exact percentile, which holds a group's distinct values in one task; with ``accuracy`` a sketch of fixed size, off by at most 1/accuracy of the ranks."""
+    return F.percentile(value, q) if accuracy is None else F.percentile_approx(value, q, accuracy)
+
+
+def zonal_percentile(pixels: DataFrame, zone: str, value: str, q: float, least: int, accuracy: int | None = None) -> DataFrame:
     """Percentile of the values in each zone, null with fewer than ``least`` of them: one aggregation for all zones."""
     n = F.count(value)
-    return pixels.groupBy(zone).agg(n.alias("n"), F.when(n >= least, F.percentile(value, q)).alias("p"))
+    return pixels.groupBy(zone).agg(n.alias("n"), F.when(n >= least, percentile(value, q, accuracy)).alias("p"))
 
 
-def cloud_height(points: DataFrame, key: str, z: str, ground: str, least: int = 10, least_ground: int = 5, highest: float = 60.0) -> DataFrame:
+def cloud_height(points: DataFrame, key: str, z: str, ground: str, least: int = 10, least_ground: int = 5, highest: float = 60.0, accuracy: int | None = None) -> DataFrame:
     """Height over ground of each body from its points; null without enough points or if it is not plausible."""
     on_ground = F.when(F.col(ground), F.col(z))
-    a = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.percentile(z, 0.9).alias("_t"), F.count(on_ground).alias("_g"), F.percentile(on_ground, 0.5).alias("_b"))
+    a = points.groupBy(key).agg(F.count(F.lit(1)).alias("n"), percentile(z, 0.9, accuracy).alias("_t"), F.count(on_ground).alias("_g"), percentile(on_ground, 0.5, accuracy).alias("_b"))
     h = F.col("_t") - F.col("_b")
     return a.select(key, "n", F.when((F.col("n") >= least) & (F.col("_g") >= least_ground) & h.between(0, highest), F.round(h, 4)).alias("altura"))

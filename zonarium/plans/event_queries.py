@@ -175,7 +175,12 @@ def bucket_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, _BOUND_ROWS, ("id", "s")).select("id", metrics.bounds_from_text(F.col("s")).alias("bounds"))
 
 
-@R.add()
+@R.add(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
+    n AS (SELECT user_id, event_type, k, sum(s) OVER (PARTITION BY user_id ORDER BY k) AS session FROM g),
+    l AS (SELECT user_id, list(event_type ORDER BY k) AS events, session, row_number() OVER (PARTITION BY user_id ORDER BY session DESC) AS nth FROM n GROUP BY user_id, session)
+    SELECT user_id, len(events)::INT AS turns, events[greatest(1, len(events) - 2):] AS memory FROM l WHERE nth = 1"""
+)
 def session_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions as keyed streaming state over the events, run to the end of the input; the last state of each user."""
     from zonarium.sources.scratch import folder
@@ -191,7 +196,10 @@ def session_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.groupBy("user_id").agg(F.max_by(F.struct("turns", "memory"), "batch").alias("last")).select("user_id", "last.*")
 
 
-@R.add()
+@R.add(
+    """WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT * FROM c WHERE start + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"""
+)
 def window_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by hour and type as a streaming aggregation with a watermark, run to the end of the input."""
     from zonarium.sources.scratch import folder

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Stop-words of the keyword index, plus short lists for the other three languages.
-STOPWORDS = sorted(
-    set(
-        """el la los las un una unos unas de del en y o a al que es se su sus con por para como más mas no si lo le les
-este esta estos estas ese esa esos esas ser son fue han ha hay muy ya todo toda todos todas otro otra entre sobre tras
-the do da dos das na nas ao aos ou polo pola pelo pela cada segundo segunda cal cales cómo cuál cual cuáles cuando donde
-cuánto cuanta puede pueden debe deben tiene permitir permitido permitida municipio concello
-and that this with for from was are not der die das und ist von mit für les des est dans pour avec""".split()
-    )
-)
+# Stop-words of the keyword index.
+STOPWORDS = [
+    "el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del", "en", "y", "o", "a", "al", "que", "es", "se", "su", "sus", "con",
+    "por", "para", "como", "más", "mas", "no", "si", "lo", "le", "les", "este", "esta", "estos", "estas", "ese", "esa", "esos", "esas",
+    "ser", "son", "fue", "han", "ha", "hay", "muy", "ya", "todo", "toda", "todos", "todas", "otro", "otra", "entre", "sobre", "tras",
+    "the", "do", "da", "dos", "das", "na", "nas", "ao", "aos", "ou", "polo", "pola", "pelo", "pela", "cada", "segundo", "segunda",
+    "cal", "cales", "cómo", "cuál", "cual", "cuáles", "cuando", "donde", "cuánto", "cuanta", "puede", "pueden", "debe", "deben", "tiene",
+    "permitir", "permitido", "permitida", "municipio", "concello",
+]
+
+# More stop-words, for corpora in English, German and French; an index takes them only if asked.
+STOPWORDS_EN_DE_FR = ["and", "that", "this", "with", "for", "from", "was", "are", "not", "der", "die", "und", "ist", "von", "mit", "fur", "des", "est", "dans", "pour", "avec"]
 
 # Synonym groups of planning terms.
 SYNONYMS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,21 +50,26 @@ def session_memory(turns: DataFrame, by: str, at: str, text: str, keep: int = 3,
 
 
 def upsert_batches(stream: DataFrame, key: str, order: str, path: str, checkpoint: str):
-    """Keeps the newest row of each key in a Parquet table: every batch is merged and a new version written."""
-    from zonarium.operators.lookups import keep_better, upsert
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = keep_better(batch, key, F.col(order), order)
-        versions = spark.createDataFrame([(number,)], "v bigint")
-        try:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            merged = upsert(old, new, key)
-        except Exception as e:  # the first batch has no table before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            merged = new
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
-        versions.write.mode("overwrite").parquet(f"{path}/latest")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps the newest row of each key: every batch adds the newest rows of its keys below ``path``, the table is merged when it is read.
+
+    A batch writes what it brought and nothing else, under its own number, so a repeated batch replaces itself; ``newest_rows`` reads the
+    table and ``fold_batches`` merges batches into one while the stream rests.
+    """
+    from zonarium.operators.lookups import keep_better
+
+    def add(batch: DataFrame, number: int) -> None:
+        keep_better(batch, key, F.col(order), order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The table that ``upsert_batches`` keeps: of each key the row of the last batch that has it, by one aggregation that combines before the shuffle."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select("_r.*")
+
+
+def fold_batches(spark: SparkSession, path: str, key: str, into: str) -> None:
+    """Writes the merged table as batch -1 of a new folder, which a reader or a new stream goes on from; the old folder stays until it is deleted."""
+    newest_rows(spark, path, key).write.mode("errorifexists").parquet(f"{into}/batch=-1")
