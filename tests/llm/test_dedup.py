@@ -148,8 +148,8 @@ def brute_fingerprint(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("hot", [1, 8_000])
-def test_simhash(odd_docs, hot):
+@pytest.mark.parametrize(("hot", "fine_from"), [(1, 1 << 30), (8_000, 1 << 30), (2, 0)])
+def test_simhash(odd_docs, hot, fine_from):
     docs = rows_of(odd_docs)
     prints = [brute_fingerprint(t) for _, t in docs]
     near = np.array([[bin(a ^ b).count("1") <= 4 for b in prints] for a in prints])
@@ -161,14 +161,15 @@ def test_simhash(odd_docs, hot):
         label = new
     smallest = {x: min((i for (i, _), y in zip(docs, label, strict=True) if y == x and i is not None), default=None) for x in label}
     want = Counter((i, f"{f:016x}", smallest[x]) for (i, _), f, x in zip(docs, prints, label, strict=True))
-    assert Counter(tuple(r) for r in sh.simhash_dedup(odd_docs, hot_anchor=hot).collect()) == want
+    assert Counter(tuple(r) for r in sh.simhash_dedup(odd_docs, hot_anchor=hot, fine_from=fine_from).collect()) == want
 
 
 def test_simhash_of_nothing(no_docs):
     assert sh.simhash_dedup(no_docs).collect() == []
 
 
-def test_every_link_within_four_bits_meets(spark):
+@pytest.mark.parametrize(("cover", "hot"), [(sh.COARSE, 8_000), (sh.FINE, 8_000), (sh.COARSE, 1)])
+def test_every_link_within_four_bits_meets(spark, cover, hot):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 40).astype(np.uint64)
     flipped = base.copy()
@@ -177,8 +178,8 @@ def test_every_link_within_four_bits_meets(spark):
             flipped[k] ^= np.uint64(1) << np.uint64(b)
     far = flipped ^ np.uint64(0b11111 << 20)
     every = np.unique(np.concatenate([base, flipped, far]))
-    df = spark.createDataFrame([(0, int(x)) for x in every.view(np.int64)], "space long, bits long")
-    links = sh.linked(df, 4)
+    df = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "bits long")
+    links = sh.linked(df, 4, cover, hot)
     got = {r["node"]: r["root"] for r in sh.connected(links).collect()}
     signed = every.view(np.int64)
     near = np.bitwise_count(every[:, None] ^ every[None, :]) <= 4
@@ -193,14 +194,15 @@ def test_every_link_within_four_bits_meets(spark):
 
 def test_covering_code():
     rng = np.random.default_rng(0)
-    for size in (21, 22):
+    for size, coded, radius in ((21, 15, 2), (22, 15, 2), (20, 7, 3)):
         every = np.arange(1 << size)
-        code = every[sh._syndrome(every) == 0]
+        code = every[sh._syndrome(every, coded) == 0]
         words = rng.integers(0, 1 << size, 3)
-        assert (np.bitwise_count(sh.home_anchor(words) ^ words) <= 1).all() and (sh._syndrome(sh.home_anchor(words)) == 0).all()
-        index, anchor = sh.visited_anchors(words, size)
+        home = sh.home_anchor(words, coded)
+        assert (np.bitwise_count(home ^ words) <= 1).all() and (sh._syndrome(home, coded) == 0).all()
+        index, anchor = sh.visited_anchors(words, size, coded, radius)
         for k in range(3):
-            assert sorted(anchor[index == k].tolist()) == sorted(code[np.bitwise_count(code ^ words[k]) <= 2].tolist())
+            assert sorted(anchor[index == k].tolist()) == sorted(code[np.bitwise_count(code ^ words[k]) <= radius].tolist())
 
 
 def test_components_of_a_long_path(spark):

@@ -3,20 +3,22 @@
 A document's 64-bit fingerprint is the majority vote over the XXH64 values of its word shingles.
 Two fingerprints link when they differ in at most ``threshold`` bits.
 
-*Covering.*  The 64 bits are cut into three parts of 21, 21 and 22 bits.  If two fingerprints differ
-in at most four bits, then in one part they differ in at most one.  Over each part a covering code
-serves as the set of anchors: the perfect Hamming code on 15 bits times all words of the other 6
-or 7 bits, with covering radius 1.  A fingerprint *lives* at the anchor that covers it and *visits*
-every anchor within radius + 1 = 2 of it, so the two fingerprints of a link meet where either
-lives.  (One code over all 64 bits with radius R needs each fingerprint at V(R+4)/V(R) anchors at
+*Covering.*  One code over all 64 bits with radius R needs each fingerprint at V(R+4)/V(R) anchors at
 least, V being the volume of a ball; that is 742 for R = 8 and still 40 for R = 16, where an anchor
-sees a thousandth of all fingerprints.  Three parts need 14 to 16 visits each.)  The anchor, the
-bits of the part and the visitor's distance follow from the fingerprint, so rows stay small.
+sees a thousandth of all fingerprints.  So the bits are cut into p parts: if two fingerprints differ in at most
+``threshold`` bits, then in one part they differ in at most threshold // p.  Over each part a covering code of radius 1
+serves as the set of anchors: a perfect Hamming code on some bits times all words of the other bits.  A fingerprint
+*lives* at the anchor that covers it and *visits* every anchor within 1 + threshold // p of it, so the two fingerprints
+of a link meet where either lives.  Two codes are at hand, and the count of distinct fingerprints chooses:
+
+* ``COARSE``: three parts (21, 21, 22 bits), code on 15 bits: some 45 visits, and an anchor sees the 2^17th of a part.
+* ``FINE``: two parts of 32 bits, code on 31 bits: some 340 visits, and an anchor sees the 2^27th.  Comparisons grow with
+  the square of the fingerprints, a hundred times slower than with the other; past ``FINE_FROM`` that outweighs the visits.
 
 *Comparison.*  Each anchor compares those that live there with its visitors, in blocks of numpy
 rows, and returns a spanning forest of the links found, never all pairs.  An anchor with
-more than ``hot_anchor`` residents is cut into pieces, each of which compares a share of the
-residents with all visitors.
+more than ``hot_anchor`` residents is cut into pieces of a share of the residents and a share of the visitors,
+so what a task holds is bounded.
 
 *Components.*  Links between distinct fingerprints are joined into components by alternating
 large-star and small-star rounds on written tables, until nothing changes.
@@ -30,6 +32,9 @@ hashed whole in bounded slices; only the two named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +44,18 @@ from pyspark.sql import functions as F
 from zonarium.llm import textbatch as tb
 from zonarium.sources.scratch import materialised as written
 
-PARTS = ((0, 21), (21, 21), (42, 22))
+@dataclass(frozen=True)
+class Cover:
+    """Parts of the fingerprint (first bit, bits), and how many low bits of each part have a Hamming code (one less than a power of two)."""
+
+    parts: tuple[tuple[int, int], ...]
+    coded: int
+
+
+COARSE = Cover(((0, 21), (21, 21), (42, 22)), 15)
+FINE = Cover(((0, 32), (32, 32)), 31)
+#: From so many distinct fingerprints on the finer code costs less.
+FINE_FROM = 1 << 30
 SHINGLES_AT_ONCE = 1 << 15
 #: A table counted to have no more rows than this is broadcast.
 SMALL_ROWS = 100_000
@@ -93,100 +109,93 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- covering code -------------------------------------------------------------------------------
 
 
-def _syndrome(words: np.ndarray) -> np.ndarray:
-    """Hamming(15, 11) syndrome of the low 15 bits: the exclusive or of the set positions, counted from 1."""
+def _syndrome(words: np.ndarray, coded: int) -> np.ndarray:
+    """Hamming syndrome of the low ``coded`` bits: the exclusive or of the set positions, counted from 1."""
     out = np.zeros(len(words), np.int64)
-    for k in range(15):
+    for k in range(coded):
         out ^= ((words >> k) & 1) * (k + 1)
     return out
 
 
-def home_anchor(part: np.ndarray) -> np.ndarray:
-    """The codeword that covers each word: its low 15 bits corrected, the other bits as they are."""
-    s = _syndrome(part)
-    return np.where(s > 0, part ^ (1 << np.maximum(s - 1, 0)), part)
-
-
-def visited_anchors(part: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors within distance 2 of each word: (index of the word, anchor)."""
-    s = _syndrome(part)
-    index, anchor = [], []
-
-    def near(at: np.ndarray, codeword: np.ndarray) -> None:
-        index.append(at)
-        anchor.append(codeword)
-
-    everyone = np.arange(len(part))
-    free = range(15, bits)
-    near(everyone[s == 0], part[s == 0])  # distance 0
-    exact = everyone[s == 0]
-    off = everyone[s > 0]
-    fixed = part[off] ^ (1 << (s[off] - 1))
-    near(off, fixed)  # distance 1 among the coded bits
-    for f in free:
-        near(exact, part[exact] ^ (1 << f))  # distance 1 and 2 over a free bit
-        near(off, fixed ^ (1 << f))
-        for g in range(f + 1, bits):
-            near(exact, part[exact] ^ (1 << f) ^ (1 << g))
-    for k in range(15):  # two coded bits whose positions add up to the syndrome
-        other = (k + 1) ^ s[off]
-        ok = (other > k + 1) & (other <= 15)
-        near(off[ok], part[off][ok] ^ (1 << k) ^ (1 << (other[ok] - 1)))
+def home_anchor(part: np.ndarray, coded: int) -> np.ndarray:
+    """The codeword that covers each word: its coded bits corrected, the other bits as they are."""
+    s = _syndrome(part, coded)
+    return np.where(s > 0, part ^ (np.int64(1) << np.maximum(s - 1, 0)), part)
+
+
+@lru_cache
+def _flips(size: int, coded: int, radius: int) -> dict[int, np.ndarray]:
+    """By syndrome: every change of at most ``radius`` of ``size`` bits that has it, which takes words of that syndrome to codewords."""
+    out: dict[int, list[int]] = {}
+    for n in range(radius + 1):
+        for bits in combinations(range(size), n):
+            s = 0
+            for b in bits:
+                s ^= b + 1 if b < coded else 0
+            out.setdefault(s, []).append(sum(1 << b for b in bits))
+    return {s: np.array(masks, np.int64) for s, masks in out.items()}
+
+
+def visited_anchors(part: np.ndarray, size: int, coded: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors within ``radius`` of each word: (index of the word, anchor)."""
+    s = _syndrome(part, coded)
+    index, anchor = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for value, masks in _flips(size, coded, radius).items():
+        at = np.flatnonzero(s == value)
+        index.append(np.repeat(at, len(masks)))
+        anchor.append((part[at][:, None] ^ masks[None, :]).ravel())
     return np.concatenate(index), np.concatenate(anchor)
 
 
-Parts = tuple[tuple[int, int], ...]
-
-
-def _part(bits: np.ndarray, low: int, size: int) -> np.ndarray:
-    return ((bits.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
+def _parts(bits: np.ndarray, cover: Cover) -> Iterator[tuple[np.int64, int, np.ndarray]]:
+    """For each part: its mark in the anchors' keys, its size and the fingerprints' words."""
+    for k, (low, size) in enumerate(cover.parts):
+        yield np.int64(k) << 32, size, ((bits.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def _seats(parts: Parts):
-    """Every distinct (space, fingerprint), once where it lives and once where it visits, for each part."""
+def _seats(cover: Cover, radius: int):
+    """Every distinct fingerprint at every anchor that it visits, and whether it lives there."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spaces, fingerprints_ = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 1))
-            for i in range(0, len(spaces), 20_000):
-                space, some = spaces[i : i + 20_000], fingerprints_[i : i + 20_000]
-                for k, (low, size) in enumerate(parts):
-                    part = _part(some, low, size)
-                    index, anchor = visited_anchors(part, size)
-                    lives = home_anchor(part)[index] == anchor
-                    key = (space[index] << 40) | (np.int64(k) << 32) | anchor
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[index]), pa.array(lives)], ["anchor", "bits", "lives"])
+            bits = batch.column(0).to_numpy().astype(np.int64)
+            for i in range(0, len(bits), 5_000):
+                some = bits[i : i + 5_000]
+                for mark, size, part in _parts(some, cover):
+                    index, anchor = visited_anchors(part, size, cover.coded, radius)
+                    lives = home_anchor(part, cover.coded)[index] == anchor
+                    yield pa.RecordBatch.from_arrays([pa.array(mark | anchor), pa.array(some[index]), pa.array(lives)], ["anchor", "bits", "lives"])
 
     return scan
 
 
-def _homes(parts: Parts):
+def _homes(cover: Cover):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            space, bits = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 1))
-            for k, (low, size) in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array((space << 40) | (np.int64(k) << 32) | home_anchor(_part(bits, low, size)))], ["anchor"])
+            for mark, _, part in _parts(batch.column(0).to_numpy().astype(np.int64), cover):
+                yield pa.RecordBatch.from_arrays([pa.array(mark | home_anchor(part, cover.coded))], ["anchor"])
 
     return scan
 
 
-def linked(fingerprints_: DataFrame, threshold: int, parts: Parts = PARTS, hot_anchor: int = 8_000) -> DataFrame:
-    """Links (a, b) of 1 to ``threshold`` bits among distinct (``space``, ``bits``), less those that close a cycle at an anchor."""
-    if threshold > 2 * len(parts) - 1:
-        raise ValueError("a part may differ in one bit only: more parts are needed")
-    pairs = fingerprints_.select("space", "bits")
+def linked(fingerprints_: DataFrame, threshold: int, cover: Cover = COARSE, hot_anchor: int = 8_000) -> DataFrame:
+    """Links (a, b) of 1 to ``threshold`` bits among distinct ``bits``, less those that close a cycle at an anchor."""
+    prints = fingerprints_.select("bits")
     hot = (
-        pairs.mapInArrow(_homes(parts), "anchor long").groupBy("anchor").count().where(F.col("count") > hot_anchor)
-        .select("anchor", F.ceil(F.col("count") / hot_anchor).cast("int").alias("pieces"))
+        prints.mapInArrow(_homes(cover), "anchor long").groupBy("anchor").count().where(F.col("count") > hot_anchor)
+        .select("anchor", F.ceil(F.col("count") / hot_anchor).cast("int").alias("cuts"))
     )
-    seats = pairs.mapInArrow(_seats(parts), "anchor long, bits long, lives boolean")
+    seats = prints.mapInArrow(_seats(cover, 1 + threshold // len(cover.parts)), "anchor long, bits long, lives boolean")
     if hot.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         hot = F.broadcast(hot)
-    pieces = F.coalesce("pieces", F.lit(1))
+    cuts = F.coalesce("cuts", F.lit(1))
+    home, guest = F.pmod(F.xxhash64("bits"), cuts), F.pmod(F.xxhash64("bits", F.lit(1)), cuts)  # the share of residents and of visitors one is in
     seats = (
         seats.join(hot, "anchor", "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .select("anchor", "piece", "bits", (F.col("lives") & (F.pmod(F.xxhash64("bits"), pieces) == F.col("piece"))).alias("lives"))
+        .withColumn("piece", F.explode(F.sequence(F.lit(0), cuts * cuts - 1)))
+        .withColumn("lives", F.col("lives") & (home == F.floor(F.col("piece") / cuts)))
+        .where(F.col("lives") | (guest == F.col("piece") % cuts))
+        .select("anchor", "piece", "bits", "lives")
     )
     return seats.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_compare(threshold), "a long, b long")
 
@@ -300,12 +309,12 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = 4, hot_anchor: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, threshold: int = 4, hot_anchor: int = 8_000, id_col: str = "doc_id", text_col: str = "text", fine_from: int = FINE_FROM) -> DataFrame:
     """One row per document: fingerprint (16 hex digits) and the smallest id of its component."""
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     # a hot fingerprint is one row here: the aggregation combines before the shuffle
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
-    links = linked(classes.select(F.lit(0).cast("long").alias("space"), "bits"), threshold, PARTS, hot_anchor)
+    links = linked(classes, threshold, FINE if classes.count() >= fine_from else COARSE, hot_anchor)
     roots = connected(links)
     named = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
