@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonarium.llm.decontaminate import contaminated
+from zonarium.llm.fill_in_middle import fill_in_middle, restored
 from zonarium.llm.html_extract import html_extract
+from zonarium.llm.merkle import COLUMNS, folded, leaf_hash, merkle_manifest, siblings
 from zonarium.llm.mixing import mix_sources
 from zonarium.llm.quality_rules import quality_rules
 from zonarium.llm.secret_scan import secret_scan
@@ -64,6 +66,24 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, each proof folded from a claimed leaf: for ids whose checksum 7 divides, one with a character more."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = {"n_chars": F.col("n_chars") + F.lit(1)}
+    claim = F.when(tampered, leaf_hash(*(more.get(c, F.col(c)) for c in COLUMNS)))
+    found = merkle_manifest(docs, {"claim": claim})
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), folded(F.coalesce("claim", "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms and cuts, with hashes of what is written and of what is read back from it."""
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", restored(F.col("output"), F.col("form")).alias("back"))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("back", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extract": op2_html_extract,
@@ -75,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -141,4 +163,45 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(hit.v, CASE WHEN starts_with(host, 'm.') THEN 'block' ELSE 'allow' END) AS verdict
         FROM judged
     """,
+    # crc32 bit by bit: each character is followed by seven zeros, and every element shifts once
+    "op12_merkle_manifest": """
+        WITH RECURSIVE v AS (
+            SELECT doc_id, lang, [strlen(doc_id::VARCHAR) || ':' || doc_id, strlen(source) || ':' || source, strlen(lang) || ':' || lang, strlen(n_chars::VARCHAR) || ':' || n_chars, strlen(text) || ':' || text] AS f,
+                   strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) AS more,
+                   list_reduce([4294967295::UBIGINT] || flatten([[ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')]),
+                               lambda a, x: xor(xor(a, x) >> 1, 3988292384::UBIGINT * (xor(a, x) & 1))) AS crc
+            FROM documents),
+        d AS (SELECT doc_id, coalesce('=' || lang, '') AS g,
+                     sha256(coalesce(f[1], '-') || coalesce(f[2], '-') || coalesce(f[3], '-') || coalesce(f[4], '-') || coalesce(f[5], '-')) AS leaf,
+                     sha256(coalesce(f[1], '-') || coalesce(f[2], '-') || coalesce(f[3], '-') || coalesce(CASE WHEN xor(crc, 4294967295::UBIGINT) % 7 = 0 THEN more ELSE f[4] END, '-') || coalesce(f[5], '-')) AS claim FROM v),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+        up AS (SELECT g, idx, n, leaf AS h, 0 AS l FROM leaves
+               UNION ALL
+               SELECT g, idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)), any_value(l + 1) FROM up WHERE n > 1 GROUP BY g, idx // 2),
+        tops AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+        over_ AS (SELECT idx, n, subroot AS h, 0 AS l FROM tops
+                  UNION ALL
+                  SELECT idx // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)), any_value(l + 1) FROM over_ WHERE n > 1 GROUP BY idx // 2),
+        high AS (SELECT t.g, max(l) + 1 AS levels FROM up t GROUP BY t.g),
+        path AS (SELECT p.doc_id, p.leaf, p.claim, p.g, p.idx, u.l AS l, s.h AS sib, (p.idx >> u.l) & 1 AS odd
+                 FROM leaves p JOIN up u ON u.g = p.g AND u.idx = p.idx >> u.l AND u.n > 1 LEFT JOIN up s ON s.g = u.g AND s.l = u.l AND s.idx = xor(u.idx, 1)
+                 UNION ALL
+                 SELECT p.doc_id, p.leaf, p.claim, p.g, p.idx, 1000 + u.l, s.h, (t.idx >> u.l) & 1
+                 FROM leaves p JOIN tops t USING (g) JOIN over_ u ON u.idx = t.idx >> u.l AND u.n > 1 LEFT JOIN over_ s ON s.l = u.l AND s.idx = xor(u.idx, 1)),
+        proof AS (SELECT g, idx, list({s: coalesce(sib, ''), o: odd} ORDER BY l) AS p FROM path GROUP BY g, idx)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce([''] || [x.s FOR x IN p], lambda a, x: a || x), '')) AS proof_sha256,
+               coalesce(list_reduce([{s: claim, o: 0}] || p, lambda a, x: {s: sha256(CASE WHEN x.o = 1 THEN x.s || a.s ELSE a.s || x.s END), o: 0}).s, claim) AS folded_root,
+               folded_root = root AS verified
+        FROM leaves JOIN tops USING (g) LEFT JOIN proof ON proof.g = leaves.g AND proof.idx = leaves.idx, (SELECT h AS root FROM over_ WHERE n = 1)
+    """,
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+        h AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, [list_reduce([0::BIGINT] || [strpos('0123456789abcdef', c)::BIGINT - 1 FOR c IN string_split(k[8 * j + 1:8 * j + 8], '')], lambda a, x: a * 16 + x) FOR j IN range(0, 4)] AS r FROM d),
+        c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:n], '') AS z FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
