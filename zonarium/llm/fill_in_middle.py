@@ -39,12 +39,11 @@ class FillInMiddle:
 
     def __post_init__(self) -> None:
         """Sentinels must not run into one another or into themselves, so that their first place is the one they were put in."""
-        marks = self.marks
-        for a in marks:
+        for i, a in enumerate(self.marks):
             if not a:
                 raise ValueError("a sentinel is empty")
-            for b in marks:
-                if (a is not b and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
+            for j, b in enumerate(self.marks):
+                if (i != j and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
                     raise ValueError(f"sentinels {a!r} and {b!r} overlap")
 
     @property

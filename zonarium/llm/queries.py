@@ -12,6 +12,7 @@ from zonarium.llm.fill_in_middle import fill_in_middle, restored
 from zonarium.llm.html_extract import html_extract
 from zonarium.llm.merkle import COLUMNS, folded, leaf_hash, merkle_manifest, siblings
 from zonarium.llm.mixing import mix_sources
+from zonarium.llm.quality_classifier import quality_scores
 from zonarium.llm.quality_rules import quality_rules
 from zonarium.llm.secret_scan import secret_scan
 from zonarium.llm.simhash_dedup import simhash_dedup
@@ -66,6 +67,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest, each proof folded from a claimed leaf: for ids whose checksum 7 divides, one with a character more."""
     docs = _table(spark, sf_dir, "documents")
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mix_sources": op10_mix_sources,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -195,7 +201,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM leaves JOIN tops USING (g) LEFT JOIN proof ON proof.g = leaves.g AND proof.idx = leaves.idx, (SELECT h AS root FROM over_ WHERE n = 1)
     """,
     "op13_fill_in_middle": r"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
         h AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, [list_reduce([0::BIGINT] || [strpos('0123456789abcdef', c)::BIGINT - 1 FOR c IN string_split(k[8 * j + 1:8 * j + 8], '')], lambda a, x: a * 16 + x) FOR j IN range(0, 4)] AS r FROM d),
         c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
                      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
