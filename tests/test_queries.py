@@ -8,6 +8,7 @@ import pytest
 from zonarium.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -43,6 +44,25 @@ def test_same_as_duckdb(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_benchmark_topk", "relevance_filter", "vector_topk", "nearest_within_radius"])
+def test_ties_as_in_duckdb(spark, name):
+    """Rankings on a table with ties, with sums added in other orders."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{LARGER}/{t}.parquet'")
+    rel = con.sql(catalogue.ORACLE_SQL[name])
+    want = rows(rel.columns, rel.fetchall())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = catalogue.QUERIES[name](spark, LARGER)
+            assert rows(df.columns, df.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_gives_rows(spark, name):

@@ -24,6 +24,26 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+def rings_of(parts: Column) -> Column:
+    """All rings of a shape: an array of polygons, each an outer ring and its holes."""
+    return F.flatten(parts)
+
+
+def shape_contains(parts: Column, x: Column, y: Column) -> Column:
+    """Even-odd over all rings of a shape: inside a part and not in one of its holes."""
+    return F.size(F.filter(rings_of(parts), lambda r: contains(closed(r), x, y))) % 2 == 1
+
+
+def shape_area(parts: Column) -> Column:
+    """Area of the outer rings less that of the holes."""
+    total = lambda rings: F.aggregate(rings, F.lit(0.0), lambda s, r: s + area(closed(r)))
+    return F.aggregate(parts, F.lit(0.0), lambda s, p: s + 2 * area(closed(p[0])) - total(p))
+
+
+def shape_bounds(parts: Column) -> Column:
+    return bounds(F.flatten(rings_of(parts)))
+
+
 def area(ring: Column) -> Column:
     """Area of a closed ring (shoelace)."""
     return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2

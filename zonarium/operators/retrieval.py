@@ -126,9 +126,11 @@ def packed(pieces: DataFrame, by: str, rank: str, text: str, piece: int = 500, r
 
 
 def relevant(hits: DataFrame, by: str, key: str) -> DataFrame:
-    """Weak bests (under 3) keep three hits of 0.6 of the best, strong ones five of 0.4."""
-    best = F.max("score").over(W.partitionBy(by))
-    h = hits.withColumn("best", best)
+    """Weak bests (under 3) keep three hits of 0.6 of the best, strong ones five of 0.4.
+
+    Scores are sums whose last bits depend on the order of addition, so they are compared rounded.
+    """
+    h = hits.withColumn("score", F.round("score", 9)).withColumn("best", F.max(F.round("score", 9)).over(W.partitionBy(by)))
     share = F.when(F.col("best") < 3, 0.6).otherwise(0.4)
-    ranked = top_k(h.where(F.col("score") >= share * F.col("best")), [by], 5, F.desc("score"), F.asc(key))
+    ranked = top_k(h.where(F.col("score") >= F.round(share * F.col("best"), 9)), [by], 5, F.desc("score"), F.asc(key))
     return ranked.where(F.col("rank") <= F.when(F.col("best") < 3, 3).otherwise(5)).drop("best")

@@ -317,8 +317,8 @@ def context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(_bm25_sql("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") v(qid, question)", 1 << 30).replace("SELECT qid, doc_id, rank, round(score, 3) AS score FROM rk WHERE rank <= 1073741824", "").rstrip().rstrip(",") + """
-    , b AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM sc),
-    k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM b WHERE score >= CASE WHEN best < 3 THEN 0.6 ELSE 0.4 END * best)
+    , b AS (SELECT qid, doc_id, round(score, 9) AS score, max(round(score, 9)) OVER (PARTITION BY qid) AS best FROM sc),
+    k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM b WHERE score >= round(CASE WHEN best < 3 THEN 0.6 ELSE 0.4 END * best, 9))
     SELECT qid, doc_id, rank FROM k WHERE rank <= CASE WHEN best < 3 THEN 3 ELSE 5 END""")
 def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = relation(spark, QUESTIONS, ("qid", "question"))

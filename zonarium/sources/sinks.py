@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonarium.sources import volumes
+
 FORMATS = ("cityjson", "gltf", "glb", "ifc", "geojson")
 
 
@@ -42,22 +44,15 @@ def slim_feature(properties: list[str], ring: str, digits: int = 6) -> Column:
 
 
 def cityjson(bodies: DataFrame, key: str, ring: str, height: str) -> DataFrame:
-    """A CityJSON document for each body: an extruded ring with shared vertices, floor, roof and walls."""
+    """A CityJSON document for each body: an extruded outline (one ring, or an outer ring and holes) with shared vertices, floor, roof and walls."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k, points, h in zip(pdf[key], pdf[ring], pdf[height], strict=True):
-                base = [(float(p["x"]), float(p["y"])) for p in points]
-                if base and base[0] == base[-1]:
-                    base = base[:-1]
-                base = list(dict.fromkeys(base))
-                n = len(base)
-                vertices = [[x, y, 0.0] for x, y in base] + [[x, y, float(h)] for x, y in base]
-                faces = [[list(range(n))[::-1]], [list(range(n, 2 * n))]] + [[[i, (i + 1) % n, n + (i + 1) % n, n + i]] for i in range(n)]
-                kinds = [{"type": "GroundSurface"}, {"type": "RoofSurface"}, {"type": "WallSurface"}]
-                body = {"type": "Building", "geometry": [{"type": "Solid", "lod": "1", "boundaries": [faces], "semantics": {"surfaces": kinds, "values": [[0, 1] + [2] * n]}}]}
-                out.append((k, len(vertices), len(faces), json.dumps({"type": "CityJSON", "version": "1.1", "CityObjects": {str(k): body}, "vertices": vertices})))
+                document = volumes.cityjson(k, points, h)
+                shell = document["CityObjects"][str(k)]["geometry"][0]["boundaries"][0]
+                out.append((k, len(document["vertices"]), len(shell), json.dumps(document)))
             yield pd.DataFrame(out, columns=[key, "n_vertices", "n_faces", "document"])
 
     kind = dict(bodies.dtypes)[key]
