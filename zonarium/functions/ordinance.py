@@ -196,6 +196,11 @@ def _any_case(pattern: str) -> str:
     return pattern if pattern.startswith("(?") and pattern[2] in "im" else f"(?iu){pattern}"
 
 
+def let(c: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null if there is none."""
     return F.nullif(F.regexp_extract(text, _any_case(pattern), group), F.lit(""))
@@ -212,17 +217,16 @@ def value(c: Column) -> Column:
 
 def grouped_value(c: Column) -> Column:
     """As :func:`value`, but several points part thousands."""
-    plain = F.translate(c, ", ", ".")
-    return F.when(F.length(c) - F.length(F.replace(c, F.lit("."))) > 1, F.translate(F.replace(c, F.lit(".")), ", ", ".")).otherwise(plain).try_cast("double")
+    return let(c, lambda c: F.translate(F.when(F.length(c) - F.length(F.replace(c, F.lit("."))) > 1, F.replace(c, F.lit("."))).otherwise(c), ", ", ".").try_cast("double"))
 
 
 def thousands_value(c: Column) -> Column:
     """``1.000`` is a thousand, ``0,35`` a fraction."""
-    return F.when(c.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.replace(c, F.lit(".")).try_cast("double")).otherwise(grouped_value(c))
+    return let(c, lambda c: F.when(c.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.replace(c, F.lit(".")).try_cast("double")).otherwise(grouped_value(c)))
 
 
 def _share(percent: Column) -> Column:
-    return F.when(percent.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), percent / 100)))
+    return let(percent, lambda p: F.when(p.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p / 100))))
 
 
 # --- free texts ------------------------------------------------------------------------------------
@@ -237,17 +241,17 @@ def free_text_parameters(text: Column) -> dict[str, Column]:
     plain = [value(first(text, p)) for p in OCCUPANCY_PLAIN]
     near = [_share(value(first(text, p))) for p in OCCUPANCY_NEAR]
     occupancy = F.coalesce(*percents, *plain, *near)
-    occupancy = F.when(occupancy > 1.5, _share(occupancy)).otherwise(occupancy)
+    occupancy = let(occupancy, lambda v: F.when(v > 1.5, _share(v)).otherwise(v))
     named = F.concat(*(F.regexp_extract(text, _any_case(SUBZONE_HEADING), k) for k in (1, 2, 3)))
-    subzone = F.regexp_replace(named, r"\.+$", "")
+    subzone = let(F.regexp_replace(named, r"\.+$", ""), lambda z: F.when(z.rlike(_any_case(SUBZONE_CODE)), z))
     turned = F.lower(F.concat(*(F.regexp_extract(text, _any_case(FRONT_DIRECTION), k) for k in (1, 2))))
-    direction = reduce(lambda w, d: w.when(turned == d, DIRECTIONS[d]), list(DIRECTIONS)[1:], F.when(turned == "norte", "north"))
+    direction = let(turned, lambda v: reduce(lambda w, d: w.when(v == d, DIRECTIONS[d]), list(DIRECTIONS)[1:], F.when(v == "norte", "north")))
     return {
         "altura_maxima_m": F.coalesce(F.greatest(*heights), ranged),
         **{name: value(first(text, p)) for name, p in SETBACK_PHRASES.items()},
         "ocupacion_max": F.when(~text.rlike(_any_case(UNDERGROUND)), occupancy),
         "edificabilidad_max_m2_m2": F.greatest(*(value(first(text, p)) for p in RATIO_PHRASES)),
-        "subzona": F.when(subzone.rlike(_any_case(SUBZONE_CODE)), subzone),
+        "subzona": subzone,
         "front_direction_default": direction,
     }
 
@@ -302,7 +306,7 @@ def block_parameters(text: Column) -> Column:
     clean = without_printed_lines(text)
     found = []
     for name, patterns in BLOCK_PARAMETERS.items():
-        guard = rf"(?<!{NOT_BUILDINGS})" if name == "altura_maxima_m" else ""
+        guard = rf"(?=altura|planta)(?<!{NOT_BUILDINGS})" if name == "altura_maxima_m" else ""  # looks back only where a phrase begins
         hit, trace = F.lit(None).cast("double"), F.lit(None).cast("string")
         for p in reversed(patterns):
             here = grouped_value(first(clean, guard + p))
@@ -365,9 +369,10 @@ def subzone_lists(text: Column) -> Column:
     Parameters of which only one subzone has a row are dropped: that is a mention in prose.
     """
     heading = "|".join(p for _, p in ROW_HEADINGS)
-    token = rf"([\s\S]*?)({SUBZONE_ROW}|{heading})"
+    token = rf"(?iu)(?:{SUBZONE_ROW}|{heading})"
     whole = F.concat(F.lit("\n"), text)
-    gaps, tokens = every(whole, token, 1), every(whole, token, 2)
+    tokens = F.regexp_extract_all(whole, F.lit(token), F.lit(0))
+    gaps = F.slice(F.split(whole, token, -1), F.lit(1), F.size(tokens))
     kind = lambda t: reduce(lambda w, h: w.when(t.rlike(f"(?iu)^(?:{h[1]})"), h[0]), ROW_HEADINGS[1:], F.when(t.rlike(f"(?iu)^(?:{ROW_HEADINGS[0][1]})"), ROW_HEADINGS[0][0]))
     parts = F.transform(F.arrays_zip(gaps.alias("gap"), tokens.alias("token")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["token"]).alias("size"), kind(x["token"]).alias("kind"), first(x["token"], SUBZONE_ROW, 1).cast("int").alias("zone"), thousands_value(first(x["token"], SUBZONE_ROW, 2)).alias("value")))
     rows_type = "array<struct<parameter:string,subzona:int,value:double>>"
@@ -381,8 +386,8 @@ def subzone_lists(text: Column) -> Column:
         return F.struct((begin + x["size"]).alias("at"), F.coalesce(x["kind"], s["heading"]).alias("heading"), F.when(x["kind"].isNotNull(), begin).otherwise(s["since"]).alias("since"), rows.alias("rows"))
 
     rows = F.aggregate(parts, start, step, lambda s: s["rows"])
-    several = lambda r: F.size(F.array_distinct(F.transform(F.filter(rows, lambda o: o["parameter"] == r["parameter"]), lambda o: o["subzona"]))) >= 2
-    return F.filter(rows, several)
+    zones = lambda every_row, r: F.size(F.array_distinct(F.transform(F.filter(every_row, lambda o: o["parameter"] == r["parameter"]), lambda o: o["subzona"])))
+    return let(rows, lambda every_row: F.filter(every_row, lambda r: zones(every_row, r) >= 2))
 
 
 def block_floor_tables(text: Column) -> Column:

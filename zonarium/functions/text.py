@@ -313,9 +313,12 @@ BEFORE, AFTER = 600, 300
 
 
 def places(text: Column, pattern: str) -> Column:
-    """Array of (begin, size, token) of every match, counted from zero: lengths of gaps and matches are summed along the text."""
-    whole = rf"(?iu)([\s\S]*?)({pattern})"
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("token"))
+    """Array of (begin, size, token) of every match, counted from zero: lengths of gaps and matches are summed along the text.
+
+    The text is read twice, once for what stands between the matches and once for the matches, whatever its length.
+    """
+    gaps, tokens = F.split(text, f"(?iu){pattern}", -1), F.regexp_extract_all(text, F.lit(f"(?iu){pattern}"), F.lit(0))
+    parts = F.zip_with(F.slice(gaps, F.lit(1), F.size(tokens)), tokens, lambda gap, token: F.struct(gap.alias("gap"), token.alias("token")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,size:int,token:string>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

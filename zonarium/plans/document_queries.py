@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from zonarium.functions import parse
 from zonarium.functions import text as t
 from zonarium.operators import ladders, lookups, retrieval
+from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
 from zonarium.plans.rule_queries import _PIP, _hits, _points
 from zonarium.sources.literals import relation, values_sql
@@ -80,17 +81,18 @@ def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AREAS = [("PP-3-B", "a"), ("PP-4", "b"), ("pe-1", "c"), ("UA-7", "d")]
 _ASKED = [(1, "PP-3-B"), (2, "PP-4-A"), (3, "PE-1"), (4, "UA-7-C"), (5, "XX"), (6, "ua-7")]
+_ASKED_AT = Cases(_ASKED, ("id", "code"), source="part", key="p_partkey")
 
 
 @R.add(
-    f"""WITH {values_sql("a", _AREAS, ("code", "sheet"))}, {values_sql("q", _ASKED, ("id", "code"))},
+    f"""WITH {values_sql("a", _AREAS, ("code", "sheet"))}, {_ASKED_AT.sql("q")},
     v AS (SELECT id, unnest([code, upper(code), lower(code), regexp_replace(upper(code), '-[A-Z]$', '')]) AS v, unnest([1, 2, 3, 4]) AS p FROM q),
     r AS (SELECT id, a.code, sheet, row_number() OVER (PARTITION BY id ORDER BY p) AS rn FROM v JOIN a ON a.code = v)
     SELECT q.id, r.code AS found, sheet FROM q LEFT JOIN r ON r.id = q.id AND rn = 1"""
 )
 def variant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A code as it is, in upper and lower case, then without its letter; the first that exists."""
-    q, a = relation(spark, _ASKED, ("id", "code")), relation(spark, _AREAS, ("code", "sheet"))
+    q, a = _ASKED_AT.frame(spark, sf_dir), relation(spark, _AREAS, ("code", "sheet"))
     c = C("code")
     return ladders.first_variant(q, "id", [c, F.upper(c), F.lower(c), F.regexp_replace(F.upper(c), "-[A-Z]$", "")], a, "code").select("id", C("hit.code").alias("found"), C("hit.sheet").alias("sheet"))
 
@@ -113,16 +115,17 @@ _LADDER = [
     (6, None, None, None, None, "U3,U4", None), (7, None, None, None, None, None, "U5"), (8, None, None, None, None, None, None),
 ]
 _LADDER_COLUMNS = ("id", "indicada", "capa", "ambito", "dotacion", "proximas", "piloto")
+_LADDER_AT = Cases(_LADDER, _LADDER_COLUMNS)
 
 
 @R.add(
-    f"""WITH {values_sql("c", _LADDER, _LADDER_COLUMNS)} SELECT id,
+    f"""WITH {_LADDER_AT.sql("c")} SELECT id,
     CASE WHEN indicada IN ('U1', 'U2', 'U3') THEN 'indicada' WHEN capa IS NOT NULL THEN 'capa_oficial' WHEN ambito IS NOT NULL THEN 'ambito' WHEN dotacion IS NOT NULL THEN 'dotacion' WHEN piloto IS NOT NULL THEN 'piloto' WHEN proximas IS NOT NULL THEN 'candidatas' ELSE 'sin_dato' END AS estado,
     CASE WHEN indicada IN ('U1', 'U2', 'U3') THEN indicada WHEN capa IS NOT NULL THEN capa WHEN ambito IS NOT NULL THEN ambito WHEN dotacion IS NOT NULL THEN dotacion WHEN piloto IS NOT NULL THEN piloto END AS codigo,
     CASE WHEN indicada IN ('U1', 'U2', 'U3') OR capa IS NOT NULL THEN 'alta' WHEN ambito IS NOT NULL OR dotacion IS NOT NULL THEN 'media' WHEN piloto IS NOT NULL OR proximas IS NOT NULL THEN 'baja' END AS confianza FROM c"""
 )
 def ordinance_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = relation(spark, _LADDER, _LADDER_COLUMNS)
+    c = _LADDER_AT.frame(spark, sf_dir)
     s = ladders.ordinance_state(C("indicada"), C("indicada").isin("U1", "U2", "U3"), C("capa"), C("ambito"), C("dotacion"), C("piloto"), C("proximas"))
     return c.select("id", s.alias("s")).select("id", "s.estado", "s.codigo", "s.confianza")
 
@@ -223,76 +226,82 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COVER = [(1, "Bosque de eucalipto"), (2, "Tejido urbano continuo"), (3, "Marisma y zona húmeda"), (4, "Cultivo herbáceo"), (5, "Autopista y terrenos asociados"), (6, None)]
+_COVER_AT = Cases(_COVER, ("id", "label"), source="documents", key="doc_id", whole=("label",))
 
 
 @R.add(
-    f"""WITH {values_sql("c", _COVER, ("id", "label"))}, f AS (SELECT *, strip_accents(lower(label)) AS s FROM c)
+    f"""WITH {_COVER_AT.sql("c")}, f AS (SELECT *, strip_accents(lower(label)) AS s FROM c)
     SELECT id, CASE WHEN regexp_matches(s, 'urban|edific|industr|autop') THEN 'artificial' WHEN regexp_matches(s, 'bosque|forest|matorral') THEN 'forestal' WHEN regexp_matches(s, 'humed|marisma|agua|rio') THEN 'agua' ELSE 'agricola' END AS clase,
     CASE WHEN regexp_matches(s, 'bosque|forest') THEN 'incendio' WHEN regexp_matches(s, 'humed|marisma') THEN 'humedal' WHEN regexp_matches(s, 'autop|carretera') THEN 'infraestructura' END AS alerta FROM f"""
 )
 def land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, _COVER, ("id", "label")).select("id", parse.cover_class(C("label")).alias("clase"), parse.cover_alert(C("label")).alias("alerta"))
+    return _COVER_AT.frame(spark, sf_dir).select("id", parse.cover_class(C("label")).alias("clase"), parse.cover_alert(C("label")).alias("alerta"))
 
 
-_BODIES = [(1, "eyJhIjogMSwgInNoYXBlIjogIkEifQ==", "uso=vivienda;altura=7", 'texto {"ok": true, "n": 3} fin'), (2, "eyJhIjogMn0=", "altura=12", "sin json"), (3, "e30=", "", "{}")]
+_BODIES = [(1, "eyJhIjogMSwgInNoYXBlIjogIkEifQ==", "uso=vivienda;altura={a}", 'texto {"ok": true, "n": {a}} fin'), (2, "eyJhIjogMn0=", "altura={b}", "sin json"), (3, "e30=", "", "{}")]
+_BODIES_AT = Cases(_BODIES, ("id", "body", "kv", "llm"))
 
 
 @R.add(
-    f"""WITH {values_sql("b", _BODIES, ("id", "body", "kv", "llm"))} SELECT id, json_extract(decode(from_base64(body)), '$.a')::BIGINT AS a, json_extract_string(decode(from_base64(body)), '$.shape') AS shape,
+    f"""WITH {_BODIES_AT.sql("b")} SELECT id, json_extract(decode(from_base64(body)), '$.a')::BIGINT AS a, json_extract_string(decode(from_base64(body)), '$.shape') AS shape,
     nullif(regexp_extract(kv, 'altura=([^;]*)', 1), '') AS altura, json_extract(nullif(regexp_extract(llm, '(\\{{.*\\}})', 1), ''), '$.n')::BIGINT AS n FROM b"""
 )
 def json_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies from base64 JSON, key=value lines and JSON found inside text."""
-    b = relation(spark, _BODIES, ("id", "body", "kv", "llm"))
+    b = _BODIES_AT.frame(spark, sf_dir)
     body = F.from_json(F.unbase64("body").cast("string"), "a bigint, shape string")
     found = F.from_json(F.nullif(F.regexp_extract("llm", r"(\{.*\})", 1), F.lit("")), "n bigint")
     return b.select("id", body["a"].alias("a"), body["shape"].alias("shape"), F.try_element_at(F.str_to_map("kv", F.lit(";"), F.lit("=")), F.lit("altura")).alias("altura"), found["n"].alias("n"))
 
 
 _XML = [
-    (1, "<c><u><luso>V</luso><sfc>120.5</sfc><ant>1965</ant></u><u><luso>C</luso><sfc>80</sfc><ant>1970</ant></u></c>"),
-    (2, "<c><u><luso>V</luso><sfc>50</sfc></u></c>"),
+    (1, "<c><u><luso>V</luso><sfc>1{b}.5</sfc><ant>19{b}</ant></u><u><luso>C</luso><sfc>{a}</sfc><ant>{b}</ant></u></c>"),
+    (2, "<c><u><luso>V</luso><sfc>{b}</sfc></u></c>"),
 ]
+_XML_AT = Cases(_XML, ("id", "doc"))
 
 
 @R.add(
-    f"""WITH {values_sql("x", _XML, ("id", "doc"))}, v AS (SELECT id, regexp_extract_all(doc, '<luso>([^<]*)</luso>', 1) AS usos, [try_cast(s AS DOUBLE) FOR s IN regexp_extract_all(doc, '<sfc>([^<]*)</sfc>', 1)] AS m2, [try_cast(s AS BIGINT) FOR s IN regexp_extract_all(doc, '<ant>([^<]*)</ant>', 1)] AS anos FROM x)
+    f"""WITH {_XML_AT.sql("x")}, v AS (SELECT id, regexp_extract_all(doc, '<luso>([^<]*)</luso>', 1) AS usos, [try_cast(s AS DOUBLE) FOR s IN regexp_extract_all(doc, '<sfc>([^<]*)</sfc>', 1)] AS m2, [try_cast(s AS BIGINT) FOR s IN regexp_extract_all(doc, '<ant>([^<]*)</ant>', 1)] AS anos FROM x)
     SELECT id, list_sum(m2) AS total, len(usos)::BIGINT AS unidades, list_min([a FOR a IN anos IF a > 1800 AND a < 2100]) AS ano FROM v"""
 )
 def cadastre_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of a cadastre document: area, count, first year."""
-    d = relation(spark, _XML, ("id", "doc"))
+    d = _XML_AT.frame(spark, sf_dir)
     area = F.transform(F.xpath("doc", F.lit("//sfc/text()")), lambda x: x.try_cast("double"))
     years = F.filter(F.transform(F.xpath("doc", F.lit("//ant/text()")), lambda x: x.try_cast("bigint")), lambda y: (y > 1800) & (y < 2100))
     return d.select("id", F.aggregate(area, F.lit(0.0), lambda s, x: s + x).alias("total"), F.size(F.xpath("doc", F.lit("//luso/text()"))).cast("long").alias("unidades"), F.array_min(years).alias("ano"))
 
 
 _LAYERS = [(1, "36057", "PXOM 2008 (historico)", 1), (2, "36057", "Modificacion puntual 2015", 2), (3, "36057", "PXOM 2025", 3), (4, "15030", "Otra capa 1999", 1), (5, "15030", "Normas subsidiarias 2001", 2)]
+_LAYERS_AT = Cases(_LAYERS, ("id", "ine", "name", "ord"), each=("ine",))
 
 
 @R.add(
-    f"""WITH {values_sql("l", _LAYERS, ("id", "ine", "name", "ord"))}, k AS (SELECT *, CASE WHEN regexp_matches(lower(name), 'historic') THEN 3 WHEN regexp_matches(lower(name), 'puntual') THEN 2 WHEN regexp_matches(lower(name), 'pxom|plan xeral') THEN 0 ELSE 1 END AS p FROM l),
+    f"""WITH {_LAYERS_AT.sql("l")}, k AS (SELECT *, CASE WHEN regexp_matches(lower(name), 'historic') THEN 3 WHEN regexp_matches(lower(name), 'puntual') THEN 2 WHEN regexp_matches(lower(name), 'pxom|plan xeral') THEN 0 ELSE 1 END AS p FROM l),
     r AS (SELECT *, row_number() OVER (PARTITION BY ine ORDER BY p, ord) AS rn FROM k) SELECT ine, id, name, regexp_extract(name, '([0-9]{{4}})', 1) AS year FROM r WHERE rn = 1 AND p < 2"""
 )
 def layer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layer in force: general plans first, historical ones and amendments never."""
     n = F.lower("name")
     p = F.when(n.rlike("historic"), 3).when(n.rlike("puntual"), 2).when(n.rlike("pxom|plan xeral"), 0).otherwise(1)
-    ranked = lookups.top_k(relation(spark, _LAYERS, ("id", "ine", "name", "ord")).withColumn("p", p).where("p < 2"), ["ine"], 1, C("p"), C("ord"))
+    ranked = lookups.top_k(_LAYERS_AT.frame(spark, sf_dir).withColumn("p", p).where("p < 2"), ["ine"], 1, C("p"), C("ord"))
     return ranked.select("ine", "id", "name", F.regexp_extract("name", "([0-9]{4})", 1).alias("year"))
 
 
-_ODT = [(1, "MUNICIPIO Vigo"), (2, "Subzona U1"), (3, "altura 12"), (4, "ocupacion 40"), (5, "Subzona U2"), (6, "altura 9"), (7, "MUNICIPIO Lugo"), (8, "altura 7"), (9, "Subzona R1"), (10, "altura 10")]
+_ODT = [(1, "MUNICIPIO Vigo"), (2, "Subzona U1"), (3, "altura {a}"), (4, "ocupacion {b}"), (5, "Subzona U2"), (6, "altura {c}"), (7, "MUNICIPIO Lugo"), (8, "altura {a}"), (9, "Subzona R1"), (10, "altura {b}")]
+_ODT_AT = Cases(_ODT, ("n", "line"))
 
 
 @R.add(
-    f"""WITH {values_sql("l", _ODT, ("n", "line"))}, m AS (SELECT n, line, last_value(nullif(regexp_extract(line, '^MUNICIPIO (.*)$', 1), '') IGNORE NULLS) OVER (ORDER BY n) AS muni, max(CASE WHEN starts_with(line, 'MUNICIPIO') THEN n END) OVER (ORDER BY n) AS blk FROM l),
-    s AS (SELECT *, last_value(nullif(regexp_extract(line, '^Subzona (.*)$', 1), '') IGNORE NULLS) OVER (PARTITION BY blk ORDER BY n) AS sub FROM m)
-    SELECT muni, coalesce(sub, '') AS sub, max(try_cast(regexp_extract(line, '^altura ([0-9.]+)$', 1) AS DOUBLE)) AS altura, max(try_cast(regexp_extract(line, '^ocupacion ([0-9.]+)$', 1) AS DOUBLE)) AS ocupacion FROM s WHERE regexp_matches(line, '^(altura|ocupacion)') GROUP BY muni, sub"""
+    f"""WITH {_ODT_AT.sql("l")}, w AS (SELECT *, n // 10 AS doc FROM l), m AS (SELECT *, last_value(nullif(regexp_extract(line, '^MUNICIPIO (.*)$', 1), '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n) AS muni, max(CASE WHEN starts_with(line, 'MUNICIPIO') THEN n END) OVER (PARTITION BY doc ORDER BY n) AS blk FROM w),
+    s AS (SELECT *, last_value(nullif(regexp_extract(line, '^Subzona (.*)$', 1), '') IGNORE NULLS) OVER (PARTITION BY doc, blk ORDER BY n) AS sub FROM m)
+    SELECT doc, muni, coalesce(sub, '') AS sub, max(try_cast(regexp_extract(line, '^altura ([0-9.]+)$', 1) AS DOUBLE)) AS altura, max(try_cast(regexp_extract(line, '^ocupacion ([0-9.]+)$', 1) AS DOUBLE)) AS ocupacion FROM s WHERE regexp_matches(line, '^(altura|ocupacion)') GROUP BY doc, muni, sub"""
 )
 def lines_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a document to rule rows: municipality and subzone carried down, values gathered."""
-    return parse.rule_rows(relation(spark, _ODT, ("n", "line")).withColumn("doc", F.lit(1)), "doc", "n", "line").drop("doc")
+    """Lines of many documents to rule rows: municipality and subzone carried down, values gathered."""
+    lines = _ODT_AT.frame(spark, sf_dir).withColumn("doc", F.expr("n div 10"))
+    return parse.rule_rows(lines, "doc", "n", "line")
 
 
 @R.add(
@@ -356,13 +365,3 @@ def point_cloud_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     px = table(spark, sf_dir, "lineitem").select(C("l_suppkey").alias("b"), (C("l_extendedprice") / 1000).alias("z"), (C("l_returnflag") == "N").alias("ground"))
     return cloud_height(px, "b", "z", "ground")
-
-
-@R.add()
-def volume_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same body as glTF, GLB and IFC."""
-    from zonarium.functions.geometry import rectangle
-    from zonarium.sources.volumes import gltf_and_ifc
-
-    b = relation(spark, [(1, 0.0, 10.0, 0.0, 8.0, 9.0), (2, 0.0, 30.0, 0.0, 12.0, 6.0)], ("id", "xmin", "xmax", "ymin", "ymax", "h")).withColumn("ring", rectangle(C("xmin"), C("xmax"), C("ymin"), C("ymax")))
-    return gltf_and_ifc(b, "id", "ring", "h")

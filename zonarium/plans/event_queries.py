@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from zonarium.functions import text as t
 from zonarium.operators import lookups, metrics, quality, windows
+from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
 from zonarium.sources.literals import BUCKET_BOUNDS, relation
 
@@ -164,15 +165,16 @@ def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("lang").agg(n.alias("n"), good.alias("passed"), F.round(good / n, 4).alias("share"), F.round(F.avg("toxic"), 4).alias("toxic"))
 
 
-_BOUND_ROWS = [(1, "512, 1024,abc,-5,1024,0,99"), (2, ""), (3, "7")]
+_BOUND_ROWS = [(1, "512, 1024,abc,-5,1024,0,{b}"), (2, ""), (3, "{a},{c}")]
+_BOUND_AT = Cases(_BOUND_ROWS, ("id", "s"), source="events", key="event_id")
 
 
 @R.add(
-    """SELECT id, list_sort(list_distinct([x for x in [try_cast(trim(p) AS BIGINT) for p in string_split(s, ',')] if x > 0])) AS bounds
-    FROM (VALUES """ + ", ".join(f"({i}, '{s}')" for i, s in _BOUND_ROWS) + ") v(id, s)"
+    f"WITH {_BOUND_AT.sql('rows_')} " + """SELECT id, list_sort(list_distinct([x for x in [try_cast(trim(p) AS BIGINT) for p in string_split(s, ',')] if x > 0])) AS bounds
+    FROM rows_"""
 )
 def bucket_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, _BOUND_ROWS, ("id", "s")).select("id", metrics.bounds_from_text(F.col("s")).alias("bounds"))
+    return _BOUND_AT.frame(spark, sf_dir).select("id", metrics.bounds_from_text(F.col("s")).alias("bounds"))
 
 
 @R.add(

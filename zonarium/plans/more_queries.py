@@ -9,6 +9,7 @@ from zonarium.functions import geometry as g
 from zonarium.functions import sun
 from zonarium.functions import text as t
 from zonarium.operators import lookups, retrieval, spatial, windows
+from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
 from zonarium.sources.literals import relation, values_sql
 
@@ -81,15 +82,16 @@ def index_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NESTED = [(1, "PXOM", '[{"name":"a","parts":["x.pdf",""]},{"name":"b","parts":["y.pdf","z.pdf"]}]'), (2, "PE", '[{"name":"c","parts":[]}]'), (3, "PXOM", "[]")]
+_NESTED_AT = Cases(_NESTED, ("id", "clase", "doc"))
 
 
 @R.add(
-    f"""WITH {values_sql("d", _NESTED, ("id", "clase", "doc"))}, c AS (SELECT id, clase, unnest(from_json(doc, '[{{"name":"VARCHAR","parts":["VARCHAR"]}}]')) AS c FROM d), p AS (SELECT id, clase, c.name AS name, unnest(c.parts) AS part FROM c)
+    f"""WITH {_NESTED_AT.sql("d")}, c AS (SELECT id, clase, unnest(from_json(doc, '[{{"name":"VARCHAR","parts":["VARCHAR"]}}]')) AS c FROM d), p AS (SELECT id, clase, c.name AS name, unnest(c.parts) AS part FROM c)
     SELECT clase, id, name, 'https://example.org/' || id || '/' || part AS url FROM p WHERE trim(part) <> ''"""
 )
 def nested_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents flattened twice, blank paths dropped, addresses built."""
-    d = relation(spark, _NESTED, ("id", "clase", "doc")).select("id", "clase", F.explode(F.from_json("doc", "array<struct<name: string, parts: array<string>>>")).alias("c"))
+    d = _NESTED_AT.frame(spark, sf_dir).select("id", "clase", F.explode(F.from_json("doc", "array<struct<name: string, parts: array<string>>>")).alias("c"))
     p = d.select("id", "clase", "c.name", F.explode("c.parts").alias("part")).where(F.trim("part") != "")
     return p.select("clase", "id", "name", F.concat(F.lit("https://example.org/"), C("id").cast("string"), F.lit("/"), "part").alias("url"))
 
@@ -123,15 +125,16 @@ def repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BUILT = [(1, 14.0, 12.0, 0.55, 0.5, None, 1.2), (2, 9.0, 12.0, 0.3, 0.5, 0.9, 1.2), (3, None, 12.0, 0.5, None, 1.3, 1.2)]
 _BUILT_COLUMNS = ("id", "alt", "alt_max", "ocu", "ocu_max", "edi", "edi_max")
+_BUILT_AT = Cases(_BUILT, _BUILT_COLUMNS, vary={"alt": 0.75, "ocu": 0.05, "edi": 0.2})
 
 
 @R.add(
-    f"""WITH {values_sql("b", _BUILT, _BUILT_COLUMNS)}, r AS (SELECT id, unnest(['altura', 'ocupacion', 'edificabilidad']) AS param, unnest([alt, ocu, edi]) AS observed, unnest([alt_max, ocu_max, edi_max]) AS required FROM b)
+    f"""WITH {_BUILT_AT.sql("b")}, r AS (SELECT id, unnest(['altura', 'ocupacion', 'edificabilidad']) AS param, unnest([alt, ocu, edi]) AS observed, unnest([alt_max, ocu_max, edi_max]) AS required FROM b)
     SELECT id, param, observed, required, CASE WHEN observed IS NULL OR required IS NULL THEN 'no_verificable' WHEN observed <= required THEN 'cumple' ELSE 'no_cumple' END AS estado, round(observed - required, 4) AS exceso FROM r"""
 )
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A building against its zone, one row for each parameter."""
-    b = relation(spark, _BUILT, _BUILT_COLUMNS)
+    b = _BUILT_AT.frame(spark, sf_dir)
     rows = F.array(*(F.struct(F.lit(n).alias("param"), C(a).alias("observed"), C(m).alias("required")) for n, a, m in (("altura", "alt", "alt_max"), ("ocupacion", "ocu", "ocu_max"), ("edificabilidad", "edi", "edi_max"))))
     r = b.select("id", F.explode(rows).alias("r")).select("id", "r.*")
     over = C("observed") - C("required")
@@ -139,15 +142,16 @@ def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORDINANCE = [
-    (1, "Altura segun ancho: menos de 6 m: 3 plantas 10,5 m; de 6 a 12 m: 4 plantas 13 m; de 12 a 18 m: 5 plantas 16,5 m"),
-    (2, "Altura: ancho de la calle + 6 m"),
-    (3, "Altura: ancho x 1,5"),
+    (1, "Altura segun ancho: menos de 6 m: 3 plantas {a},5 m; de 6 a 12 m: 4 plantas 13 m; de 12 a 18 m: 5 plantas 16,5 m"),
+    (2, "Altura: ancho de la calle + {c} m"),
+    (3, "Altura: ancho x 1,{c}"),
     (4, "sin tabla; de 6 a 12 m: 4 plantas 13 m"),
 ]
+_ORDINANCE_AT = Cases(_ORDINANCE, ("id", "body"), source="documents", key="doc_id", whole=("body",))
 
 
 @R.add(
-    f"""WITH {values_sql("o", _ORDINANCE, ("id", "body"))}, m AS (SELECT id, body, regexp_extract_all(body, 'de ([0-9]+) a ([0-9]+) m: ([0-9]+) plantas ([0-9]+(?:,[0-9]+)?) m', 0) AS f, regexp_extract(body, 'menos de ([0-9]+) m: ([0-9]+) plantas', 1) AS low FROM o)
+    f"""WITH {_ORDINANCE_AT.sql("o")}, m AS (SELECT id, body, regexp_extract_all(body, 'de ([0-9]+) a ([0-9]+) m: ([0-9]+) plantas ([0-9]+(?:,[0-9]+)?) m', 0) AS f, regexp_extract(body, 'menos de ([0-9]+) m: ([0-9]+) plantas', 1) AS low FROM o)
     SELECT id, CASE WHEN len(f) + (low <> '')::INT >= 2 THEN len(f) + (low <> '')::INT ELSE 0 END::BIGINT AS filas, CASE WHEN len(f) + (low <> '')::INT >= 2 THEN list_max([try_cast(replace(x, ',', '.') AS DOUBLE) FOR x IN regexp_extract_all(body, 'plantas ([0-9]+(?:,[0-9]+)?) m', 1)]) END AS mayor,
     CASE WHEN regexp_matches(body, 'ancho[^;]*\\+ ?[0-9]') THEN '+' WHEN regexp_matches(body, 'ancho[^;]* x ?[0-9]') THEN '*' END AS formula, try_cast(replace(nullif(regexp_extract(body, 'ancho[^;]*(?:\\+| x) ?([0-9]+(?:,[0-9]+)?)', 1), ''), ',', '.') AS DOUBLE) AS op FROM m"""
 )
@@ -157,47 +161,50 @@ def heights_by_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.size(F.regexp_extract_all("body", F.lit(r"de ([0-9]+) a ([0-9]+) m: ([0-9]+) plantas ([0-9]+(?:,[0-9]+)?) m"), F.lit(0))) + b.rlike("menos de ([0-9]+) m: ([0-9]+) plantas").cast("int")
     tops = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r"plantas ([0-9]+(?:,[0-9]+)?) m"), F.lit(1)), lambda x: t.number(x)))
     op = t.number(F.nullif(F.regexp_extract("body", r"ancho[^;]*(?:\+| x) ?([0-9]+(?:,[0-9]+)?)", 1), F.lit("")))
-    return relation(spark, _ORDINANCE, ("id", "body")).select(
+    return _ORDINANCE_AT.frame(spark, sf_dir).select(
         "id", F.when(rows >= 2, rows).otherwise(0).cast("long").alias("filas"), F.when(rows >= 2, tops).alias("mayor"), F.when(b.rlike(r"ancho[^;]*\+ ?[0-9]"), "+").when(b.rlike("ancho[^;]* x ?[0-9]"), "*").alias("formula"), op.alias("op")
     )
 
 
-_USES = [(1, "Usos permitidos:"), (2, "- Residencial en todas"), (3, "  las plantas"), (4, "- Comercial"), (5, "Condiciones"), (6, "texto suelto")]
+_USES = [(1, "Usos permitidos:"), (2, "- Residencial en todas"), (3, "  las {c} plantas"), (4, "- Comercial hasta {b} m2"), (5, "Condiciones"), (6, "texto suelto")]
+_USES_AT = Cases(_USES, ("n", "line"))
 
 
 @R.add(
-    f"""WITH {values_sql("l", _USES, ("n", "line"))}, m AS (SELECT *, starts_with(line, '- ') AS s, starts_with(line, '  ') AS c FROM l), gr AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (ORDER BY n) AS gid FROM m)
-    SELECT min(n) AS n, string_agg(regexp_replace(trim(line), '^- ', ''), ' ' ORDER BY n) AS uso FROM gr GROUP BY gid HAVING bool_or(s)"""
+    f"""WITH {_USES_AT.sql("l")}, m AS (SELECT *, n // 6 AS doc, starts_with(line, '- ') AS s, starts_with(line, '  ') AS c FROM l), gr AS (SELECT *, sum(CASE WHEN c THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY n) AS gid FROM m)
+    SELECT min(n) AS n, string_agg(regexp_replace(trim(line), '^- ', ''), ' ' ORDER BY n) AS uso FROM gr GROUP BY doc, gid HAVING bool_or(s)"""
 )
 def uses_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bulleted uses with their continuation lines."""
-    l = relation(spark, _USES, ("n", "line")).withColumn("doc", F.lit(1))  # noqa: E741
-    s = windows.segments(l, ["doc"], "n", ~F.startswith("line", F.lit("  ")))
+    """Bulleted uses of many documents with their continuation lines."""
+    lines = _USES_AT.frame(spark, sf_dir).withColumn("doc", F.expr("n div 6"))
+    s = windows.segments(lines, ["doc"], "n", ~F.startswith("line", F.lit("  ")))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: F.regexp_replace(F.trim(x["line"]), "^- ", "")), " ")
     return s.groupBy("doc", "segment").agg(F.min("n").alias("n"), said.alias("uso"), F.bool_or(F.startswith("line", F.lit("- "))).alias("b")).where("b").select("n", "uso")
 
 
 _MENTIONS = [(1, "API-1", "aprobado definitivamente"), (2, "API-1", "eliminado del plan"), (3, "API-2", "aprobado"), (4, "API-3", "sin mas"), (5, "API-2", "aprobado de nuevo")]
+_MENTIONS_AT = Cases(_MENTIONS, ("n", "code", "ctx"), each=("code",))
 
 
 @R.add(
-    f"""WITH {values_sql("m", _MENTIONS, ("n", "code", "ctx"))}, s AS (SELECT *, CASE WHEN contains(ctx, 'eliminad') THEN 'eliminado' WHEN contains(ctx, 'aprobad') THEN 'vigente' END AS st FROM m)
+    f"""WITH {_MENTIONS_AT.sql("m")}, s AS (SELECT *, CASE WHEN contains(ctx, 'eliminad') THEN 'eliminado' WHEN contains(ctx, 'aprobad') THEN 'vigente' END AS st FROM m)
     SELECT code, count(*) AS mentions, CASE WHEN count(DISTINCT st) > 1 THEN 'mixto' ELSE max(st) END AS estado, min(n) AS first FROM s GROUP BY code"""
 )
 def inline_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States that the mentions of an instrument give it; conflicting ones are mixed."""
     st = F.when(F.contains("ctx", F.lit("eliminad")), "eliminado").when(F.contains("ctx", F.lit("aprobad")), "vigente")
-    m = relation(spark, _MENTIONS, ("n", "code", "ctx")).withColumn("st", st)
+    m = _MENTIONS_AT.frame(spark, sf_dir).withColumn("st", st)
     return m.groupBy("code").agg(F.count(F.lit(1)).alias("mentions"), F.when(F.count_distinct("st") > 1, "mixto").otherwise(F.max("st")).alias("estado"), F.min("n").alias("first"))
 
 
 _ANSWERS = [
-    (1, "La altura es de 12 m (art. 62) y 45 % [F1]", "art. 62: altura de 12 m y ocupacion 45 %", 2), (2, "Son 77 m segun el art. 99 [F3]", "art. 62: altura de 12 m", 1), (3, "No consta", "", 0),
+    (1, "La altura es de {a} m (art. {b}) y 45 % [F1]", "art. 62: altura de 12 m y ocupacion 45 %", 2), (2, "Son {b} m segun el art. 99 [F3]", "art. 62: altura de {b} m", 1), (3, "No consta", "", 0),
 ]
+_ANSWERS_AT = Cases(_ANSWERS, ("id", "answer", "sources", "n"))
 
 
 @R.add(
-    f"""WITH {values_sql("a", _ANSWERS, ("id", "answer", "sources", "n"))}, x AS (SELECT *, list_distinct(regexp_extract_all(answer, '([0-9]+(?:[.,][0-9]+)?)', 1)) AS ns, regexp_extract_all(sources, '([0-9]+(?:[.,][0-9]+)?)', 1) AS ss,
+    f"""WITH {_ANSWERS_AT.sql("a")}, x AS (SELECT *, list_distinct(regexp_extract_all(answer, '([0-9]+(?:[.,][0-9]+)?)', 1)) AS ns, regexp_extract_all(sources, '([0-9]+(?:[.,][0-9]+)?)', 1) AS ss,
         [CAST(k AS INT) FOR k IN regexp_extract_all(answer, '\\[F([0-9]+)\\]', 1)] AS cites FROM a)
     SELECT id, len([k FOR k IN ns IF NOT list_contains(ss, k) AND CAST(replace(k, ',', '.') AS DOUBLE) > 31])::BIGINT AS unsupported, coalesce(list_max(cites) > n, false) AS bad_citation, CASE WHEN n >= 2 THEN 'alta' WHEN n = 1 THEN 'media' ELSE 'baja' END AS calidad, CASE WHEN n = 0 THEN 'unavailable' ELSE 'documental' END AS modo FROM x"""
 )
@@ -205,7 +212,7 @@ def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers without a source, citations beyond the sources, quality and mode of an answer."""
     from zonarium.operators.quality import source_quality
 
-    a = relation(spark, _ANSWERS, ("id", "answer", "sources", "n"))
+    a = _ANSWERS_AT.frame(spark, sf_dir)
     loose = F.filter(F.array_except(t.numbers(C("answer")), t.numbers(C("sources"))), lambda k: k.cast("double") > 31)
     cites = F.transform(F.regexp_extract_all("answer", F.lit(r"\[F([0-9]+)\]"), F.lit(1)), lambda k: k.cast("int"))
     n = C("n")

@@ -153,3 +153,9 @@ def volumes_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"s_suppkey": pdf["s_suppkey"], "volume": [round(volumes.volume(*m), 4) for m in meshes], "vertices": [len(v) for v, _ in meshes], "triangles": [len(f) // 3 for _, f in meshes], "voids": pdf["ifc"].str.contains("WITHVOIDS")})
 
     return made.select("s_suppkey", "glb", "ifc").mapInPandas(read, "s_suppkey bigint, volume double, vertices int, triangles int, voids boolean")
+
+
+@R.add()
+def volume_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bodies as glTF, GLB and IFC."""
+    return volumes.gltf_and_ifc(_bodies(spark, sf_dir), "s_suppkey", "rings", "height")

@@ -10,6 +10,7 @@ from zonarium.functions import ordinance as o
 from zonarium.functions import rules
 from zonarium.functions import text as t
 from zonarium.operators import retrieval, search
+from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
 from zonarium.sources.literals import relation, values_sql
 
@@ -26,6 +27,7 @@ _TEXTS = [
     (7, "", "", "clases de suelo"),
 ]
 _COLUMNS = ("id", "zona", "cobertura", "pregunta")
+_TEXTS_AT = Cases(_TEXTS, _COLUMNS, source="documents", key="doc_id", whole=("pregunta",))
 
 
 def _any(column: str, words: tuple[str, ...]) -> str:
@@ -33,28 +35,29 @@ def _any(column: str, words: tuple[str, ...]) -> str:
 
 
 @R.add(
-    f"""WITH {values_sql("x", _TEXTS, _COLUMNS)}, l AS (SELECT *, translate(lower(cobertura), 'áàâäãåéèêëíìîïóòôöõúùûüýÿç', 'aaaaaaeeeeiiiiooooouuuuyyc') AS low, lower(pregunta) AS q FROM x)
+    f"""WITH {_TEXTS_AT.sql("x")}, l AS (SELECT *, translate(lower(cobertura), 'áàâäãåéèêëíìîïóòôöõúùûüýÿç', 'aaaaaaeeeeiiiiooooouuuuyyc') AS low, lower(pregunta) AS q FROM x)
     SELECT id, CASE {" ".join(f"WHEN regexp_matches(zona, '{p}', 'i') THEN '{n}'" for n, p in t.ZONE_PATTERNS)} END AS zona, CASE {" ".join(f"WHEN {_any('low', w)} THEN '{n}'" for n, w in t.COVER_FAMILIES)} END AS familia,
       coalesce(nullif(regexp_extract(q, 'art[íi]culo\\s+(\\d+)', 1), ''), CASE {" ".join(f"WHEN {' AND '.join(_any('q', g) for g in gs)} THEN '{a}'" for a, gs in t.ARTICLE_TOPICS)} END) AS articulo FROM l"""
 )
 def zones_covers_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of land, family of land cover and target article of texts."""
-    return relation(spark, _TEXTS, _COLUMNS).select("id", t.zone_of_text(C("zona")).alias("zona"), t.cover_family(C("cobertura")).alias("familia"), t.target_article(C("pregunta")).alias("articulo"))
+    return _TEXTS_AT.frame(spark, sf_dir).select("id", t.zone_of_text(C("zona")).alias("zona"), t.cover_family(C("cobertura")).alias("familia"), t.target_article(C("pregunta")).alias("articulo"))
 
 
 _HEADERS = [
     (1, "texto ART. 76. ", "", "Mantemento"), (2, "segundo a ", "CUARTEIRÓN PECHADO", " ámbito"), (3, "na ", "unidades Edificio Non", " Exclusivo"), (4, "a ", None, " 1. Delimitación"), (5, "a ", "", " usos permitidos e máis"), (6, "a ", "", " UNHA LIÑA EN MAIÚSCULAS e"), (7, "a ", "", " 12 34"),
 ]
+_HEADERS_AT = Cases(_HEADERS, ("id", "antes", "titulo", "despues"))
 
 
 @R.add(
-    f"""WITH {values_sql("x", _HEADERS, ("id", "antes", "titulo", "despues"))}, c AS (SELECT *, CASE WHEN coalesce(titulo, '') <> '' THEN titulo ELSE substring(despues, 1, 60) END AS k FROM x)
+    f"""WITH {_HEADERS_AT.sql("x")}, c AS (SELECT *, CASE WHEN coalesce(titulo, '') <> '' THEN titulo ELSE substring(despues, 1, 60) END AS k FROM x)
     SELECT id, regexp_matches(antes, 'art\\.?\\s*\\d+\\s*[.:\\-]?\\s*$', 'i') OR regexp_matches(substring(despues, 1, 90), '^\\s*(?:1\\s*[.):]|delimitaci[oó]n|[áa]mbito|par[áa]metros|obxecto|usos\\b|sistema)', 'i')
       OR coalesce(length(regexp_replace(k, '[^\\p{{Lu}}]', '', 'g')) >= 0.7 * nullif(length(regexp_replace(k, '[^\\p{{L}}]', '', 'g')), 0), false) AS cabecera FROM c"""
 )
 def headers_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which headings of ordinances are headings."""
-    return relation(spark, _HEADERS, ("id", "antes", "titulo", "despues")).select("id", t.header_is_plausible(C("antes"), C("titulo"), C("despues")).alias("cabecera"))
+    return _HEADERS_AT.frame(spark, sf_dir).select("id", t.header_is_plausible(C("antes"), C("titulo"), C("despues")).alias("cabecera"))
 
 
 _MENTIONS = [
@@ -62,10 +65,11 @@ _MENTIONS = [
     (2, "PERI do Casco, conforme ao API 7, solo urbanizable." + " z" * 400 + " API-88 sen máis"),
     (3, "nada"),
 ]
+_MENTIONS_AT = Cases(_MENTIONS, ("id", "t"), source="documents", key="doc_id", whole=("t",))
 
 
 @R.add(
-    f"""WITH {values_sql("x", _MENTIONS, ("id", "t"))}, s AS (SELECT id, t, string_split_regex(t, '(?i)API[-\\s]?\\d{{1,4}}') AS gaps, regexp_extract_all(t, 'API[-\\s]?\\d{{1,4}}', 0, 'i') AS toks FROM x),
+    f"""WITH {_MENTIONS_AT.sql("x")}, s AS (SELECT id, t, string_split_regex(t, '(?i)API[-\\s]?\\d{{1,4}}') AS gaps, regexp_extract_all(t, 'API[-\\s]?\\d{{1,4}}', 0, 'i') AS toks FROM x),
     k AS (SELECT id, t, unnest(range(1, len(toks) + 1)) AS i, gaps, toks FROM s),
     p AS (SELECT id, t, toks[i] AS tok, list_sum([length(g) FOR g IN gaps[1:i]])::BIGINT + coalesce(list_sum([length(g) FOR g IN toks[1:i - 1]]), 0)::BIGINT AS b FROM k),
     c AS (SELECT id, tok, b, substring(t, greatest(b - 600, 0) + 1, b - greatest(b - 600, 0)) AS pre, substring(t, greatest(b - 600, 0) + 1, b + length(tok) + 300 - greatest(b - 600, 0)) AS ctx FROM p),
@@ -76,63 +80,69 @@ _MENTIONS = [
 )
 def instrument_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas mentioned in dispositions, one row each: first instrument and date, and ``mixto`` if the mentions disagree on the state."""
-    m = relation(spark, _MENTIONS, ("id", "t")).select("id", F.explode(t.instrument_mentions(C("t"))).alias("m")).select("id", "m.*")
+    m = _MENTIONS_AT.frame(spark, sf_dir).select("id", F.explode(t.instrument_mentions(C("t"))).alias("m")).select("id", "m.*")
     first = lambda c: F.min_by(c, F.when(C(c).isNotNull(), C("lugar"))).alias(c)
     state = F.when(F.count_distinct("estado") > 1, "mixto").otherwise(F.min("estado"))
     return m.groupBy("id", "codigo").agg(F.count(F.lit(1)).alias("menciones"), first("instrumento"), state.alias("estado"), first("fecha"))
 
 
 _AREAS = [(1, "ver API 12", None, None), (2, "API-12_P-3", "x", "SUNC"), (3, "SUB 4", "PE-7b zona", None), (4, "", "201 Guixar", "sunc"), (5, None, "201 Guixar", "rustico"), (6, "CATEGORÍA RIRU DISTRITO 3", "nada", None)]
+_AREAS_AT = Cases(_AREAS, ("id", "notas", "nombre", "clase"))
 
 
 @R.add(
-    f"""WITH {values_sql("x", _AREAS, ("id", "notas", "nombre", "clase"))}, m AS (SELECT id, regexp_extract(coalesce(notas, ''), '{t.AREA_CODE}', ['k', 'n', 'p'], 'i') AS a, regexp_extract(coalesce(nombre, ''), '{t.AREA_CODE}', ['k', 'n', 'p'], 'i') AS b, upper(regexp_extract(coalesce(nombre, ''), '^\\s*(\\d{{1,4}}[a-z]?)\\s+', 1)) AS num, upper(coalesce(clase, '')) AS g FROM x),
+    f"""WITH {_AREAS_AT.sql("x")}, m AS (SELECT id, regexp_extract(coalesce(notas, ''), '{t.AREA_CODE}', ['k', 'n', 'p'], 'i') AS a, regexp_extract(coalesce(nombre, ''), '{t.AREA_CODE}', ['k', 'n', 'p'], 'i') AS b, upper(regexp_extract(coalesce(nombre, ''), '^\\s*(\\d{{1,4}}[a-z]?)\\s+', 1)) AS num, upper(coalesce(clase, '')) AS g FROM x),
     r AS (SELECT id, CASE WHEN upper(a.k) = 'API' THEN ['API-' || upper(a.n), 'observaciones', CASE WHEN a.p <> '' THEN 'media' ELSE 'alta' END] WHEN b.k <> '' THEN [upper(b.k) || '-' || upper(b.n), 'denominacion', 'alta'] WHEN g IN ('SUB', 'SUNC', 'SUNP', 'SUOC') AND num <> '' THEN [g || '-' || num, 'denominacion_y_clase', 'alta'] END AS v FROM m)
     SELECT id, v[1] AS codigo, v[2] AS origen, v[3] AS confianza FROM r"""
 )
 def areas_of_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The area that a polygon's attributes name, with confidence."""
-    return relation(spark, _AREAS, ("id", "notas", "nombre", "clase")).select("id", t.area_of_zone(C("notas"), C("nombre"), C("clase")).alias("a")).select("id", "a.*")
+    return _AREAS_AT.frame(spark, sf_dir).select("id", t.area_of_zone(C("notas"), C("nombre"), C("clase")).alias("a")).select("id", "a.*")
 
 
 _POOLS = [(1, 500.0, 150.0, 40.0, 24.0, 0.5), (2, 500.0, 195.0, 40.0, 24.0, 0.5), (3, None, 10.0, 40.0, 24.0, 0.5), (4, 300.0, None, 30.0, 32.0, 1.0), (5, 300.0, 100.0, None, 32.0, 1.0)]
 _POOL_COLUMNS = ("id", "parcela", "huella", "tope", "piscina", "computo")
+_POOLS_AT = Cases(_POOLS, _POOL_COLUMNS, vary={"huella": 2.5, "piscina": 1.5})
 
 
 @R.add(
-    f"""WITH {values_sql("x", _POOLS, _POOL_COLUMNS)}, y AS (SELECT *, parcela * tope / 100 AS lim, coalesce(huella, 0) AS u, piscina * computo AS c FROM x)
+    f"""WITH {_POOLS_AT.sql("x")}, y AS (SELECT *, parcela * tope / 100 AS lim, coalesce(huella, 0) AS u, piscina * computo AS c FROM x)
     SELECT id, CASE WHEN parcela > 0 THEN 'estimated' ELSE 'unavailable' END AS calidad, round(huella / parcela * 100, 1) AS ocupacion_actual_pct, round(lim, 1) AS limite_m2, round(lim - u, 1) AS margen_m2, CASE WHEN lim IS NOT NULL THEN round(c, 1) END AS computa_m2, CASE WHEN lim IS NOT NULL THEN c <= lim - u END AS viable,
       CASE WHEN lim IS NOT NULL THEN round((u + c) / parcela * 100, 1) END AS resultante_pct FROM y"""
 )
 def pool_viability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a pool fits the occupancy that is left."""
-    p = relation(spark, _POOLS, _POOL_COLUMNS)
+    p = _POOLS_AT.frame(spark, sf_dir)
     return p.select("id", rules.pool_viability(C("parcela"), C("huella"), C("tope"), C("piscina"), C("computo")).alias("p")).select("id", "p.*")
 
 
 _PLAN_ROWS = [(1, " A Coruña ", "NZ1.", "", "3,5", "", "", "", "0,4", "north"), (2, "Vigo", "U7", "", "2", "", "1,5", "", "0,5", "south"), (3, "a coruna", "X", "12,5", None, "", "", "", "", ""), (4, "Vigo", "U10 ", None, "", "", "", "", "", "east"), (5, "Lugo", "U7", "9", "", "", "", "", "", None)]
 _PLAN_ROW_COLUMNS = ("id", "municipio", "subzona", "altura_maxima_m", "retranqueo_min_m", "setback_front_m", "setback_side_m", "setback_back_m", "ocupacion_max", "front_direction_default")
 _PATCH = {"U10": "25.0", "U7": "15.0"}
+_PLAN_AT = Cases(_PLAN_ROWS, _PLAN_ROW_COLUMNS)
 
 
 @R.add(
-    f"""WITH {values_sql("x", _PLAN_ROWS, _PLAN_ROW_COLUMNS)}, y AS (SELECT id, trim(municipio) AS municipio, regexp_replace(trim(subzona), '\\.+$', '') AS subzona, replace(trim(coalesce(altura_maxima_m, '')), ',', '.') AS h, replace(trim(coalesce(retranqueo_min_m, '')), ',', '.') AS retranqueo_min_m,
+    f"""WITH {_PLAN_AT.sql("x")}, y AS (SELECT id, trim(municipio) AS municipio, regexp_replace(trim(subzona), '\\.+$', '') AS subzona, replace(trim(coalesce(altura_maxima_m, '')), ',', '.') AS h, replace(trim(coalesce(retranqueo_min_m, '')), ',', '.') AS retranqueo_min_m,
         concat(setback_front_m, setback_side_m, setback_back_m) AS sides, replace(trim(coalesce(ocupacion_max, '')), ',', '.') AS ocupacion_max, coalesce(front_direction_default, '') AS d FROM x),
     z AS (SELECT *, CASE WHEN lower(municipio) IN ('a coruña', 'a coruna') AND h = '' THEN '9' ELSE h END AS h2 FROM y)
     SELECT id, municipio, subzona, CASE WHEN h2 <> '' THEN h2 WHEN subzona = 'U10' THEN '25.0' WHEN subzona = 'U7' THEN '15.0' ELSE h2 END AS altura_maxima_m, retranqueo_min_m, ocupacion_max, CASE WHEN sides <> '' THEN d ELSE '' END AS front_direction_default FROM z"""
 )
 def plan_rows_put_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan rows cleaned, then blank heights filled by code."""
-    rows = relation(spark, _PLAN_ROWS, _PLAN_ROW_COLUMNS)
+    rows = _PLAN_AT.frame(spark, sf_dir)
     clean = rows.select(*(c.alias(k) for k, c in rules.cleaned_plan_row(rows.columns).items()))
     return clean.select("id", "municipio", "subzona", rules.patched_heights(C("altura_maxima_m"), C("subzona"), _PATCH).alias("altura_maxima_m"), "retranqueo_min_m", "ocupacion_max", "front_direction_default")
 
 
+_LIMITS = [(1, "En el polígono, altura máxima permitida de {a},5 m con retranqueo frontal de {c} m.\nAltura de cornisa {b} metros; retranqueo lateral: {c} m"), (2, "Sin cifras."), (3, "Ocupación máxima del {b} % y edificabilidad de 0,{c} m2/m2")]
+_LIMITS_AT = Cases(_LIMITS, ("id", "t"), source="documents", key="doc_id", whole=("t",))
+
+
 @R.add()
 def limit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every phrase with a limit and its context."""
-    texts = [(1, "La altura máxima permitida es de 12,5 m y el retranqueo frontal de 3 m.\nAltura de cornisa 9 metros; retranqueo lateral: 2 m"), (2, "nada")]
-    return relation(spark, texts, ("id", "t")).select("id", F.explode(o.candidates(C("t"))).alias("c")).select("id", "c.*")
+    return _LIMITS_AT.frame(spark, sf_dir).select("id", F.explode(o.candidates(C("t"))).alias("c")).select("id", "c.*")
 
 
 @R.add()

@@ -10,6 +10,7 @@ from zonarium.functions import text as t
 from zonarium.operators import retrieval as r
 from zonarium.operators.lookups import top_k
 from zonarium.operators.windows import segments
+from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
 from zonarium.sources.literals import STOPWORDS, SYNONYMS, TOPICS, relation
 
@@ -56,6 +57,7 @@ def bm25_benchmark_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = [(1, "altura maxima en mi parcela"), (2, "retranqueo y ocupacion"), (3, "puedo hacer una piscina"), (4, "texto sin nada"), (5, "Cambio de uso de un local")]
+_ASKED_AT = Cases(_ASKED, ("qid", "question"), source="documents", key="doc_id", whole=("question",))
 
 
 def _expand_sql() -> str:
@@ -64,10 +66,9 @@ def _expand_sql() -> str:
         every = [key, *others]
         test = " OR ".join(f"contains(f, strip_accents(lower('{w}')))" for w in every)
         groups.append(f"CASE WHEN {test} THEN [{', '.join(repr(w) for w in every)}] ELSE []::VARCHAR[] END")
-    rows = ", ".join(f"({i}, '{q}')" for i, q in _ASKED)
     # keeps the first of equal terms in order
     return f"""
-    WITH q AS (SELECT qid, question, strip_accents(lower(question)) AS f FROM (VALUES {rows}) v(qid, question)),
+    WITH {_ASKED_AT.sql('asked_')}, q AS (SELECT *, strip_accents(lower(question)) AS f FROM asked_),
     l AS (SELECT qid, flatten([[question], {", ".join(groups)}]) AS terms FROM q),
     p AS (SELECT qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS ord FROM l),
     o AS (SELECT qid, term, min(ord) AS ord FROM p GROUP BY qid, term)
@@ -76,7 +77,7 @@ def _expand_sql() -> str:
 
 @R.add(_expand_sql())
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, _ASKED, ("qid", "question")).select("qid", t.expanded(F.col("question")).alias("expanded"))
+    return _ASKED_AT.frame(spark, sf_dir).select("qid", t.expanded(F.col("question")).alias("expanded"))
 
 
 _TOPIC = "altura"
@@ -93,19 +94,20 @@ def keyword_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = sum((F.contains(body, F.lit(w)).cast("int") for w in ["en", "thly", "eaux"]), F.contains(body, F.lit("ha")).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits")).where("hits > 1").withColumn("boost", F.col("hits") * F.lit(1.5).cast("decimal(2,1)"))
 
+_TOPIC_ROWS = [(1, "que altura tengo", "La altura de cornisa y el numero de plantas"), (2, "una piscina", "Ocupación de instalaciones auxiliares"), (3, "nada", "altura"), (4, "cambio de uso y altura", "habitabilidad de la vivienda")]
+_TOPIC_AT = Cases(_TOPIC_ROWS, ("qid", "question", "body"), source="documents", key="doc_id", whole=("body",))
+
 
 def _topic_sql() -> str:
     arms = " ".join(f"WHEN contains(lower(question), '{k}') THEN " + " + ".join(f"contains(f, strip_accents(lower('{w}')))::INT" for w in words) for k, words in TOPICS.items())
-    rows = ", ".join(f"({i}, '{q}', '{x}')" for i, q, x in _TOPIC_ROWS)
-    return f"SELECT qid, CASE {arms} ELSE 0 END AS hits FROM (SELECT *, strip_accents(lower(body)) AS f FROM (VALUES {rows}) v(qid, question, body))"
+    return f"WITH {_TOPIC_AT.sql('rows_')} SELECT qid, CASE {arms} ELSE 0 END AS hits FROM (SELECT *, strip_accents(lower(body)) AS f FROM rows_)"
 
 
-_TOPIC_ROWS = [(1, "que altura tengo", "La altura de cornisa y el numero de plantas"), (2, "una piscina", "Ocupación de instalaciones auxiliares"), (3, "nada", "altura"), (4, "cambio de uso y altura", "habitabilidad de la vivienda")]
 
 
 @R.add(_topic_sql())
 def topic_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, _TOPIC_ROWS, ("qid", "question", "body")).select("qid", t.topic_hits(F.col("question"), F.col("body")).alias("hits"))
+    return _TOPIC_AT.frame(spark, sf_dir).select("qid", t.topic_hits(F.col("question"), F.col("body")).alias("hits"))
 
 
 _PAIR = "sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -269,18 +271,18 @@ def ocr_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTION_ROWS = [
-    (1, "Altura maxima: 12,5 m; altura 9 m y ocupacion maxima del 40 %", "10.000,5", "pp 3-b", "U1.2", "012345678905", "¿Qué altura tiene?"),
-    (2, "La edificabilidad es de 0,7 m2/m2. Ocupación: 35,5%", "1.000", "PE12", "NR", "12345", "hola buenas"),
+    (1, "Altura maxima: {a},5 m; altura {c} m y ocupacion maxima del {b} %", "1{a}.000,5", "pp 3-b", "U1.2", "012345678905", "¿Qué altura tiene?"),
+    (2, "La edificabilidad es de 0,{c} m2/m2. Ocupación: {b},5%", "{c}.0{b}", "PE12", "NR", "12345", "hola buenas"),
     (3, "sin datos", "1,5", "xx 1", "RZ-3", "1234567ABCDEFG", "cambio de uso del local"),
     (4, "Edificabilidade 1.2 m2/m2 y edificabilidad 0.9 m2/m2", "abc", "api.7", "zona", "999999999999", "y ese edificio"),
 ]
 _FUNCTION_COLUMNS = ("id", "body", "num", "area", "sub", "code", "question")
+_FUNCTION_AT = Cases(_FUNCTION_ROWS, _FUNCTION_COLUMNS, source="documents", key="doc_id", whole=("body",))
 
 
 def _functions_sql() -> str:
-    rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v + "'" for v in r_) + ")" for r_ in _FUNCTION_ROWS)
     return f"""
-    WITH v AS (SELECT *, strip_accents(lower(body)) AS f, strip_accents(lower(question)) AS q, upper(trim(area)) AS a FROM (VALUES {rows}) v({', '.join(_FUNCTION_COLUMNS)})),
+    WITH {_FUNCTION_AT.sql('rows_')}, v AS (SELECT *, strip_accents(lower(body)) AS f, strip_accents(lower(question)) AS q, upper(trim(area)) AS a FROM rows_),
     x AS (SELECT *, regexp_extract(a, '^(PP|PE|UA|SUD|API|AR)[ .-]*([0-9]+)[ .-]*([A-Z]?)$', 1) AS k1, regexp_extract(a, '^(PP|PE|UA|SUD|API|AR)[ .-]*([0-9]+)[ .-]*([A-Z]?)$', 2) AS k2, regexp_extract(a, '^(PP|PE|UA|SUD|API|AR)[ .-]*([0-9]+)[ .-]*([A-Z]?)$', 3) AS k3 FROM v)
     SELECT id,
       list_max([try_cast(replace(h, ',', '.') AS DOUBLE) for h in regexp_extract_all(f, 'altura (?:maxima |total )?(?:de |: ?)?([0-9]+(?:[.,][0-9]+)?) ?m\\b', 1)]) AS height,
@@ -298,9 +300,9 @@ def _functions_sql() -> str:
 
 @R.add(_functions_sql())
 def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters, numbers, codes and intents from literal texts."""
+    """Parameters, numbers, codes and intents from phrases in front of whole documents."""
     c = F.col
-    return relation(spark, _FUNCTION_ROWS, _FUNCTION_COLUMNS).select(
+    return _FUNCTION_AT.frame(spark, sf_dir).select(
         "id", t.extracted_height(c("body")).alias("height"), t.extracted_occupancy(c("body")).alias("occupancy"), t.extracted_ratio(c("body")).alias("ratio"), t.spanish_number(c("num")).alias("num"), t.area_code(c("area")).alias("area"),
         t.is_subzone_code(c("sub")).alias("is_sub"), t.is_barcode(c("code")).alias("is_barcode"), t.is_cadastral_reference(c("code")).alias("is_reference"), t.intent(c("question")).alias("intent"), t.refers_back(c("question")).alias("refers"),
     )

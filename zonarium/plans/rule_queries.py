@@ -10,6 +10,7 @@ from zonarium.functions import geometry as g
 from zonarium.functions import rules, sun
 from zonarium.functions import text as t
 from zonarium.operators import lookups, quality, spatial
+from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
 from zonarium.sources import literals as L
 from zonarium.sources.literals import relation, values_sql
@@ -51,7 +52,8 @@ def plan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", "municipio", "subzona", C("rule.subzona").alias("rule_subzona"), "rule.altura_maxima_m", "rule.retranqueo_min_m")
 
 
-_DIRTY = values_sql("d", L.PLANS_DIRTY, L.DIRTY_COLUMNS)
+_DIRTY_AT = Cases(L.PLANS_DIRTY, L.DIRTY_COLUMNS, source="part", key="p_partkey", vary={"altura": 0.5, "ocupacion": 0.1}, each=("subzona",))
+_DIRTY = _DIRTY_AT.sql("d")
 
 
 @R.add(
@@ -63,7 +65,7 @@ _DIRTY = values_sql("d", L.PLANS_DIRTY, L.DIRTY_COLUMNS)
     SELECT "row", array_to_string(errors, ',') AS errors, duplicate FROM e"""
 )
 def plan_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = relation(spark, L.PLANS_DIRTY, L.DIRTY_COLUMNS)
+    d = _DIRTY_AT.frame(spark, sf_dir)
     errors = quality.plan_errors(C("municipio"), C("altura"), C("retranqueo"), C("ocupacion"), C("front_direction"), [C("setback_front"), C("setback_side")])
     marked = quality.duplicated(d.withColumn("errors", errors), [F.lower(F.trim("municipio")), F.lower(F.trim("subzona"))], "row")
     return marked.select("row", F.array_join("errors", ",").alias("errors"), "duplicate")
@@ -267,16 +269,17 @@ _COST_ROWS = [
     (1, 100.0, 400.0, 5000.0, 300.0, 120000.0, 900.0), (2, 50.0, 800.0, 4500.0, 800.0, 120000.0, 600.0), (3, None, 400.0, 5000.0, None, 9000.0, None), (4, 80.0, None, None, None, 1.0, 10.0), (5, 0.0, 10.0, None, 100.0, None, 0.0),
 ]
 _COST_COLUMNS = ("id", "area", "per_m2", "fixed", "fees", "sale", "rent")
+_COST_AT = Cases(_COST_ROWS, _COST_COLUMNS, vary={"area": 12.5, "fees": 100.0})
 
 
 @R.add(
-    f"""WITH {values_sql("c", _COST_ROWS, _COST_COLUMNS)}, w AS (SELECT *, round(area * per_m2, 2) AS obra FROM c),
+    f"""WITH {_COST_AT.sql("c")}, w AS (SELECT *, round(area * per_m2, 2) AS obra FROM c),
     t AS (SELECT *, CASE WHEN obra IS NULL AND fixed IS NULL AND fees IS NULL THEN NULL ELSE round(coalesce(obra, 0) + coalesce(fixed, 0) + coalesce(fees, 0), 2) END AS inversion FROM w)
     SELECT id, obra, inversion, CASE WHEN area > 0 THEN round(inversion / area, 2) END AS por_m2, round(sale - inversion, 2) AS beneficio, CASE WHEN inversion > 0 THEN round((sale - inversion) / inversion * 100, 2) END AS roi_pct,
       CASE WHEN rent > 0 THEN round(inversion / rent, 1) END AS payback_meses, CASE WHEN rent > 0 AND inversion > 0 THEN round(rent * 12 / inversion * 100, 2) END AS rentabilidad_pct FROM t"""
 )
 def conversion_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = relation(spark, _COST_ROWS, _COST_COLUMNS)
+    c = _COST_AT.frame(spark, sf_dir)
     return c.select("id", *(v.alias(k) for k, v in rules.conversion_costs(C("area"), C("per_m2"), C("fixed"), C("fees"), C("sale"), C("rent")).items()))
 
 
@@ -454,14 +457,15 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RINGS = [(1, 0.0, 10.0, 0.0, 8.0), (2, 0.0, 30.0, 0.0, 12.0), (3, 5.0, 9.5, 2.0, 4.0)]
+_RINGS_AT = Cases(_RINGS, ("id", "xmin", "xmax", "ymin", "ymax"), source="supplier", key="s_suppkey", vary={"xmax": 1.5, "ymax": 0.25})
 
 
 @R.add(
-    f"""WITH {values_sql("b", _RINGS, ("id", "xmin", "xmax", "ymin", "ymax"))} SELECT id, round((xmax - xmin) * (ymax - ymin), 4) AS area, round(2 * (xmax - xmin + ymax - ymin), 4) AS perimeter, xmin, xmax, ymin, ymax,
+    f"""WITH {_RINGS_AT.sql("b")} SELECT id, round((xmax - xmin) * (ymax - ymin), 4) AS area, round(2 * (xmax - xmin + ymax - ymin), 4) AS perimeter, xmin, xmax, ymin, ymax,
     (6 > xmin AND 6 < xmax AND 3 > ymin AND 3 < ymax) AS inside, round(sqrt(pow(greatest(xmin - 40, 0, 40 - xmax), 2)), 4) AS gap FROM b"""
 )
 def geometry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = relation(spark, _RINGS, ("id", "xmin", "xmax", "ymin", "ymax")).withColumn("ring", g.rectangle(C("xmin"), C("xmax"), C("ymin"), C("ymax")))
+    b = _RINGS_AT.frame(spark, sf_dir).withColumn("ring", g.rectangle(C("xmin"), C("xmax"), C("ymin"), C("ymax")))
     box = g.bounds(C("ring"))
     gap = g.point_segment_distance(F.lit(40.0), C("ymin"), C("xmax"), C("ymin"), C("xmax"), C("ymax"))
     return b.select("id", F.round(g.area(C("ring")), 4).alias("area"), F.round(g.length(C("ring")), 4).alias("perimeter"), box["xmin"].alias("xmin"), box["xmax"].alias("xmax"), box["ymin"].alias("ymin"), box["ymax"].alias("ymax"), g.contains(C("ring"), F.lit(6.0), F.lit(3.0)).alias("inside"), F.round(gap, 4).alias("gap"))
@@ -471,15 +475,16 @@ def geometry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cityjson_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonarium.sources.sinks import cityjson
 
-    b = relation(spark, _RINGS, ("id", "xmin", "xmax", "ymin", "ymax")).withColumn("ring", g.rectangle(C("xmin"), C("xmax"), C("ymin"), C("ymax"))).withColumn("height", F.lit(9.0))
+    b = _RINGS_AT.frame(spark, sf_dir).withColumn("ring", g.rectangle(C("xmin"), C("xmax"), C("ymin"), C("ymax"))).withColumn("height", F.lit(9.0))
     return cityjson(b, "id", "ring", "height")
 
 
-_DATES = [(1, "03/07/2008"), (2, "3-7-98"), (3, "31/02/2020"), (4, "x"), (5, "12.05.1993")]
+_DATES = [(1, "0{c}/07/20{b}"), (2, "{c}-{a}-{b}"), (3, "31/02/2020"), (4, "x"), (5, "12.05.1993")]
+_DATES_AT = Cases(_DATES, ("id", "d"))
 
 
 @R.add(
-    f"""WITH {values_sql("s", _DATES, ("id", "d"))}, p AS (SELECT id, regexp_extract(d, '([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{2,4}})', 1) AS dd, regexp_extract(d, '([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{2,4}})', 2) AS mm, regexp_extract(d, '([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{2,4}})', 3) AS yy FROM s)
+    f"""WITH {_DATES_AT.sql("s")}, p AS (SELECT id, regexp_extract(d, '([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{2,4}})', 1) AS dd, regexp_extract(d, '([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{2,4}})', 2) AS mm, regexp_extract(d, '([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{2,4}})', 3) AS yy FROM s)
     SELECT id, CAST(try_cast(lpad(CASE WHEN length(yy) = 2 THEN '19' || yy ELSE yy END, 4, '0') || '-' || lpad(mm, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) AS VARCHAR) AS iso,
     dayofyear(try_cast(lpad(CASE WHEN length(yy) = 2 THEN '19' || yy ELSE yy END, 4, '0') || '-' || lpad(mm, 2, '0') || '-' || lpad(dd, 2, '0') AS DATE)) AS doy FROM p"""
 )
@@ -487,6 +492,6 @@ def spanish_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda k: F.regexp_extract("d", r"([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4})", k)
     year = F.when(F.length(part(3)) == 2, F.concat(F.lit("19"), part(3))).otherwise(part(3))
     day = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")).try_cast("date")
-    return relation(spark, _DATES, ("id", "d")).select("id", day.cast("string").alias("iso"), F.dayofyear(day).cast("long").alias("doy"))
+    return _DATES_AT.frame(spark, sf_dir).select("id", day.cast("string").alias("iso"), F.dayofyear(day).cast("long").alias("doy"))
 
 
