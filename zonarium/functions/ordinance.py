@@ -303,7 +303,10 @@ def block_parameters(text: Column) -> Column:
 
     A parapet's or a wall's height is not a building's: a bounded look-behind keeps those out.
     """
-    clean = without_printed_lines(text)
+    return let(without_printed_lines(text), _parameters_of_block)
+
+
+def _parameters_of_block(clean: Column) -> Column:
     found = []
     for name, patterns in BLOCK_PARAMETERS.items():
         guard = rf"(?=altura|planta)(?<!{NOT_BUILDINGS})" if name == "altura_maxima_m" else ""  # looks back only where a phrase begins
