@@ -332,3 +332,27 @@ def test_long_texts_in_stretches(spark, monkeypatch):
     monkeypatch.undo()
     got = suf.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=200_000).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
+def test_a_hot_anchor_is_held_piece_by_piece():
+    """One anchor in many pieces: what is held does not grow with their number."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from zonarium.llm.simhash_dedup import _compare
+
+    def batches(pieces, rows=4_000):
+        rng = np.random.default_rng(3)
+        for piece in range(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int64)), pa.array(np.full(rows, piece, np.int32)), pa.array(rng.integers(-(2**63), 2**63, rows)), pa.array(np.arange(rows) < 5)], ["anchor", "piece", "bits", "lives"])
+
+    peaks = []
+    for pieces in (10, 80):
+        tracemalloc.start()
+        for _ in _compare(4)(batches(pieces)):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]

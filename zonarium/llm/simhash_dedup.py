@@ -190,12 +190,14 @@ def linked(fingerprints_: DataFrame, threshold: int, cover: Cover = COARSE, hot_
         hot = F.broadcast(hot)
     cuts = F.coalesce("cuts", F.lit(1))
     home, guest = F.pmod(F.xxhash64("bits"), cuts), F.pmod(F.xxhash64("bits", F.lit(1)), cuts)  # the share of residents and of visitors one is in
+    # piece (i, j) of an anchor holds the residents of share i and the visitors of share j: a seat is in a row of pieces if it lives there, and in a column
+    every = F.sequence(F.lit(0), cuts - 1)
+    row = F.when(F.col("lives"), F.transform(every, lambda j: (home * cuts + j).cast("int"))).otherwise(F.array().cast("array<int>"))
+    column = F.transform(every, lambda i: (i * cuts + guest).cast("int"))
     seats = (
         seats.join(hot, "anchor", "left")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), cuts * cuts - 1)))
-        .withColumn("lives", F.col("lives") & (home == F.floor(F.col("piece") / cuts)))
-        .where(F.col("lives") | (guest == F.col("piece") % cuts))
-        .select("anchor", "piece", "bits", "lives")
+        .withColumn("piece", F.explode(F.array_distinct(F.concat(row, column))))
+        .select("anchor", "piece", "bits", (F.col("lives") & (home == F.floor(F.col("piece") / cuts))).alias("lives"))
     )
     return seats.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_compare(threshold), "a long, b long")
 
@@ -266,9 +268,13 @@ def _compare(threshold: int):
 
         for batch in batches:
             held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-            if np.any(held[-1][0][1:] != held[-1][0][:-1]) or (len(held) > 1 and held[-1][0][0] != held[0][0][0]):
+            first, last = held[0], held[-1]
+            if not len(last[0]):
+                held.pop()
+                continue
+            if (first[0][0], first[1][0]) != (last[0][-1], last[1][-1]):
                 anchor, piece, bits, lives = (np.concatenate(x) for x in zip(*held, strict=True))
-                at = int(np.flatnonzero(np.diff(anchor))[-1]) + 1  # up to here all anchors are whole
+                at = int(np.flatnonzero((np.diff(anchor) != 0) | (np.diff(piece) != 0))[-1]) + 1  # up to here all pieces are whole
                 yield links(anchor[:at], piece[:at], bits[:at], lives[:at])
                 held = [[anchor[at:], piece[at:], bits[at:], lives[at:]]]
         if held:
