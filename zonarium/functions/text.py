@@ -63,9 +63,9 @@ def formatted(c: Column) -> Column:
     return F.replace(F.regexp_replace(F.format_string("%.2f", c.cast("double")), r"\.?0+$", ""), F.lit("."), F.lit(","))
 
 
-def snippet(text: Column, term: str, width: int = 320) -> Column:
-    """Text around the first hit of a term, with ellipses where it is cut."""
-    at = F.locate(term, F.lower(text))
+def snippet(text: Column, term: str | Column, width: int = 320) -> Column:
+    """Text around the first hit of a term, with ellipses where it is cut; without a hit its beginning."""
+    at = F.coalesce(F.position(term if isinstance(term, Column) else F.lit(term), F.lower(text)), F.lit(0))
     start = F.when(at == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), at - F.lit(width // 2)))
     body = F.substring(text, start, F.lit(width))
     return F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + width - 1 < F.length(text), "…").otherwise(""))

@@ -50,22 +50,24 @@ def longest_prefix(keys: DataFrame, codes: DataFrame, key: str, code: str) -> Da
 def range_join(values: DataFrame, ranges: DataFrame, value: str, low: str, high: str, bucket: float) -> DataFrame:
     """Each value with the ranges low <= value < high (null ends are open), by equality on buckets.
 
-    A bounded range is filed under the buckets it touches, on the finest of a few levels (each ``FILED`` times as coarse as the last)
-    where those are at most ``FILED`` and one; a value looks in its bucket of every level in use.  Open ends join on their own.
+    A range is filed under the buckets it touches, on the finest of a few levels (each ``FILED`` times as coarse as the last)
+    where those are at most ``FILED`` and one; a value looks in its bucket of every level in use.  An open end reaches to the least or
+    greatest value there is.
     """
-    bounded = ranges.where(F.col(low).isNotNull() & F.col(high).isNotNull())
-    width = (F.col(high) - F.col(low)) / bucket
+    ends = ranges.agg(F.count_if(F.col(low).isNull() | F.col(high).isNull())).first()[0]
+    least, greatest = values.agg(F.min(value), F.max(value)).first() if ends else (None, None)
+    begin = F.coalesce(F.col(low), F.least(F.lit(least).cast("double"), F.col(high))).cast("double")
+    end = F.coalesce(F.col(high), F.greatest(F.lit(greatest).cast("double"), F.col(low)) + bucket).cast("double")
+    filed = ranges.withColumn("_from", begin).withColumn("_to", end).where("_from is not null and _to is not null")
+    width = (F.col("_to") - F.col("_from")) / bucket
     level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(width, F.lit(1.0))) / math.log(FILED) - 1)).cast("int")
     at = lambda x: F.floor(x / (F.lit(float(bucket)) * F.pow(F.lit(float(FILED)), F.col("_l"))))
-    bounded = bounded.withColumn("_l", level)
-    levels = sorted(r["_l"] for r in bounded.select("_l").distinct().collect())
+    filed = filed.withColumn("_l", level)
+    levels = sorted(r["_l"] for r in filed.select("_l").distinct().collect())
     v = values.withColumn("_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_b", at(F.col(value)))
-    bounded = bounded.withColumn("_b", F.explode(F.sequence(at(F.col(low)), at(F.col(high)))))
-    inner = v.join(small(bounded), ["_l", "_b"]).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b", "_l")
-    ends = ranges.where(F.col(low).isNull() | F.col(high).isNull())
+    filed = filed.withColumn("_b", F.explode(F.sequence(at(F.col("_from")), at(F.col("_to")))))
     fits = (F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) < F.col(high)))
-    outer = values.join(small(ends), fits)
-    return inner.unionByName(outer)
+    return v.join(small(filed), ["_l", "_b"]).where(fits).drop("_b", "_l", "_from", "_to")
 
 
 def nearest_key(left: DataFrame, right: DataFrame, by: str, at: str, other: str, most: int) -> DataFrame:

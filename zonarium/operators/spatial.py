@@ -9,16 +9,25 @@ from zonarium.functions import geometry as g
 from zonarium.operators.lookups import small
 
 
+#: A zone is filed under the cells of a level where it is at most so many cells wide and high.
+CELLS = 4
+
+
 def cell_join(points: DataFrame, zones: DataFrame, size: float, x: str = "x", y: str = "y", ring: str | None = None) -> DataFrame:
     """Points with the zones that contain them (boundary by half-open boxes, or by the ring if there is one).
 
-    A zone is filed under every cell its box touches and a point under its one cell, so candidates
-    meet by equality; the exact test follows.
+    A zone is filed under the cells its box touches, on the finest of some levels (each of twice the cells' size) where they
+    are at most ``CELLS`` and one a side, and a point under its one cell of every level in use, so candidates meet by
+    equality and no zone is many rows; the exact test follows.  For crowded points or many corners see ``spatial_index``.
     """
-    p = points.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
-    z = zones.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("xmin") / size), F.floor(F.col("xmax") / size)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("ymin") / size), F.floor(F.col("ymax") / size))))
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / (size * CELLS)
+    filed = zones.withColumn("_l", F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))).cast("int")).where("_l is not null")
+    levels = sorted(r["_l"] for r in filed.select("_l").distinct().collect())
+    at = lambda v: F.floor(v / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_l"))))
+    p = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_cx", at(F.col(x))).withColumn("_cy", at(F.col(y)))
+    z = filed.withColumn("_cx", F.explode(F.sequence(at(F.col("xmin")), at(F.col("xmax"))))).withColumn("_cy", F.explode(F.sequence(at(F.col("ymin")), at(F.col("ymax")))))
     inside = g.contains(F.col(ring), F.col(x), F.col(y)) if ring else (F.col(x) >= F.col("xmin")) & (F.col(x) < F.col("xmax")) & (F.col(y) >= F.col("ymin")) & (F.col(y) < F.col("ymax"))
-    return p.join(small(z), ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    return p.join(small(z), ["_l", "_cx", "_cy"]).where(inside).drop("_l", "_cx", "_cy")
 
 
 def within_radius(points: DataFrame, others: DataFrame, radius: float, x: str = "x", y: str = "y", ox: str = "ox", oy: str = "oy") -> DataFrame:
