@@ -147,3 +147,30 @@ def test_shape_of_written_city(spark, tmp_path):
     write(bodies(spark, ["a"]), tmp_path / "c", "cityjson")
     shell = json.loads((tmp_path / "c" / "a.cityjson").read_text())["CityObjects"]["a"]["geometry"][0]["boundaries"][0]
     assert len(shell) == 10 and len(shell[0]) == len(shell[1]) == 2
+
+
+def test_first_good_mirror_wins_and_a_failed_box_grows(spark, tmp_path):
+    from zonarium.sources.mirrors import raced_extracts
+
+    answer = {"elements": [{"id": 7, "type": "way", "tags": {"height": "9"}, "geometry": [{"lon": 1.0, "lat": 2.0}]}]}
+    (tmp_path / "good-10.0.json").write_text(json.dumps(answer))
+    (tmp_path / "grown-20.0.json").write_text(json.dumps(answer))
+    (tmp_path / "bad-10.0.json").write_text("no json")
+    mirrors = [f"file://{tmp_path}/{{north}}-nothing.json", f"file://{tmp_path}/bad-{{north}}.json", f"file://{tmp_path}/good-{{north}}.json"]
+    places = spark.createDataFrame([(1, 0.0, 0.0, 10.0)], "id int, lon double, lat double, reach double")
+    one = raced_extracts(places, "id", mirrors, factors=(1.0, 2.0)).first()
+    assert one.mirror.endswith("good-10.0.json") and one.factor == 1.0 and one.elements[0].id == 7 and one.elements[0].tags == {"height": "9"}
+    grown = raced_extracts(places, "id", [f"file://{tmp_path}/grown-{{north}}.json"], factors=(1.0, 2.0)).first()
+    assert grown.factor == 2.0 and grown.error is None and len(grown.elements) == 1
+    none = raced_extracts(places, "id", mirrors[:2], factors=(1.0, 2.0)).first()
+    assert none.mirror is None and none.elements is None and none.error
+
+
+def test_page_records_are_added(spark, tmp_path):
+    from zonarium.sources.sinks import page_records, write_page_records
+
+    pages = spark.createDataFrame([("vigo", "a.pdf", 1, " uno "), ("vigo", "a.pdf", 2, None)], "m string, f string, n int, t string")
+    for _ in range(2):
+        write_page_records(page_records(pages, "m", "f", "n", "t"), f"file://{tmp_path}/r")
+    back = spark.read.json(f"file://{tmp_path}/r")
+    assert back.count() == 4 and {r.text for r in back.collect()} == {"uno", ""} and back.select("file_md5").distinct().count() == 1

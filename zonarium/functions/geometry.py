@@ -132,3 +132,11 @@ def minimap(ring: Column, box: Column, width: float, height: float) -> Column:
     """The ring fitted into a canvas of the given size (y down)."""
     scale = F.least(F.try_divide(F.lit(width), box["xmax"] - box["xmin"]), F.try_divide(F.lit(height), box["ymax"] - box["ymin"]))
     return F.transform(ring, lambda p: F.struct(((p["x"] - box["xmin"]) * scale).alias("x"), (height - (p["y"] - box["ymin"]) * scale).alias("y")))
+
+
+def least_gap(inner: Column, outer: Column) -> Column:
+    """Least distance between the lines of two closed rings, by the corners of each and the edges of the other; for rings that do not cross."""
+    def to_edges(corners: Column, ring: Column) -> Column:
+        return F.array_min(F.flatten(F.transform(corners, lambda p: F.transform(_edges(ring), lambda e: point_segment_distance(p["x"], p["y"], e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))))
+
+    return F.least(to_edges(inner, outer), to_edges(outer, inner))

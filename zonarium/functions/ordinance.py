@@ -471,6 +471,21 @@ def table_limits(rows: Column) -> dict[str, Column]:
     }
 
 
+# Words one of which a table's first two rows must have for it to be read.
+HEADER_HINTS = (
+    "altura", "cornisa", "límite", "limite", "fachada", "edificación", "edificacion", "retranqueo", "alineación", "alineacion", "separación", "separacion", "frontal", "lateral", "posterior", "fondo",
+    "ocupación", "ocupacion", "edificabilidad", "aprovechamiento",
+)
+
+
+def hinted_limits(rows: Column) -> Column:
+    """The limits of a table whose first two rows have a cell with a hint, as a struct; null for other tables and where no limit is found."""
+    hinted = F.exists(F.slice(rows, 1, 2), lambda r: F.exists(r, lambda c: F.lower(c).rlike("|".join(HEADER_HINTS))))
+    limits = table_limits(rows)
+    found = reduce(lambda a, b: a | b, (v.isNotNull() for v in limits.values()))
+    return F.when(F.coalesce(hinted, F.lit(False)) & found, F.struct(*(v.alias(k) for k, v in limits.items())))
+
+
 SUMMARY = (("altura_maxima_m", "Altura máxima (m)"), ("retranqueo_min_m", "Retanqueo mínimo (m)"), ("setback_front_m", "Frente (m)"), ("setback_side_m", "Laterales (m)"), ("setback_back_m", "Fondo (m)"), ("ocupacion_max", "Ocupación máx."), ("edificabilidad_max_m2_m2", "Edificabilidad (m2/m2)"))
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonarium.functions import geometry as g
 from zonarium.functions import ordinance as o
 from zonarium.functions import text as t
 from zonarium.operators import corpus
 from zonarium.plans import retrieval_queries as q
 from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
+from zonarium.sources.sinks import page_records
 
 R = Registry()
 C = F.col
@@ -165,3 +167,46 @@ def fallback_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = {"altura_maxima_m": F.when(C("id") % 3 == 0, 9.0), "retranqueo_min_m": F.lit(None).cast("double")}
     said = o.question_fields(C("t"))
     return _CODED_AT.frame(spark, sf_dir).select("id", o.fallback_summary(F.lit("Vigo"), F.when(C("id") % 2 == 0, "U7"), plan, said).alias("summary"))
+
+
+@R.add(
+    """WITH w AS (SELECT conv_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, ''))) AS file_md5 FROM conversations GROUP BY conv_id)
+    SELECT 'page_text' AS kind, role AS municipio, conv_id AS fuente, file_md5, turn AS page_number, md5(trim(text, ' ')) AS digest FROM conversations JOIN w USING (conv_id)"""
+)
+def page_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as scanned documents: a record for each page with the checksum of the whole."""
+    r = page_records(table(spark, sf_dir, "conversations"), "role", "conv_id", "turn", "text")
+    return r.select("kind", "municipio", "fuente", "file_md5", "page_number", F.md5("text").alias("digest"))
+
+
+@R.add(
+    """WITH x AS (SELECT p_partkey AS k, 20.0::DOUBLE + p_size AS w, 15.0::DOUBLE + p_partkey % 12 AS h, 1.0::DOUBLE + (p_partkey % 5) * 0.75::DOUBLE AS l, 2.0::DOUBLE + (p_partkey % 3) * 0.5::DOUBLE AS b, 1.5::DOUBLE + (p_partkey % 7) * 0.25::DOUBLE AS r, 2.25::DOUBLE AS t, CASE WHEN p_partkey % 6 > 0 THEN (p_partkey % 4)::DOUBLE END AS need FROM part)
+    SELECT k AS p_partkey, round(least(l, b, r, t), 2) AS measured, CASE WHEN need IS NULL THEN 'no_verificable' WHEN round(least(l, b, r, t), 2) >= need - 0.01::DOUBLE THEN 'cumple' ELSE 'no_cumple' END AS retranqueo FROM x"""
+)
+def measured_setback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as parcels with a building: the least gap between their outlines, judged with a tolerance of a centimetre."""
+    k = C("p_partkey")
+    w, h, left, bottom, right = 20.0 + C("p_size"), 15.0 + k % 12, 1.0 + (k % 5) * 0.75, 2.0 + (k % 3) * 0.5, 1.5 + (k % 7) * 0.25
+    gap = g.least_gap(g.rectangle(left, w - right, bottom, h - 2.25), g.rectangle(F.lit(0.0), w, F.lit(0.0), h))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.round(gap, 2).alias("measured"), F.when(k % 6 > 0, (k % 4).cast("double")).alias("need"))
+    verdict = F.when(C("need").isNull(), "no_verificable").when(C("measured") >= C("need") - 0.01, "cumple").otherwise("no_cumple")
+    return p.select("p_partkey", "measured", verdict.alias("retranqueo"))
+
+
+@R.add(
+    """WITH x AS (SELECT p_partkey AS k, p_size::DOUBLE AS s, p_partkey % 4 AS kind FROM part)
+    SELECT k AS p_partkey, CASE WHEN kind = 0 THEN CASE WHEN s > 0 AND s <= 60 THEN s END WHEN kind = 1 THEN NULL END AS altura, CASE WHEN kind = 2 AND s <= 15 THEN s END AS retranqueo, CASE WHEN kind = 3 THEN CASE WHEN s <= 1 THEN s ELSE s / 100 END END AS ocupacion FROM x
+    WHERE (kind = 0 AND s > 0 AND s <= 60) OR (kind = 2 AND s <= 15) OR (kind = 3 AND s <= 100)"""
+)
+def hinted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tables of cells: read only if one of the first two rows says what a table of limits says."""
+    k, s = C("p_partkey"), C("p_size").cast("string")
+    line = lambda *cells: F.array(*(c if not isinstance(c, str) else F.lit(c) for c in cells))
+    tables = (
+        F.when(k % 4 == 0, F.array(line("Parámetro", "Valor"), line("Altura de cornisa", F.concat(s, F.lit(" m")), "900")))
+        .when(k % 4 == 1, F.array(line("Nombre", "Cifra"), line("otra", "cosa"), line("Altura", s)))
+        .when(k % 4 == 2, F.array(line("Concepto", "Separación"), line("Separación a linderos", s)))
+        .otherwise(F.array(line("Ocupación", F.concat(s, F.lit(" %")))))
+    )
+    found = table(spark, sf_dir, "part").select("p_partkey", o.hinted_limits(tables).alias("l")).where("l is not null")
+    return found.select("p_partkey", C("l.altura_maxima_m").alias("altura"), C("l.retranqueo_min_m").alias("retranqueo"), C("l.ocupacion_max").alias("ocupacion"))

@@ -31,6 +31,19 @@ def write_dataset_csv(rows: DataFrame, path: str) -> None:
     rows.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
+def page_records(pages: DataFrame, place: str, source: str, page: str, text: str) -> DataFrame:
+    """Page texts as records of one kind: place, source, the md5 of the source's whole text (pages in order, one line break between them), page number, trimmed text, time."""
+    whole = pages.groupBy(source).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, F.coalesce(text, F.lit("")).alias("t")))), lambda p: p["t"]), "\n")).alias("file_md5"))
+    return pages.join(whole, source).select(
+        F.lit("page_text").alias("kind"), F.col(place).alias("municipio"), F.col(source).alias("fuente"), "file_md5", F.col(page).alias("page_number"), F.trim(F.coalesce(text, F.lit(""))).alias("text"), F.unix_timestamp().alias("created_at")
+    )
+
+
+def write_page_records(records: DataFrame, path: str) -> None:
+    """Page records as JSON lines, added to what is there."""
+    records.write.mode("append").json(path)
+
+
 def slim_feature(properties: list[str], ring: str, digits: int = 6) -> Column:
     """A GeoJSON feature with kept properties and rounded coordinates, as JSON."""
     points = F.transform(ring, lambda p: F.array(F.round(p["x"], digits), F.round(p["y"], digits)))
