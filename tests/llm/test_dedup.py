@@ -302,6 +302,28 @@ def test_variants_of_one_base_are_verified_before_thinning(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in nc.one_of_each(docs).collect()) == want
 
 
+def test_more_texts_in_a_group_change_no_other_verdict(spark, monkeypatch):
+    """A pair without a common band is no pair in a small group either, so a group that outgrows a block keeps its verdicts."""
+    words = [f"w{x}" for x in range(120)]
+    sets = [np.arange(100, dtype=np.int64), np.arange(2, 102, dtype=np.int64), np.arange(1, 101, dtype=np.int64)]
+    apart = np.arange(3 * nc.BANDS, dtype=np.int64).reshape(3, -1)
+    alone, tree = np.zeros(3, int), np.arange(3)
+    assert nc.verified_links(sets, apart, alone, tree) == []
+    shared = apart.copy()
+    shared[2, 5] = shared[0, 5]
+    assert nc.verified_links(sets, shared, alone, tree) == [(0, 2)]
+    rng = np.random.default_rng(21)
+    texts = [" ".join(w if rng.random() > 0.02 else f"e{rng.integers(10**6)}" for w in words) for _ in range(60)]
+    stay = {}
+    for n in (30, 60):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        for block in (400, 8):
+            monkeypatch.setattr(nc, "BLOCK", block)
+            stay[n, block] = sorted(r["doc_id"] for r in nc.one_of_each(docs).collect())
+        assert stay[n, 400] == stay[n, 8]
+    assert set(stay[60, 8]) & set(range(30)) <= set(stay[30, 400])
+
+
 def test_blocks_added_at_the_threshold_are_found():
     """A block added or cut moves word fingerprints far; of pairs at 0.8 to 0.83 at most two in a thousand may be missed."""
     rng = np.random.default_rng(17)
