@@ -89,7 +89,7 @@ class PagedFeatures(DataSource):
         return SCHEMA + (f", {fields}, " + ", ".join(f"{b} double" for b in BOX) if fields else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PagedReader(self.options, schema)
+        return (PushingReader if self.options.get("fields", "").strip() else PagedReader)(self.options, schema)
 
 
 class PagedReader(DataSourceReader):
@@ -104,23 +104,6 @@ class PagedReader(DataSourceReader):
         self.most = most
         self.pages = min((x for x in (pages, -(-most // self.size) if most is not None else None) if x is not None), default=None)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Keeps what the address can say; the rest is given back.  A box is said only if all its four sides are given."""
-        sides = {("xmax", GreaterThanOrEqual): "left", ("xmin", LessThanOrEqual): "right", ("ymax", GreaterThanOrEqual): "bottom", ("ymin", LessThanOrEqual): "top"}
-        side = {id(f): sides.get((f.attribute[0], type(f))) for f in filters if hasattr(f, "attribute")}
-        given = {s: f for f in filters if (s := side.get(id(f)))}
-        boxed = "{bbox}" in self.url and bool(self.fields) and len(given) == 4
-        if boxed:
-            self.bbox = {s: float(f.value) for s, f in given.items()}
-        for f in filters:
-            if boxed and (given.get(side.get(id(f))) is f or (isinstance(f, IsNotNull) and f.attribute[0] in BOX)):
-                continue
-            said = _condition(f, set(self.fields)) if hasattr(f, "attribute") and "{where}" in self.url else None
-            if said is None:
-                yield f
-            else:
-                self.conditions.append(said)
-
     def partitions(self) -> list[Lane]:
         return [Lane(k) for k in range(self.lanes)]
 
@@ -181,6 +164,27 @@ def layer(spark: SparkSession, url: str, fields: str, **options: str) -> DataFra
     return spark.read.format("paged_features").options(url=url, fields=fields, **options).load()
 
 
+class PushingReader(PagedReader):
+    """A reader with columns of their own, whose conditions the service applies."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Keeps what the address can say; the rest is given back.  A box is said only if all its four sides are given."""
+        sides = {("xmax", GreaterThanOrEqual): "left", ("xmin", LessThanOrEqual): "right", ("ymax", GreaterThanOrEqual): "bottom", ("ymin", LessThanOrEqual): "top"}
+        side = {id(f): sides.get((f.attribute[0], type(f))) for f in filters if hasattr(f, "attribute")}
+        given = {s: f for f in filters if (s := side.get(id(f)))}
+        boxed = "{bbox}" in self.url and bool(self.fields) and len(given) == 4
+        if boxed:
+            self.bbox = {s: float(f.value) for s, f in given.items()}
+        for f in filters:
+            if boxed and (given.get(side.get(id(f))) is f or (isinstance(f, IsNotNull) and f.attribute[0] in BOX)):
+                continue
+            said = _condition(f, set(self.fields)) if hasattr(f, "attribute") and "{where}" in self.url else None
+            if said is None:
+                yield f
+            else:
+                self.conditions.append(said)
+
+
 @dataclass(frozen=True)
 class Layer:
     """One layer of a service: its address, a condition on its properties, and constants that its rows carry."""
