@@ -9,7 +9,7 @@ from zonarium.functions import text as t
 from zonarium.operators import lookups, metrics, quality, windows
 from zonarium.plans.cases import Cases
 from zonarium.plans.registry import Registry, table
-from zonarium.sources.literals import BUCKET_BOUNDS, relation
+from zonarium.sources.literals import BUCKET_BOUNDS
 
 R = Registry()
 
