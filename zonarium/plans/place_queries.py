@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from zonarium.functions import geometry as g
 from zonarium.functions import gml
 from zonarium.operators.envelope import building_envelopes as envelopes
+from zonarium.operators.lookups import small
 from zonarium.operators.spatial_index import spatial_join
 from zonarium.plans.registry import Registry, table
 from zonarium.sources import volumes
+from zonarium.sources.scratch import materialised
 
 R = Registry()
 C = F.col
@@ -76,10 +78,14 @@ def zones_with_holes_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.lit(0.1371717) * F.pow(F.lit(10.0), s % 6 - 1)
     around = lambda x, y, r: _ring((x + r, y), (x, y + r), (x - r, y), (x, y - r))
     z = table(spark, sf_dir, "supplier").select(s.alias("z"), ((s * 53 % 1000).cast("double") / 10 + 0.05).alias("cx"), ((s * 29 % 1000).cast("double") / 10 + 0.05).alias("cy"), r.alias("r"))
-    z = z.select("z", "r", (C("cx") - C("r")).alias("xmin"), (C("cx") + C("r")).alias("xmax"), (C("cy") - C("r")).alias("ymin"), (C("cy") + C("r")).alias("ymax"), F.array(around(C("cx"), C("cy"), C("r")), around(C("cx"), C("cy"), C("r") / 3)).alias("rings"))
+    # equal zones and equal points meet once, with what their copies add up to
+    z = z.groupBy("cx", "cy", "r").agg(F.count(F.lit(1)).alias("zones"), F.min("z").alias("z"), F.sum("z").alias("keys"))
+    z = z.select("z", "r", "zones", "keys", (C("cx") - C("r")).alias("xmin"), (C("cx") + C("r")).alias("xmax"), (C("cy") - C("r")).alias("ymin"), (C("cy") + C("r")).alias("ymax"), F.array(around(C("cx"), C("cy"), C("r")), around(C("cx"), C("cy"), C("r") / 3)).alias("rings"))
     p = table(spark, sf_dir, "customer").select("c_custkey", ((k * 37 % 1000).cast("double") / 10).alias("x"), ((k * 91 % 1000).cast("double") / 10).alias("y"))
-    hits = spatial_join(p.repartition("c_custkey"), z, "rings")
-    return hits.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min_by("z", F.struct("r", "z")).alias("smallest"), F.sum("z").alias("total"))
+    hits = spatial_join(p.select("x", "y").distinct(), materialised(z, "zones"), "rings")
+    found = hits.groupBy("x", "y").agg(F.sum("zones").alias("n"), F.min_by("z", F.struct("r", "z")).alias("smallest"), F.sum("keys").alias("total"))
+    found = p.join(small(materialised(found, "places")), ["x", "y"])
+    return found.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.min("smallest").alias("smallest"), F.sum("total").alias("total"))
 
 
 def _gml(lon: Column, lat: Column, n: Column) -> Column:
