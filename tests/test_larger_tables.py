@@ -37,3 +37,11 @@ def test_equal_zones_meet_equal_points_once(spark, crowded, monkeypatch):
     monkeypatch.setattr(q, "spatial_join", lambda p, z, rings: met.append((p.count(), z.count())) or join(p, z, rings))
     check(spark, crowded, "zones_with_holes_at_points", "customer", "supplier")
     assert met == [(1000, 3000)]
+
+
+def test_nearest_of_many_in_one_place(spark, crowded, monkeypatch):
+    met = []
+    within = spatial.within_radius
+    monkeypatch.setattr(spatial, "within_radius", lambda p, o, *a: met.append((p.count(), o.count())) or within(p, o, *a))
+    check(spark, crowded, "nearest_within_radius", "customer", "supplier")
+    assert met == [(1000, 3000)]

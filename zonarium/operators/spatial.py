@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonarium.functions import geometry as g
-from zonarium.operators.lookups import small
+from zonarium.operators.lookups import small, top_k
+from zonarium.sources.scratch import materialised
 
 
 #: A zone is filed under the cells of a level where it is at most so many cells wide and high.
@@ -39,6 +40,18 @@ def within_radius(points: DataFrame, others: DataFrame, radius: float, x: str =
     return p.join(small(o), ["_cx", "_cy"]).withColumn("distance", apart).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
+def nearest_within(points: DataFrame, others: DataFrame, key: str, radius: float, most: int, digits: int = 9, x: str = "x", y: str = "y", ox: str = "ox", oy: str = "oy") -> DataFrame:
+    """Points with the ``most`` nearest others at most ``radius`` apart, with ``distance``; ties of the rounded distance go to the smaller key.
+
+    Equal points ask once, and of others in one place only the ``most`` smallest keys can be among the nearest, so the
+    pairs that are compared depend on the places, not on how many rows stand in each.
+    """
+    first = top_k(others, [ox, oy], most, F.col(key)).drop("rank")
+    near = within_radius(points.select(x, y).distinct(), first, radius, x, y, ox, oy)
+    near = top_k(near, [x, y], most, F.round("distance", digits), F.col(key)).drop("rank")
+    return points.join(small(materialised(near, "nearest")), [x, y])
+
+
 def percentile(value: str | Column, q: float, accuracy: int | None = None) -> Column:
     """Exact percentile, which holds a group's distinct values in one task; with ``accuracy`` a sketch of fixed size, off by at most 1/accuracy of the ranks."""
     return F.percentile(value, q) if accuracy is None else F.percentile_approx(value, q, accuracy)
