@@ -20,6 +20,13 @@ def check(spark, folder, name, *tables):
     return df, got
 
 
+def test_contradictions_on_the_limit(spark, tmp_path):
+    """A ratio of exactly 1.5 times 1.15 is no contradiction."""
+    k = F.col("id")
+    spark.range(3000).select(k.alias("o_orderkey"), (17250 + k % 300 * 172.5).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    check(spark, tmp_path, "contradictions", "orders")
+
+
 def test_dates_as_written(spark, tmp_path):
     texts = [(0, "12/13/1998 and 1/2/2003"), (1, "99.99.099"), (2, "API 12 on 31/0/1999"), (3, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
