@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id.
+    """One document of each group of near copies by SimHash fingerprints and by verified MinHash bands, the one with the smallest id.
 
     Null and empty texts are one group; rows with one id and different texts are judged apart, of equal rows one
     stays; rows without an id stay; an empty table stays empty; every column passes.

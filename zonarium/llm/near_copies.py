@@ -1,6 +1,10 @@
-"""Near copies for the pipeline: candidates by MinHash bands over five-word shingles, verified on the shingles.
+"""Near copies for the pipeline: SimHash fingerprints that link, and pairs found by MinHash bands and verified on five-word shingles.
 
-Two documents are near copies if they are candidates and the Jaccard similarity of their sets of five-word shingles
+*Fingerprints.*  Texts whose fingerprints (``simhash_dedup``) differ in at most ``BITS`` bits are near copies, found at the
+anchors of its covering code; texts of one fingerprint hang on the least class of them.  Two texts of similarity 0.8 differ in
+some ten bits, so these are joined by what the bands find besides.
+
+*Bands.*  Two documents are near copies, too, if they are candidates and the Jaccard similarity of their sets of five-word shingles
 is 0.8 or more.  *Candidates* agree in all five least hashes of one of 24 bands.  At similarity s a pair agrees in none
 with chance (1 - s^5)^24, whatever the edits are (spread, or a block added or cut): seven in a hundred thousand at
 exactly 0.8, while texts that share a third agree in one with 9 %.  Texts that agree, directly or through others,
@@ -34,8 +38,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonarium.llm import textbatch as tb
-from zonarium.llm.simhash_dedup import _LOWER, SMALL_ROWS, connected, written
+from zonarium.llm.simhash_dedup import _LOWER, SMALL_ROWS, connected, fingerprint, linked_prints, written
 
+#: Fingerprints link at so many differing bits.
+BITS = 4
 WIDTH, SIMILARITY = 5, 0.8
 #: Candidates agree in one of so many bands of so many least hashes each.
 BANDS, ROWS = 24, 5
@@ -74,13 +80,16 @@ def bands(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
+        off, raw = tb.utf8(batch.column(1))
+        prints = np.array([fingerprint(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.uint64).view(np.int64)
         for kind, grams, bounds in _grams(batch.column(1)):
             keys, full = bands(grams, bounds)
             ends = np.zeros(len(kind) + 1, np.int32)
             ends[full + 1] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
             rest = [c.slice(at, len(kind)) for c in batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kind)), pa.array(kind), lists, *rest], ["doc_id", "kind", "bands", *batch.schema.names[2:]])
+            mine = pa.array(prints[at : at + len(kind)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(kind)), pa.array(kind), lists, mine, *rest], ["doc_id", "kind", "bands", "bits", *batch.schema.names[2:]])
             at += len(kind)
 
 
@@ -182,12 +191,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("code"))
 
 
+def _print_links(kinds: DataFrame) -> DataFrame:
+    """Links (a, b) between ``kind`` whose fingerprints (``bits``) are equal or differ in at most ``BITS`` bits."""
+    least = written(kinds.groupBy("bits").agg(F.min("kind").alias("a")), "prints")
+    equal = kinds.join(least, "bits").where("kind <> a").select("a", F.col("kind").alias("b"))
+    near = linked_prints(least, BITS).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    apart = near.join(least.select(F.col("bits").alias("x"), "a"), "x").join(least.select(F.col("bits").alias("y"), F.col("a").alias("b")), "y")
+    return equal.unionByName(apart.select("a", "b"))
+
+
 def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, code, kind) of every document, and verified links (a, b) between kinds."""
+    """(doc_id, code, kind) of every document, and links (a, b) between kinds: by fingerprints, and verified ones."""
     base = _rows(docs, id_col, text_col)
-    marked = written(base.mapInArrow(_mark, "doc_id long, kind long, bands array<long>, code long"), "marks")
+    marked = written(base.mapInArrow(_mark, "doc_id long, kind long, bands array<long>, bits long, code long"), "marks")
     first = F.min(F.struct("doc_id", "code")).alias("first")
-    kinds = written(marked.where("doc_id is not null").groupBy("kind").agg(first, F.first("bands").alias("bands")), "kinds")
+    kinds = written(marked.where("doc_id is not null").groupBy("kind").agg(first, F.first("bands").alias("bands"), F.first("bits").alias("bits")), "kinds")
     posts = kinds.select("kind", F.explode("bands").alias("band"))
     # a band's texts hang on the least of them; a band of one text is gone after one aggregation
     shared = written(posts.groupBy("band").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b").select("band", "a"), "shared")
@@ -197,7 +215,7 @@ def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.join(named.hint("merge"), ["doc_id", "code"], "left_semi").select("text")
     sets = texts.mapInArrow(_shingles, "kind long, shingles array<long>").dropDuplicates(["kind"])
     links = _group_links(members, posts, sets.join(kinds.select("kind", "bands"), "kind"))
-    return marked.select("doc_id", "code", "kind"), links
+    return marked.select("doc_id", "code", "kind"), links.unionByName(_print_links(kinds.select("kind", "bits")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -202,6 +202,11 @@ def linked(fingerprints_: DataFrame, threshold: int, cover: Cover = COARSE, hot_
     return seats.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece").mapInArrow(_compare(threshold), "a long, b long")
 
 
+def linked_prints(classes: DataFrame, threshold: int, hot_anchor: int = 8_000, fine_from: int = FINE_FROM) -> DataFrame:
+    """Links among distinct ``bits`` by the code that costs less for so many of them."""
+    return linked(classes, threshold, FINE if classes.count() >= fine_from else COARSE, hot_anchor)
+
+
 def _distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Differing bits of every pair (bitwise_count takes absolute values, so the view is unsigned)."""
     return np.bitwise_count(left.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :])
@@ -320,7 +325,7 @@ def simhash_dedup(docs: DataFrame, threshold: int = 4, hot_anchor: int = 8_000,
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     # a hot fingerprint is one row here: the aggregation combines before the shuffle
     classes = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
-    links = linked(classes, threshold, FINE if classes.count() >= fine_from else COARSE, hot_anchor)
+    links = linked_prints(classes, threshold, hot_anchor, fine_from)
     roots = connected(links)
     named = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
