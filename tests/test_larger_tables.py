@@ -58,3 +58,10 @@ def test_nearest_of_many_in_one_place(spark, crowded, monkeypatch):
     monkeypatch.setattr(spatial, "within_radius", lambda p, o, *a: met.append((p.count(), o.count())) or within(p, o, *a))
     check(spark, crowded, "nearest_within_radius", "customer", "supplier")
     assert met == [(1000, 3000)]
+
+
+@pytest.mark.parametrize("name, source, key", [("measured_setback", "part", "p_partkey"), ("hinted_tables", "part", "p_partkey"), ("gml_shapes", "supplier", "s_suppkey")])
+def test_costly_rows_of_one_small_file_go_to_every_core(spark, tmp_path, name, source, key):
+    spark.range(0, 600, 1, 1).select(F.col("id").alias(key), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/{source}.parquet")
+    df, _ = check(spark, tmp_path, name, source)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
