@@ -454,9 +454,17 @@ def height_near_codes(text: Column, codes: tuple[str, ...]) -> Column:
     return F.when(named & phrase.isNotNull(), F.struct(F.lit("height").alias("kind"), phrase.alias("words"))).when(named & (metres != ""), F.struct(F.lit("metres").alias("kind"), F.replace(metres, F.lit("\n"), F.lit(" ")).alias("words")))
 
 
+def _table_lines(rows: Column) -> Column:
+    """The rows of a table as their line in small letters and their numbers."""
+    return F.transform(rows, lambda r: F.struct(F.lower(F.array_join(r, " | ")).alias("line"), F.transform(r, lambda c: value(F.regexp_extract(c, rf"({NUMBER})", 1))).alias("numbers")))
+
+
 def table_limits(rows: Column) -> dict[str, Column]:
     """Limits that a table's rows (arrays of cells) give: greatest height, least setback, greatest sides, occupancy and ratio, in plausible ranges."""
-    lines = F.transform(rows, lambda r: F.struct(F.lower(F.array_join(r, " | ")).alias("line"), F.transform(r, lambda c: value(F.regexp_extract(c, rf"({NUMBER})", 1))).alias("numbers")))
+    return _limits_of_lines(_table_lines(rows))
+
+
+def _limits_of_lines(lines: Column) -> dict[str, Column]:
     of = lambda word, low, high, shape=lambda x: x: F.flatten(F.transform(F.filter(lines, lambda x: x["line"].rlike(f"(?iu){word}")), lambda x: F.transform(F.filter(x["numbers"], lambda n: (n > low) & (n <= high)), shape)))
     setback = ROW_WORDS["retranqueo"]
     side = lambda word: F.array_max(F.flatten(F.transform(F.filter(lines, lambda x: x["line"].rlike(f"(?iu){setback}") & x["line"].rlike(f"(?iu){word}")), lambda x: F.filter(x["numbers"], lambda n: (n > 0) & (n <= 15)))))
@@ -478,12 +486,18 @@ HEADER_HINTS = (
 )
 
 
+LIMITS = ("altura_maxima_m", "retranqueo_min_m", "setback_front_m", "setback_side_m", "setback_back_m", "ocupacion_max", "edificabilidad_max_m2_m2")
+
+
 def hinted_limits(rows: Column) -> Column:
     """The limits of a table whose first two rows have a cell with a hint, as a struct; null for other tables and where no limit is found."""
-    hinted = F.exists(F.slice(rows, 1, 2), lambda r: F.exists(r, lambda c: F.lower(c).rlike("|".join(HEADER_HINTS))))
-    limits = table_limits(rows)
-    found = reduce(lambda a, b: a | b, (v.isNotNull() for v in limits.values()))
-    return F.when(F.coalesce(hinted, F.lit(False)) & found, F.struct(*(v.alias(k) for k, v in limits.items())))
+
+    def limits_of(rows: Column) -> Column:
+        hinted = F.exists(F.slice(rows, 1, 2), lambda r: F.exists(r, lambda c: F.lower(c).rlike("|".join(HEADER_HINTS))))
+        limits = let(_table_lines(rows), lambda lines: F.struct(*(v.alias(k) for k, v in _limits_of_lines(lines).items())))
+        return F.when(F.coalesce(hinted, F.lit(False)), let(limits, lambda s: F.when(F.coalesce(*(s[k] for k in LIMITS)).isNotNull(), s)))
+
+    return let(rows, limits_of)
 
 
 SUMMARY = (("altura_maxima_m", "Altura máxima (m)"), ("retranqueo_min_m", "Retanqueo mínimo (m)"), ("setback_front_m", "Frente (m)"), ("setback_side_m", "Laterales (m)"), ("setback_back_m", "Fondo (m)"), ("ocupacion_max", "Ocupación máx."), ("edificabilidad_max_m2_m2", "Edificabilidad (m2/m2)"))
