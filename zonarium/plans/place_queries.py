@@ -124,7 +124,7 @@ def gml_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = C("s_suppkey")
     x = F.round(F.when(k % 3 == 1, 520000 + (k % 900).cast("double")).otherwise(-8.9 + (k % 900).cast("double") / 1000), 6)
     y = F.round(F.when(k % 3 == 1, 4670000 + (k % 700).cast("double")).otherwise(42.1 + (k % 700).cast("double") / 1000), 6)
-    docs = table(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", "x", "y", _gml(C("x"), C("y"), k).alias("doc"))
+    docs = table(spark, sf_dir, "supplier").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey").select("s_suppkey", x.alias("x"), y.alias("y")).select("s_suppkey", "x", "y", _gml(C("x"), C("y"), k).alias("doc"))
     read = docs.select("s_suppkey", "x", "y", F.from_xml("doc", f"code string, msGeometry {gml.GEOMETRY}", gml.OPTIONS)["msGeometry"].alias("m"))
     s = read.select("s_suppkey", "x", "y", gml.shape(C("m")).alias("s"))
     local = F.transform("s", lambda polygon: F.transform(polygon, lambda r: F.transform(r, lambda p: F.struct((p["x"] - C("x")).alias("x"), (p["y"] - C("y")).alias("y")))))
