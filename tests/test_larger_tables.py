@@ -65,3 +65,12 @@ def test_costly_rows_of_one_small_file_go_to_every_core(spark, tmp_path, name, s
     spark.range(0, 600, 1, 1).select(F.col("id").alias(key), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/{source}.parquet")
     df, _ = check(spark, tmp_path, name, source)
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_block_values_are_those_with_traces(spark):
+    from zonarium.functions import ordinance as o
+
+    texts = ["Altura máxima de 7,50 metros. Muro con altura máxima de 2 metros. Ocupación do 40 %.", "6,10 metros para 2 plantas e 9,35 metros para 3 plantas", "nada", None]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    both = t.select(o.block_parameters(F.col("t")).alias("a"), o.block_values(F.col("t")).alias("b")).collect()
+    assert [[(p.parameter, p.value) for p in r.a or []] for r in both] == [[tuple(p) for p in r.b or []] for r in both] and both[0].b and both[1].b

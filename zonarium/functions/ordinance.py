@@ -306,6 +306,26 @@ def block_parameters(text: Column) -> Column:
     return let(without_printed_lines(text), _parameters_of_block)
 
 
+def block_values(text: Column) -> Column:
+    """``block_parameters`` without traces, as (parameter, value): every phrase is looked for once."""
+    return let(without_printed_lines(text), _values_of_block)
+
+
+def _guarded(name: str, pattern: str) -> str:
+    """A height's phrase looks back only where it begins."""
+    return (rf"(?=altura|planta)(?<!{NOT_BUILDINGS})" if name == "altura_maxima_m" else "") + pattern
+
+
+def _values_of_block(clean: Column) -> Column:
+    found = []
+    for name, patterns in BLOCK_PARAMETERS.items():
+        values = [grouped_value(first(clean, _guarded(name, p))) for p in patterns]
+        if name == "altura_maxima_m":  # else the greatest of a list of metres by floors
+            values.append(let(F.transform(every(clean, METRES_FOR_FLOORS), value), lambda m: F.when(F.size(m) >= 2, F.array_max(m))))
+        found.append(F.struct(F.lit(name).alias("parameter"), F.coalesce(*values).alias("value")))
+    return F.filter(F.array(*found), lambda x: x["value"].isNotNull())
+
+
 def _parameters_of_block(clean: Column) -> Column:
     found = []
     for name, patterns in BLOCK_PARAMETERS.items():
