@@ -92,3 +92,34 @@ def test_recall_of_the_lists(spark):
     pairs = lambda name: {(x.qid, x.vec_id) for x in catalogue.QUERIES[name](spark, SF).collect()}
     exact, found = pairs("vector_topk"), pairs("vector_lists_topk")
     assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
+
+
+def test_counted_terms_are_the_terms(spark):
+    from zonarium.functions import text as t
+
+    texts = ["Ñandú ÑANDÚ nandu el la más Mas DE que", "İstanbul KELVINK Ångstrom Ångstrom", "a1b2 ab abc_abcd'xyz 12 123 ß ſoße", "été été ÉTÉ \U0001d400bcd ΣΑΣ", "municipio cómo como", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, x string").select("id", "x", t.terms(F.col("x")).alias("t"))
+    for row in df.collect():
+        counts = t.counted_terms(row.x)
+        assert sorted(row.t or []) == sorted(w for w, n in counts.items() for _ in range(n))
+
+
+def test_postings_are_counted_in_their_document(spark, tmp_path, monkeypatch):
+    """No table has a row for every posting; rows of one document and length count as one, and a block may cross batches."""
+    monkeypatch.setattr(search_index, "BLOCK", 8)
+    monkeypatch.setattr(search_index, "CHUNK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    made = []
+    keep = search_index.materialised
+    monkeypatch.setattr(search_index, "materialised", lambda df, name: made.append(name) or keep(df, name))
+    try:
+        docs = spark.createDataFrame([(k % 90, f"comun comun palabra{k % 90}") for k in range(100)] + [(200, None), (None, "comun")], "id long, text string")
+        search_index.write_index(docs, "id", "text", f"file://{tmp_path}/i")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made == ["chunks", "terms"]
+    index = search_index.read_index(spark, f"file://{tmp_path}/i")
+    blocks = index.blocks.where("term = 'comun'").collect()
+    got = {p.doc: (p.tf, p.len) for b in blocks for p in b.postings}
+    assert index.documents == 101 and index.mean_length == 3.0 and sum(len(b.postings) for b in blocks) == 90 == len(got)
+    assert got == {k: (4 if k < 10 else 2, 3) for k in range(90)} and len(blocks) > 8
