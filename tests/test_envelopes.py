@@ -138,3 +138,26 @@ def test_rows_of_parcels(spark):
     assert got[1].area_m2 == pytest.approx(256 - 64 + 16 * CORNER) and len(got[1].parts[0]) == 2
     assert got[2].area_m2 == 200 and got[2].front_side == "right" and got[3].reason == got[5].reason == "empty" and got[3].area_m2 is None
     assert got[4].area_m2 == pytest.approx(16 * 6, rel=1e-3) and all(abs(p.x + 8.7) < 0.01 and abs(p.y - 42.2) < 0.01 for p in got[4].parts[0][0])
+
+
+def test_equal_parcels_are_drawn_once(monkeypatch):
+    from types import SimpleNamespace
+
+    from zonarium.operators import envelope as module
+
+    calls = []
+    monkeypatch.setattr(module, "envelope", lambda *a: calls.append(a) or envelope(*a))
+    monkeypatch.setattr(module, "DRAWN", 2)
+    row = lambda w, front=float("nan"): SimpleNamespace(rings=[[{"x": x, "y": y} for x, y in ((0.0, 0.0), (w, 0.0), (w, 9.0), (0.0, 9.0))]], street=None, lonlat=None, retranqueo_min_m=1.0, setback_front_m=front, setback_side_m=None, setback_back_m=None, front_direction=None, front_default=None)
+    drawn = {}
+    got = [module._drawn(row(w), ["area_m2"], drawn)[0] for w in (9.0, 9.0, 8.0, 9.0, 8.0, 7.0, 9.0)]
+    assert got == [49.0, 49.0, 42.0, 49.0, 42.0, 35.0, 49.0] and len(calls) == 4 and len(drawn) <= 2
+    assert module._drawn(row(9.0, 2.0), ["area_m2"], drawn)[0] == 25.0
+
+
+def test_parcels_of_one_small_file_go_to_every_core(spark, tmp_path):
+    from zonarium.plans import catalogue
+
+    spark.range(0, 300, 1, 1).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    df = catalogue.QUERIES["building_envelopes"](spark, str(tmp_path))
+    assert df.count() == 300 and df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -61,7 +61,7 @@ def building_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind < 2, 2.0).alias("setback_back_m"),
         F.when(kind < 2, direction).when(kind == 2, "north").alias("front_direction"),
     )
-    e = envelopes(parcels.repartition("c_custkey"), "c_custkey")  # drawing costs more than dealing
+    e = envelopes(parcels.repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey"), "c_custkey")  # drawing costs more than dealing, and few bytes would be few tasks
     n = F.aggregate("parts", F.lit(0), lambda s, p: s + F.size(p))
     return e.select("c_custkey", C("setback_mode").alias("mode"), C("polygon_type").alias("shape"), "directional", "front_side", "reason", F.round("area_m2", 4).alias("area"), n.alias("rings"))
 
