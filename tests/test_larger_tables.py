@@ -74,3 +74,36 @@ def test_block_values_are_those_with_traces(spark):
     t = spark.createDataFrame([(x,) for x in texts], "t string")
     both = t.select(o.block_parameters(F.col("t")).alias("a"), o.block_values(F.col("t")).alias("b")).collect()
     assert [[(p.parameter, p.value) for p in r.a or []] for r in both] == [[tuple(p) for p in r.b or []] for r in both] and both[0].b and both[1].b
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_habitability_sorts_rooms_once(spark, tmp_path):
+    """Equal quantities, largest rooms without an area, single rooms and more rooms than the table of minima has."""
+    k = F.col("id")
+    lines = spark.range(4000).select((k % 701).alias("l_orderkey"), (k * 7 % 13).alias("l_partkey"), (k % 5 + 1).cast("int").alias("l_linenumber"), (k * 31 % 45).cast("double").alias("l_quantity"))
+    lines.unionByName(lines.where("l_orderkey < 90").withColumn("l_linenumber", F.col("l_linenumber") + 5)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df, got = check(spark, tmp_path, "habitability", "lineitem")
+    assert len(got) > 600 and plan(catalogue.QUERIES["habitability"](spark, str(tmp_path))).count("Sort [") == 1
+
+
+def test_habitability_checks_sort_rooms_once(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    check(spark, tmp_path, "habitability_verdicts", "orders")
+    made = plan(catalogue.QUERIES["habitability_checks"](spark, str(tmp_path)))
+    assert made.count("Sort [") <= 3 and made.count("SortMergeJoin") <= 1  # rooms, dwellings, and dwellings for the join
+
+
+def test_rooms_and_dwellings_that_do_not_meet(spark):
+    from zonarium.operators import habitability as h
+
+    columns = "id long, pos int, nombre string, tipo string, superficie double, ancho double, lado double, acristalada double, ventilacion double, exterior int"
+    rooms = spark.createDataFrame([(1, 1, "salon", "estancia_mayor", 26.0, 3.0, 3.4, 4.0, 1.5, 1), (9, 1, "salon", "estancia_mayor", 8.0, 3.0, 3.4, 1.0, None, 1)], columns)
+    dwellings = spark.createDataFrame([(1, "x", 2.6, True), (2, "x", None, False), (1, "y", 2.4, True)], "id long, operacion string, altura double, completo boolean")
+    got = h.habitability_checks(spark, dwellings, rooms).collect()
+    of = lambda i: sorted((r.codigo, r.estado) for r in got if r.id == i)
+    assert of(9) == [("iluminacion_salon", "cumple"), ("ventilacion_salon", "no_verificable")]
+    assert ("altura_libre", "no_verificable") in of(2) and ("programa_estancia_mayor", "no_verificable") in of(2) and not any(c.startswith("exterior") for c, _ in of(2))
+    assert [c for c, _ in of(1)].count("altura_libre") == 2 == [c for c, _ in of(1)].count("superficie_e1") and [c for c, _ in of(1)].count("iluminacion_salon") == 1

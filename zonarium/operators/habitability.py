@@ -44,38 +44,61 @@ def habitability_checks(spark: SparkSession, dwellings: DataFrame, rooms: DataFr
     acristalada, ventilacion and exterior (1, 0 or null).  A piece that is not there fails if the programme was declared complete and is
     not verifiable otherwise.  Rooms are ranked in their dwelling (others by area, then as listed), so every step is keyed by the dwelling.
     """
-    r = rooms.withColumn("k", F.row_number().over(W.partitionBy("id", "tipo").orderBy(F.desc(F.when(C("tipo") == "estancia", F.coalesce("superficie", F.lit(0.0))).otherwise(0.0)), "pos")))
+    by_area = F.when(C("tipo") == "estancia", -F.coalesce("superficie", F.lit(0.0))).otherwise(0.0)
     living = C("tipo").isin("estancia_mayor", "estancia")
     second = C("tipo").isin("estancia", "cocina")
-    counts = r.groupBy("id").agg(
-        F.count_if(living).alias("n"),
-        F.count_if(C("tipo") == "estancia_mayor").alias("mayores"),
-        F.max(F.when(second, C("exterior"))).alias("segunda"),
-        F.max(F.when((C("tipo") == "estancia_mayor") & (C("k") == 1), C("exterior"))).alias("primera"),
-    )
-    d = dwellings.join(counts, "id", "left").fillna(0, ["n", "mayores"]).withColumn("cubo", F.least(F.greatest("n", F.lit(1)), F.lit(6)).cast("long"))
-    need = F.broadcast(relation(spark, requirements(), REQUIREMENT_COLUMNS))  # a fixed table of about a hundred rows
-    asked = d.join(need, "cubo").join(r.select("id", "tipo", "k", "superficie", "ancho", "lado", F.lit(True).alias("hay")), ["id", "tipo", "k"], "left")
-    observed = F.when(C("medida") == "superficie", C("superficie")).when(C("medida") == "ancho", C("ancho")).otherwise(C("lado"))
-    missing = F.when(C("completo"), "no_cumple").otherwise("no_verificable")
-    name = F.when(C("tipo") == "estancia", F.concat(F.lit("programa_estancia_E"), C("k") + 1)).otherwise(F.concat(F.lit("programa_"), C("tipo")))
+    needed = requirements()
+    pieces = {piece: 1 << at for at, piece in enumerate(dict.fromkeys((kind, k) for kind, k, *_ in needed))}
+    bit = F.coalesce(*(F.when((C("tipo") == kind) & (C("k") == k), F.lit(one).cast("long")) for (kind, k), one in pieces.items()), F.lit(0).cast("long"))
+    every = W.partitionBy("id")
+    # one sort of the rooms serves ranks, counts and the join; each row then makes its own checks, a dwelling's first room also those of the dwelling
+    ranks = {"_place": F.row_number().over(every.orderBy("tipo", "_by", "pos")), "k": F.row_number().over(W.partitionBy("id", "tipo").orderBy("_by", "pos"))}
+    r = rooms.repartition("id").withColumn("_by", by_area).withColumns(ranks)
+    r = r.withColumns({
+        "n": F.count_if(living).over(every),
+        "mayores": F.count_if(C("tipo") == "estancia_mayor").over(every),
+        "segunda": F.max(F.when(second, C("exterior"))).over(every),
+        "primera": F.max(F.when((C("tipo") == "estancia_mayor") & (C("k") == 1), C("exterior"))).over(every),
+        "hay": F.bit_or(bit).over(every),
+    })
+    cubo = lambda n: F.least(F.greatest(n, F.lit(1)), F.lit(6)).cast("long")
+    d = dwellings.select("id", "operacion", "altura", "completo", F.row_number().over(every.orderBy("operacion")).alias("_copy"))
+    j = r.join(d, "id", "full_outer").fillna(0, ["n", "mayores", "hay"]).withColumn("_b", cubo(C("n")))
     none = F.lit(None).cast("double")
-    row = lambda code, state, seen=none, least=none: (code.alias("codigo"), state.alias("estado"), seen.cast("double").alias("observado"), least.cast("double").alias("minimo"))
-    there = asked.where("hay").select("id", *row(C("codigo"), check(observed, C("minimo")), observed, C("minimo")))
-    absent = asked.where("hay is null and medida = 'superficie'").select("id", *row(name, missing))
+    row = lambda code, state, seen=none, least=none: F.struct(code.alias("codigo"), state.alias("estado"), seen.cast("double").alias("observado"), least.cast("double").alias("minimo"))
+
+    name = lambda kind, k: f"programa_estancia_E{k + 1}" if kind == "estancia" else f"programa_{kind}"
+    wanted = lambda b: F.array(*(F.struct(F.lit(name(kind, k)).alias("codigo"), F.lit(pieces[kind, k]).cast("long").alias("bit")) for kind, k, cubo, _, measure, _ in needed if cubo == b and measure == "superficie"))
+    missing = F.filter(F.element_at(F.array(*map(wanted, range(1, 7))), C("_b").cast("int")), lambda p: C("hay").bitwiseAND(p["bit"]) == 0)
+    absent = F.transform(missing, lambda p: row(p["codigo"], F.when(C("completo"), "no_cumple").otherwise("no_verificable")))
     least = F.when(C("operacion") == "cambio_uso_local_a_vivienda", HEIGHT_CHANGE_OF_USE).otherwise(HEIGHT_OTHERWISE)
-    height = d.select("id", *row(F.lit("altura_libre"), check(C("altura"), least), C("altura"), least))
-    several = d.where("mayores > 1").select("id", *row(F.lit("estancia_mayor_unica"), F.lit("no_cumple"), C("mayores"), F.lit(1.0)))
-    lit = r.where((living | (C("tipo") == "cocina")) & C("superficie").isNotNull())
+    whole = F.array(
+        row(F.lit("altura_libre"), check(C("altura"), least), C("altura"), least),
+        F.when(C("mayores") > 1, row(F.lit("estancia_mayor_unica"), F.lit("no_cumple"), C("mayores"), F.lit(1.0))),
+        F.when(C("mayores") > 0, row(F.lit("exterior_e1"), check(C("primera"), F.lit(1)), C("primera"), F.lit(1.0))),
+        F.when(C("n") > 1, row(F.lit("exterior_secundaria"), check(C("segunda"), F.lit(1)), C("segunda"), F.lit(1.0))),
+    )
+
+    measures = ("superficie", "ancho", "lado")
+    asked: dict[tuple, dict] = {}
+    for kind, k, b, code, measure, value in needed:
+        asked.setdefault((kind, k, b), {})[measure] = (code, value)
+    need = relation(spark, [(*key, *(x for m in measures for x in of.get(m, (None, None)))) for key, of in asked.items()], ("tipo", "k", "_b", *(f"_{m}_{x}" for m in measures for x in ("codigo", "minimo"))))
+    j = j.join(F.broadcast(need), ["tipo", "k", "_b"], "left")  # some sixty literals
+    there = F.array(*(F.when(C(f"_{m}_codigo").isNotNull(), row(C(f"_{m}_codigo"), check(C(m), C(f"_{m}_minimo")), C(m), C(f"_{m}_minimo"))) for m in measures))
+    lit = (living | (C("tipo") == "cocina")) & C("superficie").isNotNull()
     light, air = C("superficie") / DAYLIGHT, C("superficie") / DAYLIGHT / VENTILATION
-    daylight = lit.select("id", *row(F.concat(F.lit("iluminacion_"), C("nombre")), check(C("acristalada"), light), C("acristalada"), light))
-    aired = lit.select("id", *row(F.concat(F.lit("ventilacion_"), C("nombre")), check(C("ventilacion"), air), C("ventilacion"), air))
-    outside = d.where("mayores > 0").select("id", *row(F.lit("exterior_e1"), check(C("primera"), F.lit(1)), C("primera"), F.lit(1.0)))
-    other = d.where("n > 1").select("id", *row(F.lit("exterior_secundaria"), check(C("segunda"), F.lit(1)), C("segunda"), F.lit(1.0)))
-    out = height
-    for part in (several, there, absent, daylight, aired, outside, other):
-        out = out.unionByName(part)
-    return out
+    airy = F.array(
+        F.when(lit, row(F.concat(F.lit("iluminacion_"), C("nombre")), check(C("acristalada"), light), C("acristalada"), light)),
+        F.when(lit, row(F.concat(F.lit("ventilacion_"), C("nombre")), check(C("ventilacion"), air), C("ventilacion"), air)),
+    )
+    known, nothing = C("_copy").isNotNull(), F.filter(there, lambda _: F.lit(False))  # a room of no dwelling meets no programme
+    checks = F.concat(
+        F.when(known & (F.coalesce("_place", F.lit(1)) == 1), F.concat(whole, absent)).otherwise(nothing),
+        F.when(known, there).otherwise(nothing),
+        F.when(F.coalesce("_copy", F.lit(1)) == 1, airy).otherwise(nothing),
+    )
+    return j.select("id", F.explode(checks).alias("_c")).where("_c is not null").select("id", "_c.*")
 
 
 def habitability_verdict(checks: DataFrame) -> DataFrame:
