@@ -123,3 +123,19 @@ def test_postings_are_counted_in_their_document(spark, tmp_path, monkeypatch):
     got = {p.doc: (p.tf, p.len) for b in blocks for p in b.postings}
     assert index.documents == 101 and index.mean_length == 3.0 and sum(len(b.postings) for b in blocks) == 90 == len(got)
     assert got == {k: (4 if k < 10 else 2, 3) for k in range(90)} and len(blocks) > 8
+
+
+def test_scores_held_at_a_time_are_bounded():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    vectors = np.random.default_rng(4).normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(vectors))], ["k", "v"])
+    held = SimpleNamespace(value={8: (np.arange(600), vectors[:600])})
+    tracemalloc.start()
+    got = [b for b in r._best_of_batch(held, 3, "dot", 9, "k")(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(b) for b in got) == 1800 and peak < 80e6
