@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonarium.operators.lookups import small, top_k
+from zonarium.operators.retrieval import CELLS
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def fitted_probes(vectors: np.ndarray, centres: np.ndarray, how: Lists) -> int:
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
 
 
 def write_lists(vectors: DataFrame, key: str, vector: str, path: str, how: Lists | None = None) -> None:
@@ -135,7 +136,7 @@ def search_lists(spark: SparkSession, path: str, questions: DataFrame, qid: str,
         q, v = (_matrix(x.column(c).combine_chunks(), width) for x, c in ((left, "q"), (right, "v")))
         ids, keys = left.column("qid").to_numpy(), right.column("key").to_numpy()
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for part in np.array_split(np.arange(len(ids)), max(1, -(-len(ids) * len(keys) // (1 << 22)))):
+        for part in np.array_split(np.arange(len(ids)), max(1, -(-len(ids) * len(keys) // CELLS))):
             if not len(part) or not len(keys):
                 continue
             score = q[part] @ v.T
