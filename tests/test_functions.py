@@ -256,6 +256,37 @@ def test_rule_rows(spark):
     assert got == {("A", ""): (7.0, None), ("A", "x"): (9.0, None), ("B", ""): (None, 30.0)}
 
 
+def test_least_gap_of_odd_rings(spark, monkeypatch):
+    """As by built-in functions on every pair of a corner and an edge: rings of all lengths, empty, null and with unknown corners, edges without length."""
+    import random
+
+    from zonarium.functions import outlines
+
+    r = random.Random(5)
+    one = lambda: r.choice([None, *[(r.choice([None, float("nan"), float("inf"), *[r.uniform(-9, 9)] * 40]), float(r.randint(-3, 3)))] * 30])
+    ring = lambda: None if r.random() < 0.05 else [one() for _ in range(r.choice([0, 1, 2, 3, 5, 40]))]
+    data = [(k, ring(), ring()) for k in range(400)]
+    df = spark.createDataFrame(data, "id long, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>").repartition(3).cache()
+
+    def pairs(a, b):
+        edges = df.select("id", F.posexplode(b).alias("n", "s"))
+        ends = edges.select("id", (F.col("n") - 1).alias("n"), F.col("s").alias("e"))
+        every = df.select("id", F.explode(a).alias("p")).join(edges.join(ends, ["id", "n"]), "id")
+        return every.select("id", g.point_segment_distance(*(F.col(c) for c in ("p.x", "p.y", "s.x", "s.y", "e.x", "e.y"))).alias("d"))
+
+    want = dict(pairs("a", "b").union(pairs("b", "a")).groupBy("id").agg(F.min("d").alias("d")).collect())
+    got = {i: d for i, d in df.select("id", g.least_gap(F.col("a"), F.col("b"))).collect()}
+    assert {i: repr(d) for i, d in got.items()} == {i: repr(want.get(i)) for i, _, _ in data}
+    assert len({repr(d) for d in got.values()}) > 100 and None in got.values()
+
+    batch = df.toArrow().combine_chunks()
+    a, b = batch["a"].chunk(0), batch["b"].chunk(0)
+    whole = outlines.gaps(a, b)
+    monkeypatch.setattr(outlines, "PAIRS", 7)
+    assert repr(outlines.gaps(a, b).to_pylist()) == repr(whole.to_pylist())
+    assert repr(outlines.gaps(a[100:], b[100:]).to_pylist()) == repr(whole[100:].to_pylist()) and len(outlines.gaps(a[:0], b[:0])) == 0
+
+
 def test_more_geometry(spark):
     ring = g.rectangle(F.lit(0.0), F.lit(4.0), F.lit(0.0), F.lit(2.0))
     x = g.crossing(*(F.lit(float(v)) for v in (0, 0, 4, 4, 0, 4, 4, 0)))

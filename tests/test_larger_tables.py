@@ -80,6 +80,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_setbacks_are_measured_a_batch_at_a_time(spark, tmp_path):
+    """No loop of interpreted expressions over corners and edges, and one call of Python for all columns."""
+    spark.range(0, 3000, 1, 1).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    df, _ = check(spark, tmp_path, "measured_setback", "part")
+    made = plan(df).split("Initial Plan")[0]
+    assert made.count("ArrowEvalPython") == 1 and "transform(" not in made
+
+
 def test_habitability_sorts_rooms_once(spark, tmp_path):
     """Equal quantities, largest rooms without an area, single rooms and more rooms than the table of minima has."""
     k = F.col("id")

@@ -136,10 +136,6 @@ def minimap(ring: Column, box: Column, width: float, height: float) -> Column:
 
 def least_gap(inner: Column, outer: Column) -> Column:
     """Least distance between the lines of two closed rings, by the corners of each and the edges of the other; for rings that do not cross."""
-    def to_edges(corners: Column, ring: Column) -> Column:
-        # corners and edges are made once a row, not once in every step of the loops
-        made = F.array(F.struct(corners.alias("corners"), _edges(ring).alias("edges")))
-        apart = lambda p, e: point_segment_distance(p["x"], p["y"], e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
-        return F.get(F.transform(made, lambda m: F.array_min(F.flatten(F.transform(m["corners"], lambda p: F.transform(m["edges"], lambda e: apart(p, e)))))), F.lit(0))
+    from zonarium.functions.outlines import gaps
 
-    return F.least(to_edges(inner, outer), to_edges(outer, inner))
+    return F.arrow_udf(gaps, "double")(inner, outer)  # loops of built-in functions over all pairs would be interpreted
